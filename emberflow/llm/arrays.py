@@ -61,18 +61,25 @@ def pieces(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array
         at = end
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and for each row where its words begin (one more entry at the end)."""
+def words(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple:
+    """Hash of every word, and for each row where its words begin (one more entry at the end).
+
+    With prefixes, a third item holds for each length the hashes of the words' first so many bytes.
+    """
     data, offs = raw(texts)
     start, end = _edges(data, offs)
     if not len(start):
-        return np.zeros(0, _U), np.zeros(len(offs), np.int64)
+        none = np.zeros(0, _U)
+        return (none, np.zeros(len(offs), np.int64), *([[none] * len(prefixes)] if prefixes else []))
     power, inverse = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, _U)
     total[0] = 0
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
-    return mix(h), np.searchsorted(start, offs)
+    if not prefixes:
+        return mix(h), np.searchsorted(start, offs)
+    heads = [mix((total[np.minimum(start + k, end)] - total[start]) * inverse[start] + _U(k)) for k in prefixes]
+    return mix(h), np.searchsorted(start, offs), heads
 
 
 def _edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
