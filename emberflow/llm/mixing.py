@@ -130,6 +130,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
     A document without words stays once. Columns are those of docs.
     """
-    m = mix(docs, weights, most).select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    m = m.groupBy("_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    return docs.join(m, docs["doc_id"].eqNullSafe(m["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    m = mix(docs, weights, most).select(F.col("doc_id").alias("_mix_id"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
+    m = m.groupBy("_mix_id").agg(F.max("_mix_times").alias("_mix_times")).filter("_mix_times > 0")
+    joined = docs.join(m, docs["doc_id"].eqNullSafe(m["_mix_id"]))
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

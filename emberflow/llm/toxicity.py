@@ -21,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberflow.llm import arrays
 from emberflow.llm.common import ready, stored, text_of
 
 BITS = 20
+#: A feature is kept if so many positives have it and its rates differ by so many standard errors.
+LEAST, GAIN = 3, 2.5
 PREFIXES = (4, 5, 6)
 
 
@@ -62,7 +65,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias from 0/1 matrices of positive and unlabelled rows, by Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     w = np.zeros(pos.shape[1] + 1)
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     rate_p, rate_u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_unl + 1)
     gain = F.abs(rate_p - rate_u) / F.sqrt(rate_p / n_pos + rate_u / n_unl)
-    best = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).withColumn("g", gain).orderBy(F.desc("g"), "f").limit(n_features)
+    best = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).withColumn("g", gain).filter(f"p >= {LEAST} and g > {GAIN}").orderBy(F.desc("g"), "f").limit(n_features)
     ids = np.sort(np.array([r["f"] for r in best.select("f").collect()], np.int64))
 
     def project(batches):
@@ -136,15 +139,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     return Model(ids, *train_nnpu(x[p], x[~p], prior))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity: the chance that the text is toxic, from the text alone."""
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with one more column, a name they don't have yet: the chance that the text is toxic, from it alone."""
+    if name in docs.columns:
+        raise ValueError(f"docs have a column {name} already")
     ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # n_features numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded number of weights
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b["text"].cast(pa.large_string())), pa.float64())], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b["text"].cast(pa.large_string())), pa.float64())], [*b.schema.names, name])
 
-    from pyspark.sql import types as T
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs whose score is below the threshold, with their own columns."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).filter(F.col(name) < threshold).drop(name)
