@@ -3,7 +3,7 @@
 Level 1 holds the context ids. Pointers say where each context's successors begin. Level 2 holds the successors;
 within a context they rise, and adding the last value of the context before makes the whole level monotone. A
 successor is looked up relative to its context: base(context) + id, by a search for the next value not below it.
-Probabilities are 8-bit codes into a codebook of quantiles, rounded down.
+Probabilities are 8-bit codes into a codebook of at most 255 values, rounded down.
 """
 
 from __future__ import annotations
@@ -87,7 +87,8 @@ class Trie:
         # base(context): the sum of the last successors before it, plus one each so that ranges don't touch.
         base = np.concatenate([[0], np.cumsum(last.astype(_U) + _U(1), dtype=_U)[:-1]]) if len(lens) else np.zeros(0)
         level = successors.astype(_U) + np.repeat(base.astype(_U), lens)
-        cuts = np.unique(np.quantile(logs, np.linspace(0, 1, 255), method="lower")) if len(logs) else np.zeros(1)
+        # Half the cuts follow the bigrams, half lie evenly, so that rare large values are told apart too.
+        cuts = np.unique(np.concatenate([np.quantile(logs, np.linspace(0, 1, 128), method="lower"), np.linspace(logs.min(), logs.max(), 127)])) if len(logs) else np.zeros(1)
         codes = np.searchsorted(cuts, logs, "right").astype(np.uint8)
         #: Code 0 means absent; code c stands for the largest cut not above the value.
         self.book = np.concatenate([[0.0], 10.0**cuts]).astype(np.float32)
