@@ -94,3 +94,26 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, carriers: DataFrame, end
         nxt = rows[-1].filter("hops > 0").join(follow, F.col("fn") == F.col("caller")).select("start", (F.col("step") + 1).alias("step"), F.col("callee").alias("fn"), (F.col("hops") - 1).alias("hops"))
         rows.append(stored(nxt))
     return _union(rows).drop("hops")
+
+
+def nearest(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """fn, hops, found: the nearest of ends (fn) to each function that reaches one, ends themselves at 0.
+
+    One backward walk from all ends, so the cost follows the graph and not the number of starts. Of equally near
+    ends the first that a walk in order of callees' names meets: level by level a function takes what its first
+    callee one step nearer has found.
+    """
+    away = stored(reach(up(edges), ends.select(F.lit("").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops"))).select(F.col("node").alias("fn"), "hops"))
+    deepest = away.agg(F.max("hops")).first()[0] or 0
+    found = [stored(away.filter("hops = 0").select("fn", "hops", F.col("fn").alias("found")))]
+    for h in range(1, deepest + 1):
+        level = away.filter(F.col("hops") == h).select(F.col("fn").alias("caller"))
+        step = edges.join(level, "caller", "left_semi").join(found[-1].select(F.col("fn").alias("callee"), "found"), "callee")
+        found.append(stored(step.groupBy(F.col("caller").alias("fn")).agg(F.min(F.struct("callee", "found")).alias("m")).select("fn", F.lit(h).alias("hops"), F.col("m.found").alias("found"))))
+    return _union(found)
+
+
+def first_found(edges: DataFrame, near: DataFrame, starts: DataFrame) -> DataFrame:
+    """fn, hops, found of starts (fn), one call away at least: a start isn't its own end unless it is reached again."""
+    step = edges.join(starts.select(F.col("fn").alias("caller")), "caller", "left_semi").join(near.withColumnRenamed("fn", "callee"), "callee")
+    return step.groupBy(F.col("caller").alias("fn")).agg(F.min(F.struct("hops", "callee", "found")).alias("m")).select("fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberflow.functions import names as N
 from emberflow.functions.effects import AMBIENT, BIT, EFFECTS, mask_of, names_of
-from emberflow.operators.fixpoint import down, reach
+from emberflow.operators.fixpoint import first_found, nearest
 from emberflow.plans.runtime import stored
 
 # Destination classes and the effects that an allow rule may name.
@@ -162,15 +162,12 @@ def outside_allowlist(functions: DataFrame, literals: DataFrame, rules: list[Rul
 def forbidden(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> DataFrame:
     """code, rule, fn, reached, hops: for forbid A -> B the nearest function in B that one in A reaches.
 
-    The start is tested only if it is reached again; ties go to the smaller name.
+    The start is tested only if it is reached again; ties go to the first callee by name, step for step.
     """
     out = None
     for r in (r for r in rules if r.kind == "forbid"):
-        inside = functions.select("fn").filter(N.scope_matches(N.segments(F.col("fn")), r.scope))
-        seeds = edges.join(inside.withColumnRenamed("fn", "caller"), "caller", "left_semi").select(F.col("caller").alias("source"), F.col("callee").alias("node"), F.lit(1).alias("hops")).distinct()
-        hit = reach(down(edges), seeds).filter(N.scope_matches(N.segments(F.col("node")), r.to[0]))
-        rows = hit.groupBy("source").agg(F.min(F.struct("hops", "node")).alias("m")).select(F.lit("AS-EFF-009").alias("code"), F.lit(r.text).alias("rule"), F.col("source").alias("fn"), F.col("m.node").alias("reached"), F.col("m.hops").cast("long").alias("hops"))
-        out = rows if out is None else out.unionByName(rows)
+        into = lambda scope: functions.select("fn").filter(N.scope_matches(N.segments(F.col("fn")), scope))
+        out = _reached("AS-EFF-009", r, first_found(edges, nearest(edges, into(r.to[0])), into(r.scope)), out)
     return out
 
 
@@ -181,19 +178,22 @@ def unpermitted(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> Da
     """
     out = None
     for r in (r for r in rules if r.kind == "only"):
-        own = lambda c: N.scope_matches(N.segments(c), r.scope)  # noqa: E731, B023
+        segs = N.segments(F.col("fn"))
         permitted = F.lit(False)
         for to in r.to:
-            permitted = permitted | N.scope_permits(N.segments(F.col("node")), to)
-        inside = functions.select("fn").filter(own(F.col("fn")))
-        seeds = edges.join(inside.withColumnRenamed("fn", "caller"), "caller", "left_semi").select(F.col("caller").alias("source"), F.col("callee").alias("node"), F.lit(1).alias("hops")).distinct()
-        passed = stored(edges.select(F.col("callee").alias("node")).distinct().filter(own(F.col("node")) & ~permitted))
-        hit = reach(down(edges), seeds, passed).filter(~permitted & ~own(F.col("node")))
-        rows = hit.groupBy("source").agg(F.min(F.struct("hops", "node")).alias("m")).select(F.lit("AS-EFF-011").alias("code"), F.lit(r.text).alias("rule"), F.col("source").alias("fn"), F.col("m.node").alias("reached"), F.col("m.hops").cast("long").alias("hops"))
-        out = rows if out is None else out.unionByName(rows)
+            permitted = permitted | N.scope_permits(segs, to)
+        marked = stored(functions.select("fn", N.scope_matches(segs, r.scope).alias("own"), permitted.alias("ok")))
+        passed = marked.filter("own and not ok").select(F.col("fn").alias("caller"))
+        near = nearest(edges.join(passed, "caller", "left_semi"), marked.filter("not own and not ok").select("fn"))
+        out = _reached("AS-EFF-011", r, first_found(edges, near, marked.filter("own")), out)
     return out
 
 
+def _reached(code: str, r: Rule, found: DataFrame, more: DataFrame | None) -> DataFrame:
+    rows = found.select(F.lit(code).alias("code"), F.lit(r.text).alias("rule"), "fn", F.col("found").alias("reached"), F.col("hops").cast("long").alias("hops"))
+    return rows if more is None else more.unionByName(rows)
+
+
 def judge_accepts(violations: DataFrame, rules: list[Rule]) -> DataFrame:
     """status, fn, rule, effects, outside: accept lines against violations (rule, fn, effects joined by commas).
 
