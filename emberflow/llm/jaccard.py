@@ -1,13 +1,16 @@
 """Similarity join of documents on 5-word shingles by a token-group matrix.
 
 1. Shingle sets are hashed in tasks; documents with equal sets are one node from then on, the smallest doc_id.
-2. Tokens are counted in shards (hashed shorter; counts only order tokens). The `HOT` most frequent ones that more
-   than `COMMON` documents hold are put last in every set. By the prefix rule two sets of similarity t share one of
-   their first |x| - ceil(t |x|) + 1 tokens in any common order, so shared passages rarely bring documents together.
-3. Tokens of prefixes meet in shards; the holders of one, cut where sizes can't match, are tied to their smallest.
-   Components of these ties are the partitions in which all links lie. A third of all rows in one of them is cut:
-   every two chunks meet in a task of their own, so no task holds more than two chunks.
-4. In a partition, similar documents form groups and the matrix holds each group's token union. A document's overlap
+2. Sifting: a set that is similar to another one by t shares at least t of its tokens with others. Blocks of sets send
+   each distinct token once (hashed shorter, which can only make more tokens look shared) to token shards; a shard
+   answers each block with the number of tokens of each set that another set holds too. Sets below t are done.
+3. The texts of the rest are read once more and their sets are sifted again among themselves.
+4. Tokens of prefixes meet in shards: by the prefix rule two sets of similarity t share one of their first
+   |x| - ceil(t |x|) + 1 tokens in any common order. The order puts the `HOT` most frequent tokens last, so shared
+   passages rarely bring documents together. The holders of a token, cut where sizes can't match, are tied to their
+   smallest. Components of these ties are the partitions in which all links lie. A large one is cut: every two chunks
+   meet in a task of their own, so no task holds more than two chunks.
+5. In a partition, similar documents form groups and the matrix holds each group's token union. A document's overlap
    with a union bounds its overlap with every member; only groups that reach the threshold are opened, and there only
    documents that aren't connected yet are compared, exactly.
 
@@ -22,7 +25,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +35,7 @@ from emberflow.llm import arrays
 from emberflow.llm.common import parts, ready, stored, text_of
 from emberflow.llm.graph import components, forest
 
-#: Tokens put last (their ids are sent to every task: 2 MB), and the count from which a token may be one of them.
+#: Tokens put last (sent to every task with their counts: 4 MB), and the count above which a token may be one of them.
 HOT, COMMON = 1 << 18, 3
 #: Tokens in a block of documents; sets and tokens in a chunk of a partition; sets in a group.
 BLOCK, CHUNK, CHUNK_TOKENS, GROUP = 1_500_000, 2000, 2_000_000, 16
@@ -51,66 +56,124 @@ def unpress(b: bytes, kind) -> np.ndarray:
 
 
 def _blocks(batches, most: int = BLOCK):
-    """Lists of (doc_id, set) with about `most` tokens each."""
+    """Lists of (doc_id, set) with about `most` tokens each, from texts or from sets made before."""
     ids, sets, n = [], [], 0
     for b in batches:
         own = b["doc_id"].to_pylist()
-        done = 0
-        for at, part in arrays.pieces(b["text"]):
-            sets += arrays.shingle_sets(part)
-            ids += own[at : at + len(part)]
-            n += sum(map(len, sets[-len(part) :]))
-            done = at + len(part)
+        if "tokens" in b.schema.names:
+            made = [(0, [np.frombuffer(x, _U) for x in b["tokens"].to_pylist()])]
+        else:
+            made = ((at, arrays.shingle_sets(part)) for at, part in arrays.pieces(b["text"]))
+        for at, some in made:
+            sets += some
+            ids += own[at : at + len(some)]
+            n += sum(map(len, some))
             if n >= most:
                 yield ids, sets
                 ids, sets, n = [], [], 0
-        assert done == b.num_rows
     if ids:
         yield ids, sets
 
 
-def _sharded(tokens: np.ndarray, shift: int, n: int):
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
+
+
+def _sharded(tokens: np.ndarray, shift: int, n: int) -> np.ndarray:
     """Cuts of sorted tokens by their leading bits."""
     return np.searchsorted(tokens, np.arange(1, n, dtype=_U) << _U(shift)) if n > 1 else np.zeros(0, int)
 
 
-def common_tokens(docs: DataFrame, n_rows: int, shards: int) -> tuple[np.ndarray, int]:
-    """Shortened hashes of the most frequent tokens, in order, and the shift that shortens."""
-    bits = min(62, 15 + max(1, n_rows).bit_length())
-    shift, lead = 64 - bits, bits - shards.bit_length() + 1
+def sift(rows: DataFrame, n_rows: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For rows of doc_id and text or tokens: (doc_id, n, digest, stays) of each, and the counts of frequent tokens.
 
-    def count(batches):
-        for _, sets in _blocks(batches):
-            t, c = np.unique(np.concatenate([*sets, np.zeros(0, _U)]) >> _U(shift), return_counts=True)
+    A block sends one entry for each distinct token of its distinct sets, so a token or a text that makes up a third
+    of all rows weighs no more than any other.
+    """
+    shards = 1 << (parts(n_rows, 8192) - 1).bit_length()
+    bits = min(62, 15 + max(1, n_rows).bit_length())
+    shift, lead = 64 - bits, bits - (shards.bit_length() - 1)
+    names = ["shard", "block", "doc_id", "n", "digest", "place", "t", "c", "w"]
+    schema = "shard int, block long, doc_id long, n long, digest binary, place int, t binary, c binary, w binary"
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    def ask(batches):
+        block = TaskContext.get().partitionId() << 32
+        for ids, sets in _blocks(batches):
+            digests = [_digest(s) for s in sets]
+            one: dict[bytes, int] = {}
+            place = [one.setdefault(d, len(one)) for d in digests]
+            first = {p: i for i, p in reversed(list(enumerate(place)))}
+            own = [np.unique(sets[first[p]] >> _U(shift)) for p in range(len(one))]
+            t, who = np.concatenate([*own, np.zeros(0, _U)]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            order = np.argsort(t, kind="stable")
+            t, begin, count = np.unique(t, return_index=True, return_counts=True)
+            w = who[order][begin]
+            # Tokens that several sets of this block hold are counted here; of the others the shard tells.
+            here = np.bincount(who[order], np.repeat(count > 1, count), len(own)).astype(np.int64)
+            for i in range(0, len(ids), 2048):
+                k = len(ids[i : i + 2048])
+                none = [None] * k
+                yield batch([[block % shards] * k, [block] * k, ids[i : i + k], [len(s) for s in sets[i : i + k]], digests[i : i + k], place[i : i + k], none, none, none])
             cuts = [0, *_sharded(t, lead, shards), len(t)]
-            rows = [(k, press(np.diff(t[a:b], prepend=_U(0))), press(np.minimum(c[a:b], 2**31 - 1).astype(np.uint32))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            if rows:
-                k, x, y = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["shard", "t", "c"])
-
-    def total(group: pa.Table) -> pa.Table:
-        t = np.concatenate([np.cumsum(unpress(x, np.uint64), dtype=np.uint64) for x in group["t"].to_pylist()])
-        c = np.concatenate([unpress(x, np.uint32) for x in group["c"].to_pylist()]).astype(np.int64)
-        order = np.argsort(t, kind="stable")
-        t, c = t[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        sums = np.add.reduceat(c, first)
-        keep = sums > COMMON
-        return pa.table({"t": pa.array(t[first][keep].astype(np.int64)), "n": pa.array(sums[keep])})
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if b > a:
+                    yield batch([[k], [block], [None], [len(own)], [None], [None], [press(np.diff(t[a:b], prepend=_U(0)))], [press(count[a:b].astype(np.uint32))], [press(w[a:b].astype(np.uint32))]])
+            yield batch([[block % shards], [block], [None], [None], [None], [-2], [None], [press(here)], [None]])
+            block += 1
+
+    def count(group: pa.Table) -> pa.Table:
+        asked = group.filter(pc.is_valid(group["t"]))
+        ts = [np.cumsum(unpress(x, np.uint64), dtype=np.uint64) for x in asked["t"].to_pylist()]
+        cs = [unpress(x, np.uint32).astype(np.int64) for x in asked["c"].to_pylist()]
+        t, at = np.unique(np.concatenate([*ts, np.zeros(0, _U)]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([*cs, np.zeros(0)]), len(t)).astype(np.int64)
+        out, x = [group.filter(pc.is_null(group["t"]))], 0
+        for block, n, c, w in zip(asked["block"].to_pylist(), asked["n"].to_pylist(), cs, asked["w"].to_pylist()):
+            shared = (total[at[x : x + len(c)]] > 1) & (c == 1)
+            x += len(c)
+            out.append(pa.Table.from_batches([batch([[0], [block], [None], [None], [None], [-2], [None], [press(np.bincount(unpress(w, np.uint32), shared, n).astype(np.int64))], [None]])]))
+        top = np.flatnonzero(total > COMMON)
+        top = np.sort(top[np.argsort(-total[top], kind="stable")[:HOT]])
+        out.append(pa.Table.from_batches([batch([[0], [None], [None], [None], [None], [-1], [t[top].tobytes()], [total[top].tobytes()], [None]])]))
+        return pa.concat_tables(out)
+
+    told = stored(rows.mapInArrow(ask, schema).groupBy("shard").applyInArrow(count, schema))
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        shared = sum((unpress(x, np.int64) for x in right["counts"].to_pylist()), np.int64(0))
+        n = left["n"].to_numpy()
+        stays = (np.asarray(shared)[left["place"].to_numpy()] * 100 >= percent * n) & (n > 0) if left.num_rows else np.zeros(0, bool)
+        return left.select(["doc_id", "n", "digest"]).append_column("stays", pa.array(stays))
+
+    shared = told.filter("place = -2").select(F.col("block").alias("of"), F.col("c").alias("counts"))
+    docs = told.filter("place >= 0").select("block", "doc_id", "n", "digest", "place").groupBy("block").cogroup(shared.groupBy("of"))
+    return docs.applyInArrow(judge, "doc_id long, n long, digest binary, stays boolean"), told.filter("place = -1").select("t", "c").withColumn("shift", F.lit(shift))
+
+
+def hot_tokens(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The HOT most frequent tokens (shortened, in order), their counts, and the shift that shortens."""
+
+    def spread(batches):
+        for b in batches:
+            for t, c, s in zip(b["t"].to_pylist(), b["c"].to_pylist(), b["shift"].to_pylist()):
+                t = np.frombuffer(t, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.frombuffer(c, np.int64)), pa.array(np.full(len(t), s, np.int32))], ["t", "n", "shift"])
 
-    counted = docs.mapInArrow(count, "shard int, t binary, c binary").groupBy("shard").applyInArrow(total, "t long, n long")
-    top = counted.orderBy(F.desc("n"), "t").limit(HOT).select("t").toArrow()
-    return np.sort(top["t"].to_numpy()).astype(_U), shift
+    top = frequent.mapInArrow(spread, "t long, n long, shift int").orderBy(F.desc("n"), "t").limit(HOT).toArrow().sort_by("t")
+    return top["t"].to_numpy().astype(_U), top["n"].to_numpy(), top["shift"][0].as_py() if top.num_rows else 0
 
 
-def in_order(s: np.ndarray, hot: np.ndarray, shift: int) -> np.ndarray:
-    """A set's tokens in the common order: hot ones last, else by hash."""
-    if not len(hot) or not len(s):
+def in_order(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """A set's tokens in the common order: by hash, then the frequent ones by count and hash."""
+    t, n, shift = hot
+    if not len(t) or not len(s):
         return s
     short = s >> _U(shift)
-    at = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
-    last = hot[at] == short
-    return np.concatenate([s[~last], s[last]])
+    at = np.minimum(np.searchsorted(t, short), len(t) - 1)
+    last = t[at] == short
+    return np.concatenate([s[~last], s[last][np.argsort(n[at[last]], kind="stable")]])
 
 
 def matrix_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,41 +235,43 @@ def join_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = ready(docs.sparkSession)
     n_rows = docs.count()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    shards = 1 << (parts(n_rows, 8192) - 1).bit_length()
-    hot, shift = common_tokens(docs, n_rows, shards)
-    shared = spark.sparkContext.broadcast(hot)  # at most HOT numbers
+    sifted, _ = sift(docs, n_rows, percent)
+    rows = stored(sifted)
+    nodes = rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("stays").alias("stays"))
+    nodes = stored(nodes)
+    kept = nodes.filter("stays").select(F.col("node").alias("_node"), "digest")
+
+    def load(batches):
+        for b in batches:
+            sets = arrays.shingle_sets(b["text"])
+            own = np.array([_digest(s) == d for s, d in zip(sets, b["digest"].to_pylist())], bool)
+            keep = pa.array(np.flatnonzero(own))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(keep), pa.array([s.tobytes() for s, o in zip(sets, own) if o], pa.binary())], ["doc_id", "tokens"])
+
+    texts = docs.join(kept, F.col("doc_id") == F.col("_node")).select("doc_id", "digest", "text")
+    # Repeated rows of a document load its set once more; that can only keep it, and a task takes the first.
+    loaded = stored(texts.mapInArrow(load, "doc_id long, tokens binary"))
+    n_loaded = loaded.count()
+    again, frequent = sift(loaded, n_loaded, percent)
+    hot = hot_tokens(frequent)
+    shared = spark.sparkContext.broadcast(hot)  # at most HOT numbers and counts
+    stays = again.filter("stays").select("doc_id").distinct()
+    sets = stored(loaded.join(stays, "doc_id", "left_semi"))
+    shards = 1 << (parts(n_loaded, 8192) - 1).bit_length()
     lead = 64 - (shards.bit_length() - 1)
 
     def post(batches):
-        names = ["shard", "doc_id", "n", "digest", "t", "ids", "sizes"]
-        hot = shared.value
         for ids, sets in _blocks(batches):
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b"" for s in sets]
-            for i in range(0, len(ids), 2048):
-                k = len(ids[i : i + 2048])
-                none = [None] * k
-                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(ids[i : i + k], pa.int64()), pa.array([len(s) for s in sets[i : i + k]], pa.int64()), pa.array(digests[i : i + k], pa.binary()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names)
-            one: dict[bytes, int] = {}
-            for i, d in enumerate(digests):
-                if d and ids[i] is not None and (d not in one or ids[i] < ids[one[d]]):
-                    one[d] = i
-            toks, who = [], []
-            for i in one.values():
-                s = sets[i]
-                toks.append(in_order(s, hot, shift)[: len(s) - least_overlap(len(s), percent) + 1])
-                who.append(np.full(len(toks[-1]), i))
-            if not toks:
-                continue
-            t, w = np.concatenate(toks), np.concatenate(who)
+            hot = shared.value
+            toks = [in_order(s, hot)[: len(s) - least_overlap(len(s), percent) + 1] for s in sets]
+            t, w = np.concatenate(toks), np.repeat(np.arange(len(toks)), [len(x) for x in toks])
             order = np.argsort(t, kind="stable")
             t, w = t[order], w[order]
-            own, size = np.array([-1 if i is None else i for i in ids], np.int64)[w], np.array([len(s) for s in sets], np.uint32)[w]
+            own, size = np.array(ids, np.int64)[w], np.array([len(s) for s in sets], np.uint32)[w]
             cuts = [0, *_sharded(t, lead, shards), len(t)]
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([t[a:b].tobytes()], pa.binary()), pa.array([press(own[a:b])], pa.binary()), pa.array([press(size[a:b])], pa.binary())], names)
-
-    made = stored(docs.mapInArrow(post, "shard int, doc_id long, n long, digest binary, t binary, ids binary, sizes binary"))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([t[a:b].tobytes()], pa.binary()), pa.array([press(own[a:b])], pa.binary()), pa.array([press(size[a:b])], pa.binary())], ["shard", "t", "ids", "sizes"])
 
     def meet(group: pa.Table) -> pa.Table:
         t = np.concatenate([np.frombuffer(x, _U) for x in group["t"].to_pylist()])
@@ -224,28 +289,14 @@ def join_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         v, root = forest(ids[1:][tied], ids[:-1][tied])
         return pa.table({"u": pa.array(v, pa.int64()), "v": pa.array(root, pa.int64())})
 
-    ties = made.filter("shard is not null").select("shard", "t", "ids", "sizes").groupBy("shard").applyInArrow(meet, "u long, v long")
-    rows = made.filter("shard is null").select("doc_id", "n", "digest")
-    nodes = stored(rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
-    # A block's smallest holder of a set is tied to the smallest of all.
-    equal = rows.filter("n > 0 and doc_id is not null").join(nodes.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    near = stored(components(ties.unionByName(equal)))
-    placed = nodes.join(near, nodes["node"] == near["v"], "left").select("node", "digest", "n", F.coalesce("root", "node").alias("part"))
-    sizes = placed.groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
-    sizes = sizes.select("part", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
-    members = stored(placed.join(sizes, "part").select("node", "digest", "part", "chunks"))
-
-    def load(batches):
-        for b in batches:
-            sets = arrays.shingle_sets(b["text"])
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, b["digest"].to_pylist())]
-            keep = pa.array(np.flatnonzero(own))
-            blobs = pa.array([s.tobytes() for s, o in zip(sets, own) if o], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b[c].take(keep) for c in ("node", "part", "chunks")], blobs], ["node", "part", "chunks", "tokens"])
-
-    texts = docs.join(members.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node")).select(F.col("_node").alias("node"), "digest", "part", "chunks", "text")
-    # Repeated rows of a document load its set once more; a task keeps the first.
-    loaded = texts.mapInArrow(load, "node long, part long, chunks int, tokens binary")
+    ties = sets.mapInArrow(post, "shard int, t binary, ids binary, sizes binary").groupBy("shard").applyInArrow(meet, "u long, v long")
+    near = components(ties)
+    # Every tied set is in `near`, but for the smallest of its partition.
+    own = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
+    sizes = own.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    sizes = sizes.select(F.col("root").alias("part"), F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
+    members = own.select(F.col("v").alias("node"), F.col("root").alias("part")).join(sizes, "part")
+    loaded = sets.join(members, sets["doc_id"] == members["node"]).select("node", "part", "chunks", "tokens")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.when(j < F.col("_c"), F.struct(j.alias("i"), F.col("_c").alias("j"))).when(j > F.col("_c"), F.struct(F.col("_c").alias("i"), j.alias("j"))))
     pairs = loaded.withColumn("_c", mine).withColumn("_p", F.explode(F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.filter(others, lambda p: p.isNotNull()))))
@@ -261,7 +312,6 @@ def join_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = whole.unionByName(components(links.filter("chunks > 1").select("u", "v")))
     roots = nodes.join(found, nodes["node"] == found["v"], "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = rows.join(roots, "digest", "left")
-    # Rows that share a doc_id but not a set are one document: their components are joined through the id.
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
