@@ -28,7 +28,7 @@ from emberflow.llm.ngrams import Trie
 
 _U = np.uint64
 #: Words in a block; bigrams that a shard is asked for, about; tokens of a word from which its bigrams are split.
-BLOCK, ASKED, SPLIT = 3_000_000, 2_000_000, 1_000_000
+BLOCK, ASKED, SPLIT = 2_000_000, 2_000_000, 1_000_000
 START, END = 0, 1
 
 
@@ -126,8 +126,8 @@ def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
             own = at[x : x + len(w)]
             rows.append((block, 0, shard, press(ids[own]), press(total[own].astype(np.uint64)), b""))
             x += len(w)
-        stats = np.array([(total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total.sum()], np.int64)
-        rows.append((-1, 1, shard, stats.tobytes(), b"", b""))
+        stats = [int(x) for x in ((total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total.sum())]
+        rows.append((-1, 1, shard, ",".join(map(str, stats)).encode(), b"", b""))
         return pa.Table.from_batches([_table(rows, ANSWERS)])
 
     return blocks.select("block", "words", "counts").mapInArrow(ask, "shard int, block long, w binary, c binary").groupBy("shard").applyInArrow(answer, ANSWERS)
@@ -252,7 +252,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
     vocab_shards = parts(n_rows, 8000)
     vocab = stored(vocabulary(blocks, vocab_shards))
     # Four numbers a shard, added up in the tasks.
-    nums = [F.expr(f"conv(hex(reverse(substring(a, {8 * i + 1}, 8))), 16, 10)").cast("long") for i in range(4)]
+    nums = [F.split(F.decode("a", "UTF-8"), ",")[i].cast("long") for i in range(4)]
     known, once, twice, words = (x or 0 for x in vocab.filter("kind = 1").agg(*[F.sum(x) for x in nums]).first())
     n_tokens, n_words = words + n_train, known + (n_train > 0)
     discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
