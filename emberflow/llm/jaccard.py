@@ -109,7 +109,7 @@ def sift(rows: DataFrame, n_rows: int, percent: int) -> tuple[DataFrame, DataFra
             t, who = np.concatenate([*own, np.zeros(0, _U)]), np.repeat(np.arange(len(own)), [len(x) for x in own])
             order = np.argsort(t, kind="stable")
             t, begin, count = np.unique(t, return_index=True, return_counts=True)
-            w = who[order][begin]
+            w = who[begin]
             # Tokens that several sets of this block hold are counted here; of the others the shard tells.
             here = np.bincount(who[order], np.repeat(count > 1, count), len(own)).astype(np.int64)
             for i in range(0, len(ids), 2048):
