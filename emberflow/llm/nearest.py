@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from emberflow.llm.common import parts, ready
 
 #: Rows in a block, queries in a block, and the rows of a block that are compared again for each query.
-BLOCK, QUERIES, AGAIN = 2048, 512, 24
+BLOCK, QUERIES, AGAIN = 2048, 512, 96
 
 
 @dataclass
