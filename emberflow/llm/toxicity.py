@@ -65,20 +65,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias from 0/1 matrices of positive and unlabelled rows, by Adam on the non-negative risk."""
-    rng = np.random.default_rng(seed)
+def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias from 0/1 matrices of positive and unlabelled rows, by Adam on the non-negative risk.
+
+    Each step takes all rows: in small batches the second part of the risk falls below zero by chance, and climbing
+    it then would draw all scores together.
+    """
     w = np.zeros(pos.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     loss = lambda z: np.logaddexp(0, -z)
+    mean = lambda x, c: np.append(c.astype(x.dtype) @ x, c.sum()) / len(c)
     for t in range(1, steps + 1):
-        p, u = pos[rng.integers(0, len(pos), min(len(pos), 512))], unl[rng.integers(0, len(unl), min(len(unl), 2048))]
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        mean = lambda x, c: np.append(c @ x, c.sum()) / len(c)
-        up = mean(p, -sig(-zp))  # gradient of E_P[l(+z)]
-        down_p, down_u = mean(p, sig(zp)), mean(u, sig(zu))  # of E_P[l(-z)] and E_U[l(-z)]
+        weights = w[:-1].astype(pos.dtype)
+        zp, zu = pos @ weights + w[-1], unl @ weights + w[-1]
+        # Gradients of E_P[l(+z)], E_P[l(-z)] and E_U[l(-z)].
+        up, down_p, down_u = mean(pos, -sig(-zp)), mean(pos, sig(zp)), mean(unl, sig(zu))
         g = prior * up + down_u - prior * down_p if loss(-zu).mean() - prior * loss(-zp).mean() >= 0 else prior * down_p - down_u
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
