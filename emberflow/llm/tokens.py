@@ -106,10 +106,11 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None) -> DataFr
     def encode(batches):
         enc = encoder(path)
         for b in batches:
-            n = [len(x) // 4 for x in enc.encode(b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([own] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
+            new = dict(zip(b["digest"].to_pylist(), b["text"].to_pylist()))  # rows repeated with their id come once
+            n = [len(x) // 4 for x in enc.encode(list(new.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array([own] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
     todo = keyed.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(misses.select(F.col("digest").alias("_d"), "_one"), (F.col("_key") == F.col("_one")) & (F.col("digest") == F.col("_d"))).select("digest", "text")
-    todo.mapInArrow(encode, schema).write.mode("append").parquet(cache)
+    todo.mapInArrow(encode, schema).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).filter(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
