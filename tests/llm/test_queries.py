@@ -1,0 +1,16 @@
+import os
+
+import pytest
+
+from emberflow.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n != "pipeline"])
+def test_query_returns_all_rows(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables here")
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = Q.QUERIES[name](spark, SF).count()
+    assert rows >= n if name == "op5_packing" else rows == n if name != "op9_nearest" else rows > 0
