@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberflow.functions import names as N
-from emberflow.functions.effects import BOUNDARY
+from emberflow.functions.effects import BIT, BOUNDARY, names_of
+from emberflow.operators import chaining as C
 from emberflow.operators import policy as P
 from emberflow.operators import verbs as V
 from emberflow.operators.fixpoint import value_fixpoint
@@ -373,3 +374,53 @@ def classify_calls(m: Model) -> DataFrame:
     calls = m.table("lineitem").select(F.expr("concat('java.', CASE l_linenumber % 3 WHEN 0 THEN 'io.File' WHEN 1 THEN 'net.Socket' ELSE 'util.List' END)").alias("owner"), F.expr("CASE l_returnflag WHEN 'A' THEN 'connect' WHEN 'N' THEN 'exists' ELSE 'size' END").alias("method"))
     rules = m.spark.createDataFrame([(1, "java.net.Socket", "^connect$", "Net"), (2, "java.io.", ".*", "Fs"), (3, "java.", "^exec$", "Exec")], "priority int, owner_prefix string, method_pattern string, effect string")
     return V.classify_calls(calls, rules)
+
+
+@query("""WITH dep AS (SELECT 'h' || p_partkey % 40 AS hash, CASE WHEN p_partkey % 4 = 0 THEN 'old' ELSE 'new' END AS version, CASE p_size % 3 WHEN 0 THEN 'Net' WHEN 1 THEN 'Fs' ELSE 'Unknown' END AS effect FROM part),
+d AS (SELECT hash, CASE WHEN version = 'old' THEN 'Unknown' ELSE effect END AS effect FROM dep)
+SELECT 'C' || c_custkey AS fn, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects FROM customer JOIN d ON d.hash = 'h' || c_custkey % 60 GROUP BY 1""", views=False)
+def dependency_effects(m: Model) -> DataFrame:
+    rows = m.table("part").select(F.expr("concat('h', p_partkey % 40)").alias("hash"), F.expr("if(p_partkey % 4 = 0, 'old', 'new')").alias("version"), F.expr(f"CASE p_size % 3 WHEN 0 THEN {BIT['Net']} WHEN 1 THEN {BIT['Fs']} ELSE {BIT['Unknown']} END").alias("mask"), F.lit(None).cast("string").alias("why"))
+    calls = m.table("customer").select(F.expr("concat('C', c_custkey)").alias("fn"), F.expr("concat('h', c_custkey % 60)").alias("hash"))
+    return C.inherit_from_dependencies(calls, C.dependency_functions(rows, "new")).select("fn", F.array_join(names_of(F.col("mask")), ",").alias("effects"))
+
+
+@query(_SUPERS + """idx AS (SELECT 'P' || p_partkey AS t FROM part WHERE p_partkey % 5 <> 2), q AS (SELECT 'P' || p_partkey AS type, 'P' || p_partkey // 16 AS "of" FROM part UNION SELECT 'P' || p_partkey, 'P1' FROM part),
+up(s, n) AS (SELECT DISTINCT type, type FROM q UNION SELECT up.s, sup.super FROM up JOIN sup ON sup.type = up.n)
+SELECT type, "of", CASE WHEN EXISTS (SELECT 1 FROM up WHERE s = type AND n = "of") THEN 'YES' WHEN EXISTS (SELECT 1 FROM up WHERE s = type AND n NOT IN (SELECT t FROM idx)) THEN 'UNANSWERABLE' ELSE 'NO' END AS answer FROM q""")
+def subtype_answers(m: Model) -> DataFrame:
+    _, supers, _ = _hierarchy(m)
+    parts = m.table("part")
+    t = F.expr("concat('P', p_partkey)").alias("type")
+    asked = parts.select(t, F.expr("concat('P', p_partkey div 16)").alias("of")).union(parts.select(t, F.lit("P1")))
+    return C.subtype_answers(asked, supers, parts.filter("p_partkey % 5 <> 2").select(t))
+
+
+@query("SELECT split_part(why, ':', 1) AS prefix, why AS tag, count(*) AS n FROM reasons GROUP BY ALL")
+def reason_histogram(m: Model) -> DataFrame:
+    return C.reason_histogram(m.reasons())
+
+
+@query("SELECT 'pkg' || l_suppkey AS package, count(*) AS calls FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1", views=False)
+def coverage_ledger(m: Model) -> DataFrame:
+    calls = m.table("lineitem").select(F.expr("concat('pkg', l_suppkey)").alias("package"))
+    return C.coverage_ledger(calls, m.table("supplier").filter("s_suppkey % 3 = 0").select(F.expr("concat('pkg', s_suppkey)").alias("package")))
+
+
+@query("""+ said(cls, effect) AS (VALUES ('app.api', 'Log'), ('app.api', 'Exec'), ('app.dao', 'Net'), ('app.domain', 'Fs')), done AS (SELECT DISTINCT regexp_replace(fn, '\\.[^.]*$', '') AS cls, effect FROM inferred WHERE effect <> 'Unknown')
+SELECT c.cls, coalesce((SELECT string_agg(effect, ',' ORDER BY effect) FROM done WHERE done.cls = c.cls AND effect NOT IN (SELECT effect FROM said WHERE said.cls = c.cls)), '') AS undeclared, coalesce((SELECT string_agg(effect, ',' ORDER BY effect) FROM said WHERE said.cls = c.cls AND effect NOT IN (SELECT effect FROM done WHERE done.cls = c.cls)), '') AS overdeclared FROM (SELECT DISTINCT cls FROM said) c""")
+def conformance(m: Model) -> DataFrame:
+    said = m.spark.createDataFrame([("app.api", "Log"), ("app.api", "Exec"), ("app.dao", "Net"), ("app.domain", "Fs")], "cls string, effect string")
+    return C.conformance(m.functions(), said)
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 't' || o_custkey WHEN 1 THEN 'ledger.t' || o_custkey || ',x' WHEN 2 THEN '' ELSE 'log' END AS tables FROM orders""", views=False)
+def tables_in_sql(m: Model) -> DataFrame:
+    k = F.col("o_custkey").cast("string")
+    sql = F.when(F.expr("o_orderkey % 4 = 0"), F.concat(F.lit("UPDATE t"), k, F.lit(" SET a = 1 WHERE b = 2"))).when(F.expr("o_orderkey % 4 = 1"), F.concat(F.lit("select * from Ledger.T"), k, F.lit(" a JOIN x ON a.i = x.i FOR UPDATE SKIP LOCKED"))).when(F.expr("o_orderkey % 4 = 2"), F.concat(F.lit("please take it from t"), k)).otherwise("INSERT INTO log VALUES (1)")
+    return m.table("orders").select("o_orderkey", F.array_join(C.tables_in_sql(sql), ",").alias("tables"))
+
+
+@query("SELECT count(DISTINCT fn) AS n FROM nodes")
+def analyzed_count(m: Model) -> DataFrame:
+    return C.digest(m.nodes().select(F.col("fn").alias("name"))).select("n")
