@@ -22,6 +22,7 @@ null; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -112,15 +113,17 @@ def sift(rows: DataFrame, n_rows: int, percent: int) -> tuple[DataFrame, DataFra
             w = who[begin]
             # Tokens that several sets of this block hold are counted here; of the others the shard tells.
             here = np.bincount(who[order], np.repeat(count > 1, count), len(own)).astype(np.int64)
+            # Rows of a block pass through any one shard; blocks are spread over all.
+            via = zlib.crc32(str(block).encode()) % shards
             for i in range(0, len(ids), 2048):
                 k = len(ids[i : i + 2048])
                 none = [None] * k
-                yield batch([[block % shards] * k, [block] * k, ids[i : i + k], [len(s) for s in sets[i : i + k]], digests[i : i + k], place[i : i + k], none, none, none])
+                yield batch([[via] * k, [block] * k, ids[i : i + k], [len(s) for s in sets[i : i + k]], digests[i : i + k], place[i : i + k], none, none, none])
             cuts = [0, *_sharded(t, lead, shards), len(t)]
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if b > a:
                     yield batch([[k], [block], [None], [len(own)], [None], [None], [press(np.diff(t[a:b], prepend=_U(0)))], [press(count[a:b].astype(np.uint32))], [press(w[a:b].astype(np.uint32))]])
-            yield batch([[block % shards], [block], [None], [None], [None], [-2], [None], [press(here)], [None]])
+            yield batch([[via], [block], [None], [None], [None], [-2], [None], [press(here)], [None]])
             block += 1
 
     def count(group: pa.Table) -> pa.Table:
