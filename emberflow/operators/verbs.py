@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberflow.functions import names as N
 from emberflow.functions.effects import BIT, BOUNDARY, CROSS_CUTTING, EFFECTS, bit_of, hops_factor, mask_of, names_of, salience
-from emberflow.operators.fixpoint import down, first_found, nearest, reach, shortest_paths, up, value_fixpoint
+from emberflow.operators.fixpoint import down, first_found, nearest, reach, shortest_paths, start, up, value_fixpoint
 from emberflow.plans.runtime import stored
 
 
@@ -211,6 +211,33 @@ def remedy(functions: DataFrame, edges: DataFrame, effect: str, denied: Column,
     return {"sites": sites, "span": span, "hoist": hoist, "higher": above.filter("not denied").select("fn"), "sandwiched": above.agg(F.coalesce(F.max("denied"), F.lit(False)).alias("sandwiched"))}
 
 
+def remedies(functions: DataFrame, edges: DataFrame, effect: str, denied: Column) -> DataFrame:
+    """sites, n_starts, n_span, hoist, n_higher, clean: one remedy for each set of sites that denied carriers reach.
+
+    All denied carriers at once: starts with equal sets of sites share a remedy, as the climb begins at the sites, so
+    it is walked once for each set. Starts that reach no site have none. clean: there is a hoist and no denied carrier
+    above it.
+    """
+    carriers = stored(functions.filter(has(effect)).select("fn", denied.alias("denied"), has(effect, "direct_mask").alias("site")))
+    inside = stored(edges.join(carriers.select(F.col("fn").alias("callee")), "callee", "left_semi").join(carriers.select(F.col("fn").alias("caller")), "caller", "left_semi"))
+    walk = reach(down(inside), carriers.filter("denied").select(*start("fn")))
+    sets = walk.join(carriers.filter("site").select(F.col("fn").alias("node")), "node", "left_semi").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("sites"))
+    groups = stored(sets.groupBy("sites").agg(F.count("*").alias("n_starts")))
+    anchors = stored(groups.select("sites", F.explode(F.split("sites", ",")).alias("fn")))
+    firsts = inside.join(anchors.withColumnRenamed("fn", "callee"), "callee").select(F.col("sites").alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
+    blocked, free = (carriers.filter(c).select(F.col("fn").alias("node")) for c in ("denied", "not denied"))
+    climbed = stored(reach(up(inside), firsts, blocked).select(F.col("source").alias("sites"), F.col("node").alias("fn")).join(carriers, "fn"))
+    span = climbed.filter("denied").select("sites", "fn").union(anchors.join(carriers.filter("denied"), "fn", "left_semi").select("sites", "fn")).distinct()
+    hoist = stored(climbed.filter("not denied").select("sites", "fn").distinct())
+    above = reach(up(inside), hoist.select(F.col("sites").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops")), free).select(F.col("source").alias("sites"), F.col("node").alias("fn")).join(hoist, ["sites", "fn"], "left_anti").join(carriers, "fn")
+    n_span = span.groupBy("sites").agg(F.count("*").alias("n_span"))
+    tops = hoist.groupBy("sites").agg(F.array_join(F.array_sort(F.collect_set("fn")), ",").alias("hoist"))
+    over = above.groupBy("sites").agg(F.count(F.when(~F.col("denied"), 1)).alias("n_higher"), F.max("denied").alias("sandwiched"))
+    rows = groups.join(n_span, "sites", "left").join(tops, "sites", "left").join(over, "sites", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return rows.select("sites", "n_starts", zero("n_span"), F.coalesce("hoist", F.lit("")).alias("hoist"), zero("n_higher"), (F.col("hoist").isNotNull() & ~F.coalesce("sandwiched", F.lit(False))).alias("clean"))
+
+
 def unverified(functions: DataFrame, violations: DataFrame, scope: Column) -> DataFrame:
     """fn: functions in scope that no rule bites and that may still do anything, as Unknown reaches them."""
     return functions.filter(scope & has("Unknown")).select("fn").join(violations.select("fn"), "fn", "left_anti")

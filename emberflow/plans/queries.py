@@ -322,6 +322,23 @@ def fix_remedy(m: Model) -> DataFrame:
     return out
 
 
+@query("""+ car AS (SELECT i.fn, split_part(i.fn, '.', 2) = 'dao' AS denied, d.fn IS NOT NULL AS site FROM inferred i LEFT JOIN direct d ON d.fn = i.fn AND d.effect = i.effect WHERE i.effect = 'Db'),
+ins AS (SELECT e.* FROM edges e JOIN car a ON a.fn = e.caller JOIN car b ON b.fn = e.callee),
+fw(s, fn) AS (SELECT fn, fn FROM car WHERE denied UNION SELECT s, ins.callee FROM fw JOIN ins ON ins.caller = fw.fn),
+st AS (SELECT s, string_agg(DISTINCT fn, ',' ORDER BY fn) AS sites FROM fw JOIN car USING (fn) WHERE site GROUP BY s),
+grp AS (SELECT sites, count(*) AS n_starts FROM st GROUP BY sites),
+anc AS (SELECT sites, unnest(string_split(sites, ',')) AS fn FROM grp),
+cl(sites, fn) AS (SELECT sites, ins.caller FROM anc JOIN ins ON ins.callee = anc.fn UNION SELECT sites, ins.caller FROM cl JOIN car USING (fn) JOIN ins ON ins.callee = cl.fn WHERE car.denied),
+sp AS (SELECT sites, fn FROM cl JOIN car USING (fn) WHERE denied UNION SELECT sites, fn FROM anc JOIN car USING (fn) WHERE denied),
+ho AS (SELECT DISTINCT sites, fn FROM cl JOIN car USING (fn) WHERE NOT denied),
+ab(sites, fn) AS (SELECT sites, fn FROM ho UNION SELECT sites, ins.caller FROM ab JOIN car USING (fn) JOIN ins ON ins.callee = ab.fn WHERE NOT car.denied),
+ov AS (SELECT sites, fn, denied FROM (SELECT * FROM ab EXCEPT SELECT * FROM ho) JOIN car USING (fn))
+SELECT g.sites, n_starts, (SELECT count(*) FROM sp WHERE sp.sites = g.sites) AS n_span, coalesce((SELECT string_agg(fn, ',' ORDER BY fn) FROM ho WHERE ho.sites = g.sites), '') AS hoist, (SELECT count(*) FROM ov WHERE ov.sites = g.sites AND NOT denied) AS n_higher,
+EXISTS (SELECT 1 FROM ho WHERE ho.sites = g.sites) AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.sites = g.sites AND denied) AS clean FROM grp g""")
+def fix_gate_remedies(m: Model) -> DataFrame:
+    return V.remedies(m.functions(), m.stored_edges(), "Db", N.scope_matches(N.segments(F.col("fn")), "dao"))
+
+
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'h' || c_custkey || '.example.com:8443' WHEN 1 THEN NULL WHEN 2 THEN '10.0.' || c_custkey % 200 || '.1' ELSE 'db' || c_custkey || '.local:5432' END AS host FROM customer", views=False)
 def host_literals(m: Model) -> DataFrame:
     k = F.col("c_custkey").cast("string")
