@@ -52,3 +52,17 @@ def key_text(name: str = "doc_id") -> Column:
 def parts(n_rows: int, rows_each: int, least: int = 1) -> int:
     """How many parts keep each near rows_each rows; it grows with the input and has no upper limit."""
     return max(least, -(-n_rows // rows_each))
+
+
+def lowest(df: DataFrame, key: Column, most: int, n_rows: int, over: float = 4.0) -> DataFrame:
+    """A bounded sample: at most `most` rows of df, the first in order of md5(key).
+
+    Only rows whose md5 lies below over * most / n_rows of its range are ordered, so about over * most rows meet in
+    one task however many n_rows of df are. Where filters of df keep fewer than 1 / over of them, the sample is
+    smaller.
+    """
+    share = over * most / max(1, n_rows)
+    rows = df.withColumn("_md5", F.md5(key))
+    if share < 1:
+        rows = rows.filter(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("double") < share * 2**32)
+    return rows.orderBy("_md5").limit(most).drop("_md5")
