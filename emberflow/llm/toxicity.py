@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberflow.llm import arrays
-from emberflow.llm.common import ready, stored, text_of
+from emberflow.llm.common import lowest, ready, stored, text_of
 
 BITS = 20
 #: A feature is kept if so many positives have it and its rates differ by so many standard errors.
@@ -95,10 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = marked.agg(F.count("*"), F.sum("toxic")).first()
     prior = min(0.5, max(0.005, (n_toxic or 0) / max(1, n)))
-    order = F.md5(F.col("doc_id").cast("string"))
-    pick = lambda df, most: df.withColumn("_h", order).orderBy("_h").limit(most).drop("_h")
-    pos = pick(marked.filter("toxic = 1").select("doc_id"), max_positive).withColumn("p", F.lit(1))
-    unl = pick(docs.select("doc_id").filter("doc_id is not null").distinct(), max_unlabelled).withColumn("p", F.lit(0))
+    key = F.col("doc_id").cast("string")
+    pos = lowest(marked.filter("toxic = 1").select("doc_id"), key, max_positive, n_toxic or 0).withColumn("p", F.lit(1))
+    unl = lowest(docs.select("doc_id").filter("doc_id is not null").distinct(), key, max_unlabelled, docs.count()).withColumn("p", F.lit(0))
     # At most max_positive + max_unlabelled ids: small enough to send to every task.
     chosen = F.broadcast(pos.unionByName(unl))
     sample = stored(docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("p", "text"))
@@ -134,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
             cut = np.searchsorted(pair // len(ids), np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b["p"], pa.array([(pair[x:y] % len(ids)).astype("<u2").tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["p", "c"])
 
-    got = sample.mapInArrow(project, "p int, c binary").orderBy("p", "c").toArrow()
+    got = sample.mapInArrow(project, "p int, c binary").toArrow().sort_by([("p", "ascending"), ("c", "ascending")])
     x = np.zeros((got.num_rows, len(ids)), np.float32)
     for i, c in enumerate(got["c"].to_pylist()):
         x[i, np.frombuffer(c, "<u2")] = 1
