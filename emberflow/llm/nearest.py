@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberflow.llm.common import parts, ready
+from emberflow.llm.common import lowest, parts, ready
 
 #: Rows in a block, queries in a block, and the rows of a block that are compared again for each query.
 BLOCK, QUERIES, AGAIN = 2048, 512, 96
@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, max_fit: int = 2000
         return spark.createDataFrame([], schema)
     d = sizes["d"]
     rows = rows.filter(F.size("v") == d)
-    sample = rows.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(max_fit).select("v").toArrow()
+    sample = lowest(rows, F.col("vec_id").cast("string"), max_fit, sizes["n"]).select("v").toArrow()
     book = train(_unit(_vectors(sample["v"].combine_chunks(), d)))
     shared = spark.sparkContext.broadcast(book)  # 16 * d numbers
     buckets = parts(sizes["n"], 4 * BLOCK)
