@@ -2,8 +2,9 @@
 
 1. Shingle sets are hashed in tasks; documents with equal sets are one node from then on, the smallest doc_id.
 2. Sifting: a set that is similar to another one by t shares at least t of its tokens with others. Blocks of sets send
-   each distinct token once (hashed shorter, which can only make more tokens look shared) to token shards; a shard
-   answers each block with the number of tokens of each set that another set holds too. Sets below t are done.
+   each distinct token once (hashed shorter) to token shards; a shard answers each block with the number of tokens of
+   each set that another set holds too. Tokens of one set that fall on one short value are each counted, so shorter
+   hashes can only make more tokens look shared. Sets below t are done.
 3. The texts of the rest are read once more and their sets are sifted again among themselves.
 4. Tokens of prefixes meet in shards: by the prefix rule two sets of similarity t share one of their first
    |x| - ceil(t |x|) + 1 tokens in any common order. The order puts the `HOT` most frequent tokens last, so shared
@@ -94,9 +95,9 @@ def sift(rows: DataFrame, n_rows: int, percent: int) -> tuple[DataFrame, DataFra
     shards = 1 << (parts(n_rows, 8192) - 1).bit_length()
     bits = min(62, 15 + max(1, n_rows).bit_length())
     shift, lead = 64 - bits, bits - (shards.bit_length() - 1)
-    names = ["shard", "block", "doc_id", "n", "digest", "place", "t", "c", "w"]
-    schema = "shard int, block long, doc_id long, n long, digest binary, place int, t binary, c binary, w binary"
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["shard", "block", "doc_id", "n", "digest", "place", "t", "c", "w", "m"]
+    schema = "shard int, block long, doc_id long, n long, digest binary, place int, t binary, c binary, w binary, m binary"
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     batch = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def ask(batches):
@@ -106,24 +107,24 @@ def sift(rows: DataFrame, n_rows: int, percent: int) -> tuple[DataFrame, DataFra
             one: dict[bytes, int] = {}
             place = [one.setdefault(d, len(one)) for d in digests]
             first = {p: i for i, p in reversed(list(enumerate(place)))}
-            own = [np.unique(sets[first[p]] >> _U(shift)) for p in range(len(one))]
-            t, who = np.concatenate([*own, np.zeros(0, _U)]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            own, many = zip(*[np.unique(sets[first[p]] >> _U(shift), return_counts=True) for p in range(len(one))])
+            t, who, many = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(many)
             order = np.argsort(t, kind="stable")
             t, begin, count = np.unique(t, return_index=True, return_counts=True)
-            w = who[begin]
+            w, m = who[begin], many[begin]
             # Tokens that several sets of this block hold are counted here; of the others the shard tells.
-            here = np.bincount(who[order], np.repeat(count > 1, count), len(own)).astype(np.int64)
+            here = np.bincount(who[order], many[order] * np.repeat(count > 1, count), len(own)).astype(np.int64)
             # Rows of a block pass through any one shard; blocks are spread over all.
             via = zlib.crc32(str(block).encode()) % shards
             for i in range(0, len(ids), 2048):
                 k = len(ids[i : i + 2048])
                 none = [None] * k
-                yield batch([[via] * k, [block] * k, ids[i : i + k], [len(s) for s in sets[i : i + k]], digests[i : i + k], place[i : i + k], none, none, none])
+                yield batch([[via] * k, [block] * k, ids[i : i + k], [len(s) for s in sets[i : i + k]], digests[i : i + k], place[i : i + k], none, none, none, none])
             cuts = [0, *_sharded(t, lead, shards), len(t)]
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if b > a:
-                    yield batch([[k], [block], [None], [len(own)], [None], [None], [press(np.diff(t[a:b], prepend=_U(0)))], [press(count[a:b].astype(np.uint32))], [press(w[a:b].astype(np.uint32))]])
-            yield batch([[via], [block], [None], [None], [None], [-2], [None], [press(here)], [None]])
+                    yield batch([[k], [block], [None], [len(own)], [None], [None], [press(np.diff(t[a:b], prepend=_U(0)))], [press(count[a:b].astype(np.uint32))], [press(w[a:b].astype(np.uint32))], [press(m[a:b].astype(np.uint32))]])
+            yield batch([[via], [block], [None], [None], [None], [-2], [None], [press(here)], [None], [None]])
             block += 1
 
     def count(group: pa.Table) -> pa.Table:
@@ -133,13 +134,13 @@ def sift(rows: DataFrame, n_rows: int, percent: int) -> tuple[DataFrame, DataFra
         t, at = np.unique(np.concatenate([*ts, np.zeros(0, _U)]), return_inverse=True)
         total = np.bincount(at, np.concatenate([*cs, np.zeros(0)]), len(t)).astype(np.int64)
         out, x = [group.filter(pc.is_null(group["t"]))], 0
-        for block, n, c, w in zip(asked["block"].to_pylist(), asked["n"].to_pylist(), cs, asked["w"].to_pylist()):
+        for block, n, c, w, m in zip(asked["block"].to_pylist(), asked["n"].to_pylist(), cs, asked["w"].to_pylist(), asked["m"].to_pylist()):
             shared = (total[at[x : x + len(c)]] > 1) & (c == 1)
             x += len(c)
-            out.append(pa.Table.from_batches([batch([[0], [block], [None], [None], [None], [-2], [None], [press(np.bincount(unpress(w, np.uint32), shared, n).astype(np.int64))], [None]])]))
+            out.append(pa.Table.from_batches([batch([[0], [block], [None], [None], [None], [-2], [None], [press(np.bincount(unpress(w, np.uint32), shared * unpress(m, np.uint32), n).astype(np.int64))], [None], [None]])]))
         top = np.flatnonzero(total > COMMON)
         top = np.sort(top[np.argsort(-total[top], kind="stable")[:HOT]])
-        out.append(pa.Table.from_batches([batch([[0], [None], [None], [None], [None], [-1], [t[top].tobytes()], [total[top].tobytes()], [None]])]))
+        out.append(pa.Table.from_batches([batch([[0], [None], [None], [None], [None], [-1], [t[top].tobytes()], [total[top].tobytes()], [None], [None]])]))
         return pa.concat_tables(out)
 
     told = stored(rows.mapInArrow(ask, schema).groupBy("shard").applyInArrow(count, schema))

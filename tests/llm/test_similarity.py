@@ -51,6 +51,20 @@ def test_many_near_copies_of_one_text(spark):
     assert got == brute_components(dict(rows))
 
 
+@pytest.mark.parametrize("others", [0, 3])
+def test_near_copies_of_very_long_texts(spark, others):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    near = list(words)
+    for _ in range(2000):
+        near[rng.randrange(len(near))] = f"n{rng.randrange(10**6)}"
+    rows = [(7, " ".join(words)), (3, " ".join(near)), *[(20 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(200_000))) for i in range(others)]]
+    want = brute_components(dict(rows))
+    assert want[7] == 3
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), min_size=1, max_size=30))
 def test_forest(links):
