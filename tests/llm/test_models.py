@@ -145,6 +145,19 @@ def test_cards_of_the_same_format_are_added(spark):
     assert all(len(r["spans"].split(",")) == 1 for r in got)
 
 
+@pytest.mark.parametrize("cards, max_docs", [(8, 6000), (40, 200)])
+def test_kinds_that_are_rare_are_added_too(spark, cards, max_docs):
+    rng = random.Random(6)
+    texts = [f"words here on page {rng.randrange(99)} of 2019-01-{i % 28:02d} and 1.{rng.randrange(99)}" for i in range(3000)]
+    number = lambda good: next(c for c in iter(lambda: str(4 * 10**15 + rng.randrange(10**15)), "") if pii.luhn(c) == good)
+    texts += [f"words here {number(True)} and more" for _ in range(cards)]
+    texts += [f"words here {number(False)} and more" for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(docs, pii.fit(docs, max_docs=max_docs)).collect()}
+    assert sum(got[i]["spans"] == "card:11:27" for i in range(3000 + cards, len(texts))) > 25
+    assert not any(got[i]["n_added"] for i in range(3000 + cards))
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
