@@ -2,7 +2,7 @@
 
 Permutation i maps a shingle x to the high half of a_i * x + b_i mod 2^64 (a_i odd); the least value over the set is
 kept, cut to 16 bits. The share of equal places estimates the Jaccard similarity of two sets. `near_duplicates`
-joins bands of the signature and verifies the similarity on the shingle sets.
+joins bands of the signature and compares the shingle sets of all that bands tie together.
 
 Cases: a null text is the empty one; texts without words share one fingerprint that no other text has in effect
 (all places 65535); with fewer than 5 words the whole sequence is the one shingle; rows with the same doc_id follow
@@ -20,8 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.llm import arrays
+from emberflow.llm import arrays, jaccard
 from emberflow.llm.common import parts, ready, stored, text_of
+from emberflow.llm.graph import components
 
 N_HASHES = 128
 _rng = np.random.default_rng(128)
@@ -104,11 +105,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
-    """doc_id, leader, jaccard: documents whose signature shares a band with the smallest doc_id of the band's bucket
-    and whose shingle sets are verified to be that similar.
+    """doc_id, leader, jaccard, class_id: each document that isn't the smallest of its class, a document whose shingle
+    set is verified to be that similar, their similarity, and the smallest doc_id that links reach.
 
-    Buckets are aggregated to their leader before anything is joined, so a bucket of any size gives a row for each
-    member, not for each pair. A pair of similarity s shares a band with probability 1-(1-s^4)^32, over 0.99 at 0.8.
+    Documents of equal sets are one, the smallest doc_id. The members of a band's bucket are tied to its smallest, so a
+    bucket of any size gives a row for each member, not for each pair; in each partition that ties make, all documents
+    are compared as in the similarity join, so no link depends on the smallest one. Only a pair that no path of shared
+    bands connects is missed: a pair of similarity s shares a band with probability 1-(1-s^4)^32, over 0.99 at 0.8.
     """
     ready(docs.sparkSession)
     each = N_HASHES // bands
@@ -117,20 +120,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
     def cut(batches):
         for b in batches:
             sig = signatures(b["text"])
-            key = np.ascontiguousarray(sig.astype("<u2")).reshape(len(sig), bands, each).view("<u8").reshape(len(sig), bands)
-            some = arrays.count_words(b["text"]) > 0
-            ids = np.repeat(b["doc_id"].to_numpy()[some], bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(bands), int(some.sum())), pa.int32()), pa.array(key[some].ravel().view("<i8"))], ["doc_id", "band", "key"])
-
-    keys = stored(rows.mapInArrow(cut, "doc_id long, band int, key long"))
-    lead = keys.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keys.join(lead, ["band", "key"]).filter("doc_id <> leader").select("doc_id", "leader").distinct()
-
-    def jaccard(batches):
+            key = np.ascontiguousarray(sig.astype("<u2")).reshape(len(sig), bands, each).view("<u8").reshape(len(sig), bands).view("<i8")
+            sets = arrays.shingle_sets(b["text"])
+            some = np.flatnonzero([len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([jaccard._digest(sets[i]) for i in some], pa.binary()), pa.array(list(key[some]), pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+
+    told = stored(rows.mapInArrow(cut, "doc_id long, n long, digest binary, keys array<long>"))
+    nodes = stored(told.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    lead = keys.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    ties = stored(keys.join(lead, ["band", "key"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    tied = ties.select("u").union(ties.select("v")).distinct()
+    tied = nodes.join(tied, nodes["node"] == tied["u"]).select(F.col("node").alias("_node"), "digest")
+
+    def load(batches):
         for b in batches:
-            x, y = (arrays.shingle_sets(b[c]) for c in ("text", "other"))
-            j = [len(np.intersect1d(p, q, True)) / max(1, len(np.union1d(p, q))) for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["leader"], pa.array(j, pa.float64())], ["doc_id", "leader", "jaccard"])
-
-    both = pairs.join(rows, "doc_id").join(rows.select(F.col("doc_id").alias("leader"), F.col("text").alias("other")), "leader")
-    return both.select("doc_id", "leader", "text", "other").mapInArrow(jaccard, "doc_id long, leader long, jaccard double").filter(F.col("jaccard") >= threshold)
+            sets = arrays.shingle_sets(b["text"])
+            own = [jaccard._digest(s) == d for s, d in zip(sets, b["digest"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(own, pa.bool_())), pa.array([s.tobytes() for s, o in zip(sets, own) if o], pa.binary())], ["doc_id", "tokens"])
+
+    texts = rows.join(tied, F.col("doc_id") == F.col("_node")).select("doc_id", "digest", "text")
+    pairs = jaccard.dealt(stored(texts.mapInArrow(load, "doc_id long, tokens binary")), nodes.select(F.col("node").alias("v"), "n"), ties)
+    percent = round(100 * threshold, 9)
+
+    def link(group: pa.Table) -> pa.Table:
+        seen = dict(zip(group["node"].to_pylist(), group["tokens"].to_pylist()))
+        u, v, like = jaccard.matrix_pairs(np.array(list(seen), np.int64), [np.frombuffer(x, np.uint64) for x in seen.values()], percent)
+        return pa.table({"u": u, "v": v, "jaccard": like})
+
+    same = told.join(nodes.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("jaccard"))
+    links = stored(pairs.groupBy("part", "i", "j").applyInArrow(link, "u long, v long, jaccard double").unionByName(same))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "jaccard"))
+    best = both.groupBy(F.col("u").alias("doc_id")).agg(F.min(F.struct("v", "jaccard")).alias("b"))
+    classes = components(links.select("u", "v")).select(F.col("v").alias("doc_id"), F.col("root").alias("class_id"))
+    return best.join(classes, "doc_id").select("doc_id", F.col("b.v").alias("leader"), F.col("b.jaccard").alias("jaccard"), "class_id")

@@ -180,8 +180,8 @@ def in_order(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray, int]) -> np.ndarr
     return np.concatenate([s[~last], s[last][np.argsort(n[at[last]], kind="stable")]])
 
 
-def matrix_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and the smallest id that they are connected to, by links among these distinct sets, without the smallest."""
+def matrix_pairs(ids: np.ndarray, sets: list[np.ndarray], percent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links among these distinct sets that connect all that links connect: two ids and their similarity."""
     m = len(sets)
     order = sorted(range(m), key=lambda i: (int(sets[i][0]), len(sets[i]), int(ids[i])))
     sets, ids = [sets[i] for i in order], np.asarray(ids)[order]
@@ -205,6 +205,7 @@ def matrix_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple
             i = root[i]
         return i
 
+    found: list[tuple[int, int, float]] = []
     here = np.zeros(int(token.max()) + 1, bool)
     for i in range(m):
         mine = token[ends[i] - sizes[i] : ends[i]]
@@ -226,12 +227,33 @@ def matrix_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple
                 if 100 * both >= percent * (a + b - both):
                     x, y = find(i), find(j)
                     root[max(x, y)] = min(x, y)
+                    found.append((ids[i], ids[j], both / (a + b - both)))
         here[mine] = False
-    tops = np.array([find(i) for i in range(m)])
-    low = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(low, tops, ids)
-    moved = low[tops] != ids
-    return ids[moved], low[tops][moved]
+    u, v, like = zip(*found) if found else ((), (), ())
+    return np.array(u, np.int64), np.array(v, np.int64), np.array(like, float)
+
+
+def matrix_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the smallest id that they are connected to, by links among these distinct sets, without the smallest."""
+    return forest(*matrix_pairs(ids, sets, percent)[:2])
+
+
+def dealt(sets: DataFrame, n_of: DataFrame, ties: DataFrame) -> DataFrame:
+    """node, part, chunks, i, j, tokens: sets (doc_id, tokens; sizes in n_of: v, n) in the partitions that ties make.
+
+    A large partition is cut into chunks, and every two of them are a group (part, i, j).
+    """
+    near = components(ties)
+    # Every tied set is in `near`, but for the smallest of its partition.
+    own = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
+    sizes = own.join(n_of, "v").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    sizes = sizes.select(F.col("root").alias("part"), F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
+    members = own.select(F.col("v").alias("node"), F.col("root").alias("part")).join(sizes, "part")
+    loaded = sets.join(members, sets["doc_id"] == members["node"]).select("node", "part", "chunks", "tokens")
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.when(j < F.col("_c"), F.struct(j.alias("i"), F.col("_c").alias("j"))).when(j > F.col("_c"), F.struct(F.col("_c").alias("i"), j.alias("j"))))
+    pairs = loaded.withColumn("_c", mine).withColumn("_p", F.explode(F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.filter(others, lambda p: p.isNotNull()))))
+    return pairs.select("node", "part", "chunks", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "tokens")
 
 
 def join_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -294,17 +316,7 @@ def join_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         return pa.table({"u": pa.array(v, pa.int64()), "v": pa.array(root, pa.int64())})
 
     ties = sets.mapInArrow(post, "shard int, t binary, ids binary, sizes binary").groupBy("shard").applyInArrow(meet, "u long, v long")
-    near = components(ties)
-    # Every tied set is in `near`, but for the smallest of its partition.
-    own = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
-    sizes = own.join(nodes.select(F.col("node").alias("v"), "n"), "v").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    sizes = sizes.select(F.col("root").alias("part"), F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
-    members = own.select(F.col("v").alias("node"), F.col("root").alias("part")).join(sizes, "part")
-    loaded = sets.join(members, sets["doc_id"] == members["node"]).select("node", "part", "chunks", "tokens")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.when(j < F.col("_c"), F.struct(j.alias("i"), F.col("_c").alias("j"))).when(j > F.col("_c"), F.struct(F.col("_c").alias("i"), j.alias("j"))))
-    pairs = loaded.withColumn("_c", mine).withColumn("_p", F.explode(F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.filter(others, lambda p: p.isNotNull()))))
-    pairs = pairs.select("node", "part", "chunks", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "tokens")
+    pairs = dealt(sets, nodes.select(F.col("node").alias("v"), "n"), ties)
 
     def link(group: pa.Table) -> pa.Table:
         seen = dict(zip(group["node"].to_pylist(), group["tokens"].to_pylist()))

@@ -122,6 +122,21 @@ def test_near_duplicates_are_verified(docs):
         assert len(a & b) / len(a | b) == pytest.approx(r["jaccard"]) and r["jaccard"] >= 0.8
 
 
+def test_near_duplicates_find_links_beside_the_leader(spark, docs):
+    rows = []
+    for k in range(5):
+        base = [f"w{k}.{i}" for i in range(400)]
+        # Sixty smaller ids share bands with the pair, but are like neither it nor each other by 0.8.
+        rows += [(100 * k + j, " ".join([*base, *[f"p{k}.{j}.{i}" for i in range(120)]])) for j in range(60)]
+        rows += [(100 * k + 90, " ".join(base)), (100 * k + 91, " ".join([*base[:370], *[f"c{k}.{i}" for i in range(30)]]))]
+    for texts in (dict(rows), {i: t for i, t in by_id(docs).items() if i is not None}):
+        found = fingerprints.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        links = np.array([(r["doc_id"], r["leader"]) for r in found], np.int64)
+        want = {i: r for i, r in brute_components(texts).items() if i != r}
+        assert dict(zip(*map(np.ndarray.tolist, forest(*links.T)))) == want
+        assert {r["doc_id"]: r["class_id"] for r in found} == want and len(found) == len(want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 24))
