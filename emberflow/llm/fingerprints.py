@@ -126,31 +126,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(some)), pa.array([len(sets[i]) for i in some], pa.int64()), pa.array([jaccard._digest(sets[i]) for i in some], pa.binary()), pa.array(list(key[some]), pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
 
     told = stored(rows.mapInArrow(cut, "doc_id long, n long, digest binary, keys array<long>"))
-    nodes = stored(told.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = stored(told.groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
     keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     lead = keys.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("m")).filter("m > 1")
     ties = stored(keys.join(lead, ["band", "key"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
     tied = ties.select("u").union(ties.select("v")).distinct()
-    tied = nodes.join(tied, nodes["node"] == tied["u"]).select(F.col("node").alias("_node"), "digest")
+    tied = nodes.join(tied, nodes["node"] == tied["u"]).select(F.col("label").alias("_label"), "node", "digest")
+    texts = rows.join(tied, F.col("doc_id") == F.col("_label")).select("node", "digest", "text")
 
-    def load(batches):
+    def single(batches):
         for b in batches:
-            sets = arrays.shingle_sets(b["text"])
-            own = [jaccard._digest(s) == d for s, d in zip(sets, b["digest"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].filter(pa.array(own, pa.bool_())), pa.array([s.tobytes() for s, o in zip(sets, own) if o], pa.binary())], ["doc_id", "tokens"])
+            for ids, sizes, tokens in zip(b["nodes"].to_pylist(), b["sizes"].to_pylist(), b["tokens"].to_pylist()):
+                ids, sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+                sets = np.split(np.frombuffer(tokens, np.uint64), np.cumsum(sizes)[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([[int(jaccard.arrays.mix(s ^ np.uint64(x)).min().view(np.int64)) for x in jaccard.SEEDS] for s in sets], pa.list_(pa.int64()))], ["node", "n", "tokens", "least"])
 
-    texts = rows.join(tied, F.col("doc_id") == F.col("_node")).select("doc_id", "digest", "text")
-    pairs = jaccard.dealt(stored(texts.mapInArrow(load, "doc_id long, tokens binary")), nodes.select(F.col("node").alias("v"), "n"), ties)
     percent = round(100 * threshold, 9)
-
-    def link(group: pa.Table) -> pa.Table:
-        seen = dict(zip(group["node"].to_pylist(), group["tokens"].to_pylist()))
-        u, v, like = jaccard.matrix_pairs(np.array(list(seen), np.int64), [np.frombuffer(x, np.uint64) for x in seen.values()], percent)
-        return pa.table({"u": u, "v": v, "jaccard": like})
-
-    same = told.join(nodes.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"), F.lit(1.0).alias("jaccard"))
-    links = stored(pairs.groupBy("part", "i", "j").applyInArrow(link, "u long, v long, jaccard double").unionByName(same))
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "jaccard"))
-    best = both.groupBy(F.col("u").alias("doc_id")).agg(F.min(F.struct("v", "jaccard")).alias("b"))
-    classes = components(links.select("u", "v")).select(F.col("v").alias("doc_id"), F.col("root").alias("class_id"))
-    return best.join(classes, "doc_id").select("doc_id", F.col("b.v").alias("leader"), F.col("b.jaccard").alias("jaccard"), "class_id")
+    sets = stored(jaccard.load_sets(texts).mapInArrow(single, "node long, n long, tokens binary, least array<long>").dropDuplicates(["node"]))
+    first = stored(jaccard.near_copies(sets, percent))
+    clusters = components(first.select("u", "v"))
+    held = stored(sets.join(clusters, sets["node"] == clusters["v"], "left").select("node", "n", F.coalesce("root", "node").alias("cluster"), "tokens"))
+    links = stored(first.unionByName(jaccard.compare(held, ties, percent)))
+    name = nodes.select("node", "label")
+    ends = links.join(name.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(name.select(F.col("node").alias("v"), F.col("label").alias("b")), "v")
+    same = told.join(nodes.select("digest", "label"), "digest").filter("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b"), F.lit(1.0).alias("jaccard"))
+    links = stored(ends.select("a", "b", "jaccard").unionByName(same))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).filter("a <> b")
+    best = both.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.struct("b", "jaccard")).alias("m"))
+    classes = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("v").alias("doc_id"), F.col("root").alias("class_id"))
+    return best.join(classes, "doc_id").select("doc_id", F.col("m.b").alias("leader"), F.col("m.jaccard").alias("jaccard"), "class_id")
