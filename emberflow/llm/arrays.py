@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _rng = np.random.default_rng(20240607)
 _U = np.uint64
@@ -24,6 +25,22 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _tables = [np.ones(1, _U), np.ones(1, _U)]
 
 
+_press, _unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def press(x: np.ndarray) -> bytes:
+    """Bytes by place (all lowest first), compressed: small numbers then take little."""
+    x = np.ascontiguousarray(x)
+    return _press.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) if len(x) else b""
+
+
+def unpress(b: bytes, kind) -> np.ndarray:
+    if not b:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(_unpress.decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all bits."""
     h = (h ^ (h >> _U(32))) * _MIX

@@ -31,17 +31,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberflow.llm import arrays
+from emberflow.llm.arrays import press, unpress
 from emberflow.llm.common import parts, ready, stored, text_of
 from emberflow.llm.graph import components, forest
 
 #: Tokens in a block of documents; tokens in a shard; sets and tokens in a chunk of a partition; sets in a group.
-BLOCK, SHARD, CHUNK, CHUNK_TOKENS, GROUP = 1_500_000, 1_000_000, 2000, 2_000_000, 16
+BLOCK, SHARD, CHUNK, CHUNK_TOKENS, GROUP = 1_000_000, 1_000_000, 2000, 2_000_000, 16
 #: Hashes under which near copies meet by their least token.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -52,14 +52,6 @@ def least_overlap(n: int, percent: float) -> int:
     return int(np.ceil(percent * n / 100 - 1e-9))
 
 
-def press(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def unpress(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
 def _blocks(batches, key: str = "doc_id", most: int = BLOCK):
     """Lists of (key, set) with about `most` tokens each, from texts or from sets made before."""
     ids, sets, n = [], [], 0
@@ -114,7 +106,7 @@ def sift(rows: DataFrame, n_tokens: int, percent: float) -> DataFrame:
     of all rows weighs no more than any other.
     """
     shards = _shards(n_tokens)
-    bits = min(62, 8 + max(1, n_tokens).bit_length())
+    bits = min(62, 4 + max(1, n_tokens).bit_length())
     shift, lead = 64 - bits, bits - (shards.bit_length() - 1)
 
     def ask(batches):
@@ -125,20 +117,25 @@ def sift(rows: DataFrame, n_tokens: int, percent: float) -> DataFrame:
             place = [one.setdefault(d, len(one)) for d in digests]
             first = {p: i for i, p in reversed(list(enumerate(place)))}
             own, many = zip(*[np.unique(sets[first[p]] >> _U(shift), return_counts=True) for p in range(len(one))])
-            t, who, many = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(many)
+            sizes = [len(s) for s in sets]
+            del sets
+            who, many = np.repeat(np.arange(len(own), dtype=np.uint32), [len(x) for x in own]), np.concatenate([x.astype(np.uint32) for x in many])
+            t, own = np.concatenate(own), len(own)
             order = np.argsort(t, kind="stable")
-            t, begin, count = np.unique(t, return_index=True, return_counts=True)
-            w, m = who[begin], many[begin]
+            t, who, many = t[order], who[order], many[order]
+            begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
+            count = np.diff(np.append(begin, len(t))).astype(np.uint32)
             # Tokens that several sets of this block hold are counted here; of the others the shard tells.
-            here = np.bincount(who[order], many[order] * np.repeat(count > 1, count), len(own)).astype(np.int64)
+            here = np.bincount(who, many * np.repeat(count > 1, count), own).astype(np.int64)
+            t, w, m = t[begin], who[begin], many[begin]
             # A block's own rows make a group of their own, below all shards.
             via = -1 - block
             for i in range(0, len(ids), 2048):
                 k = len(ids[i : i + 2048])
                 none = [None] * k
-                yield _asked([[via] * k, [block] * k, ids[i : i + k], [len(s) for s in sets[i : i + k]], digests[i : i + k], place[i : i + k], none, none, none, none])
+                yield _asked([[via] * k, [block] * k, ids[i : i + k], sizes[i : i + k], digests[i : i + k], place[i : i + k], none, none, none, none])
             for k, a, b in _cuts(t, lead):
-                yield _asked([[k], [block], [None], [len(own)], [None], [None], [press(np.diff(t[a:b], prepend=_U(0)))], [press(count[a:b].astype(np.uint32))], [press(w[a:b].astype(np.uint32))], [press(m[a:b].astype(np.uint32))]])
+                yield _asked([[k], [block], [None], [own], [None], [None], [press(np.diff(t[a:b], prepend=_U(0)))], *[[press(x[a:b])] for x in (count, w, m)]])
             yield _asked([[via], [block], [None], [None], [None], [-2], [None], [press(here)], [None], [None]])
             block += 1
 
@@ -155,17 +152,16 @@ def sift(rows: DataFrame, n_tokens: int, percent: float) -> DataFrame:
             out.append(pa.Table.from_batches([_asked([[0], [block], [None], [None], [None], [-2], [None], [press(np.bincount(unpress(w, np.uint32), shared * unpress(m, np.uint32), n).astype(np.int64))], [None], [None]])]))
         return pa.concat_tables(out)
 
-    told = stored(rows.mapInArrow(ask, _ASKED).groupBy("shard").applyInArrow(count, _ASKED))
+    told = rows.mapInArrow(ask, _ASKED).groupBy("shard").applyInArrow(count, _ASKED)
 
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        shared = sum((unpress(x, np.int64) for x in right["counts"].to_pylist()), np.int64(0))
-        n = left["n"].to_numpy()
-        stays = (np.asarray(shared)[left["place"].to_numpy()] * 100 >= percent * n) & (n > 0) if left.num_rows else np.zeros(0, bool)
-        return left.select(["doc_id", "n", "digest"]).append_column("stays", pa.array(stays))
+    def judge(group: pa.Table) -> pa.Table:
+        rows, answers = (group.filter(f(group["place"], 0)) for f in (pc.greater_equal, pc.less))
+        shared = sum((unpress(x, np.int64) for x in answers["c"].to_pylist()), np.int64(0))
+        n = rows["n"].to_numpy()
+        stays = (np.asarray(shared)[rows["place"].to_numpy()] * 100 >= percent * n) & (n > 0)
+        return rows.select(["doc_id", "n", "digest"]).append_column("stays", pa.array(stays))
 
-    shared = told.filter("place = -2").select(F.col("block").alias("of"), F.col("c").alias("counts"))
-    docs = told.filter("place >= 0").select("block", "doc_id", "n", "digest", "place").groupBy("block").cogroup(shared.groupBy("of"))
-    return docs.applyInArrow(judge, "doc_id long, n long, digest binary, stays boolean")
+    return told.select("block", "doc_id", "n", "digest", "place", "c").groupBy("block").applyInArrow(judge, "doc_id long, n long, digest binary, stays boolean")
 
 
 def load_sets(texts: DataFrame) -> DataFrame:

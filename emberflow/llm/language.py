@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberflow.llm import arrays
+from emberflow.llm.arrays import press, unpress
 from emberflow.llm.common import key_text, parts, ready, stored, text_of
 from emberflow.llm.ngrams import Trie
 
@@ -32,19 +32,6 @@ BLOCK, ASKED, SPLIT = 2_000_000, 2_000_000, 1_000_000
 START, END = 0, 1
 
 
-def press(x: np.ndarray) -> bytes:
-    """Bytes by place (all lowest first), compressed: small numbers then take little."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()) if len(x) else b""
-
-
-def unpress(b: bytes, kind) -> np.ndarray:
-    if not b:
-        return np.zeros(0, kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 BLOCKS = "block long, ids binary, held binary, sizes binary, tokens binary, words binary, counts binary"
 ANSWERS = "block long, kind int, shard int, a binary, b binary, c binary"
 
