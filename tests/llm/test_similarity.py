@@ -216,6 +216,49 @@ def test_nearest(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_of_extreme_magnitudes_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0, 0.5, 0.1]), (1, [1e-200, 0.0, 0.0, 1e-200]), (2, [1e200, 1e200, 0.0, 0.0]), (3, [5e-324, 0.0, 5e-324, 0.0]), (4, [1.7e308, 0.0, 1e308, 1e308])]
+    rows += [(50, [1.0, 2.0]), (51, [2.0, 4.1]), (52, [-1.0, 1.0]), (100, [3.0])]
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    from fractions import Fraction
+
+    def cosine(a, b):
+        a, b = ([Fraction(x) for x in v] for v in (a, b))
+        dot, squares = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(x * x for x in b)
+        return (1 if dot > 0 else -1) * float(dot * dot / squares) ** 0.5
+
+    vectors = dict(rows)
+    for q, same in ((0, (1, 2, 3, 4)), (50, (51, 52))):
+        want = sorted((-cosine(vectors[q], vectors[v]), v) for v in same)
+        assert [v for _, v, _ in sorted(got[q])] == [v for _, v in want]
+        assert [s for *_, s in sorted(got[q])] == pytest.approx([-s for s, _ in want], abs=1e-14)
+    assert 100 not in got
+
+
+def test_nearest_of_many_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)).round(1)
+    x[rng.permutation(600)[:300]] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[7].tolist()), (50, x[9].tolist())]
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), every=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    unit = {}
+    for i, v in rows:
+        unit.setdefault(i, []).append(np.array(v) / np.linalg.norm(v))
+    hits = 0
+    for q in range(0, 600, 10):
+        first = min((v for i, v in rows if i == q))
+        a = np.array(first) / np.linalg.norm(first)
+        want = sorted((-round(max(float(a @ v) for v in vs), 12), i) for i, vs in unit.items() if i != q)[:5]
+        hits += len({i for _, i in want} & {i for _, i in got[q]})
+        assert len(got[q]) == 5
+    assert hits / 300 >= 0.9
+
+
 def test_anisotropic_codes_favour_the_parallel_part():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 32))
