@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberflow.llm import arrays, jaccard
-from emberflow.llm.common import parts, ready, stored, text_of
+from emberflow.llm.common import parts, ready, small, stored, text_of
 from emberflow.llm.graph import components
 
 N_HASHES = 128
+#: Ranges of doc_id at most; each is a task.
+PARTS = 1 << 15
 _rng = np.random.default_rng(128)
 _A = _rng.integers(0, 2**63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64 - 1, N_HASHES, dtype=np.uint64)
@@ -58,20 +60,21 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """For each document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
-    document in descending doc_id; the last takes the first. Rows are cut at quantiles of doc_id into parts; the row
+    document in descending doc_id; the last takes the first. Rows are cut by ranges of doc_id into parts; the row
     at a part's lower bound, which exists, is sent to the part above it too, and the largest to the lowest part, so
     each part finds its next documents itself and every text is moved once, compressed.
     """
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    n = parts(docs.count(), 4000)
-    # n numbers: one for each part of about 4000 rows, as many as the partitions the driver keeps track of anyway.
-    cut = rows.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n)], 100 * n), F.max("doc_id")).first()
-    bounds = np.unique(np.array([*(cut[0] or []), *([cut[1]] if cut[1] is not None else [])], np.int64))
+    n = min(PARTS, parts(docs.count(), 4000))
+    # The largest doc_id of each of Spark's own ranges: at most PARTS numbers. A part is read as a stream, sorted by
+    # Spark, so it may be of any size.
+    ranges = rows.select("doc_id").filter("doc_id is not null").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("m"))
+    bounds = np.unique(np.array([r["m"] for r in ranges.collect()], np.int64))
 
     def deal(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in small(batches):
             known = ~b["doc_id"].is_null().to_numpy(zero_copy_only=False)
             ids = b["doc_id"].fill_null(0).to_numpy()
             part = np.where(known, np.searchsorted(bounds, ids), 0)
@@ -88,7 +91,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def chain(batches):
         unpress = zstandard.ZstdDecompressor()
         last = None  # (part, extra, doc_id, text, signature)
-        for b in batches:
+        for b in small(batches):
             texts = [unpress.decompress(x).decode("utf-8") for x in b["pressed"].to_pylist()]
             seen = list(zip(b["part"].to_pylist(), b["extra"].to_pylist(), b["doc_id"].to_pylist(), texts, signatures(pa.array(texts, pa.large_string()))))
             seen = ([last] if last else []) + seen
@@ -118,7 +121,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter("doc_id is not null")
 
     def cut(batches):
-        for b in batches:
+        for b in small(batches):
             sig = signatures(b["text"])
             key = np.ascontiguousarray(sig.astype("<u2")).reshape(len(sig), bands, each).view("<u8").reshape(len(sig), bands).view("<i8")
             sets = arrays.shingle_sets(b["text"])

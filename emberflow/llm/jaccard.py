@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from emberflow.llm import arrays
 from emberflow.llm.arrays import press, unpress
-from emberflow.llm.common import parts, ready, stored, text_of
+from emberflow.llm.common import parts, ready, small, stored, text_of
 from emberflow.llm.graph import components, forest
 
 #: Tokens in a block of documents; tokens in a shard; sets and tokens in a chunk of a partition; sets in a group.
@@ -55,7 +55,7 @@ def least_overlap(n: int, percent: float) -> int:
 def _blocks(batches, key: str = "doc_id", most: int = BLOCK):
     """Lists of (key, set) with about `most` tokens each, from texts or from sets made before."""
     ids, sets, n = [], [], 0
-    for b in batches:
+    for b in small(batches):
         own = b[key].to_pylist()
         if "tokens" in b.schema.names:
             made = [(0, [np.frombuffer(x, _U) for x in b["tokens"].to_pylist()])]
@@ -172,7 +172,7 @@ def load_sets(texts: DataFrame) -> DataFrame:
         block, seen = TaskContext.get().partitionId() << 32, set()
 
         def own():
-            for b in batches:
+            for b in small(batches):
                 sets = arrays.shingle_sets(b["text"])
                 keep = []
                 for i, (node, s, d) in enumerate(zip(b["node"].to_pylist(), sets, b["digest"].to_pylist())):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from emberflow.llm import arrays
 from emberflow.llm.arrays import press, unpress
-from emberflow.llm.common import key_text, parts, ready, stored, text_of
+from emberflow.llm.common import key_text, parts, ready, small, stored, text_of
 from emberflow.llm.ngrams import Trie
 
 _U = np.uint64
@@ -62,7 +62,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
             # A null doc_id is told by the largest number, which isn't one otherwise seen.
             return _table([(number, press(np.concatenate(ids)), press(np.concatenate(held)), press(size.astype(np.uint32)), press(place[at]), press(words[order]), press(learnt))], BLOCKS)
 
-        for b in batches:
+        for b in small(batches):
             own = b["doc_id"].fill_null(NONE).to_numpy()
             mark = b["held"].to_numpy(zero_copy_only=False)
             for at, part in arrays.pieces(b["text"]):

@@ -2,7 +2,8 @@
 
 Slot i has the golden-ratio point frac((i + 0.5) * phi). Mapped through the sources' cumulative shares it names the
 slot's source; slots are ranked within their source, and rank r takes block r mod (number of blocks) of the
-source's documents in md5 order, cut to blocks of equal tokens.
+source's documents in md5 order, cut to blocks of equal tokens. Blocks are of at most 256 words, or more where the mix
+would have more than SLOTS of them, so a slot's number keeps its point exact.
 
 Cases: a null or empty text has size 0, takes nothing and stays in the result; null sources form one source, last
 in order; without any words all targets are 0; an empty table gives no rows; repeated rows count each; ties in the
@@ -18,18 +19,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberflow.llm import arrays
-from emberflow.llm.common import key_text, ready, stored
+from emberflow.llm.common import free_name, key_text, ready, running, small, stored, text_of
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: Cells of [0, 1) by which points meet the sources' intervals.
-CELLS = 4096
+#: Cells of [0, 1) by which points meet the sources' intervals, at least, and about how many slots there are at most.
+CELLS, SLOTS = 4096, 50_000_000
+
+
+def _in_order() -> list:
+    """Sources by code point, null last."""
+    return [F.col("source").isNull(), F.col("source")]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source and size in words of every document."""
 
     def count(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"].cast(pa.string()), pa.array(arrays.count_words(b["text"]), pa.int64())], ["doc_id", "source", "size"])
 
     ready(docs.sparkSession)
@@ -41,21 +47,19 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: f
     """source, source_size, target. Weights repeat over the sources by code point, null last; a target stops at
     `most` times its source's size and what is over is shared again by weight.
 
-    One row a source goes through a window here: sources, not documents. Filling stops at a level L (words per unit
-    of weight): target = min(most * size, weight * L), found from the sources sorted by cap / weight.
+    Filling stops at a level L (words per unit of weight): target = min(most * size, weight * L). L rises from the
+    even share until the targets add up to all sizes; each step is a sum over the sources, of which there may be many.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    n = len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    rows = per_source.select("source", "source_size", (F.col("source_size") * F.lit(most)).alias("_cap"), w.alias("_w"))
-    by_level = Window.orderBy((F.col("_cap") / F.col("_w")), F.col("source").isNull(), F.col("source"))
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
-    rows = rows.withColumn("_level", level).withColumn("_open", F.col("_cap") / F.col("_w") > F.col("_level"))
-    fill = F.max(F.when(F.col("_open"), F.col("_level"))).over(whole)
-    return rows.withColumn("_fill", fill).select("source", "source_size", F.when(F.col("_fill").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * F.col("_fill"))).alias("target"))
+    rows = running(per_source.select("source", "source_size"), _in_order(), {"_rank": F.lit(1)})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    rows = stored(rows.withColumn("_w", w).withColumn("_cap", F.col("source_size") * F.lit(most)))
+    total, level, said = float(rows.agg(F.sum("source_size")).first()[0] or 0), -1.0, 0.0
+    while said > level:
+        level = said
+        full = F.col("_cap") <= F.col("_w") * level
+        taken, w = rows.agg(F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_w")))).first()
+        said = (total - (taken or 0.0)) / w if w else math.inf
+    return rows.select("source", "source_size", F.least("_cap", F.when(F.col("_cap") > 0, F.col("_w") * F.lit(level)).otherwise(0.0)).alias("target"))
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> dict[str, DataFrame]:
@@ -65,20 +69,21 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     total, n_rows = sized.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
-    block = min(256, max(1, total // 4096))
+    block = max(1, min(256, total // 4096), total // SLOTS)
     src = per_source.withColumn("_blocks", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long"))
     src = src.withColumn("_want", F.when(F.col("source_size") > 0, F.col("target") * F.col("_blocks") / F.col("source_size")).otherwise(0.0))
-    src = stored(src)
-    n_slots = int(round(src.agg(F.sum("_want")).first()[0] or 0))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shares = src.select("source", "_blocks", (F.sum("_want").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("_want").over(whole)).alias("_hi"), (F.col("_want") / F.sum("_want").over(whole)).alias("_share"))
-    # The first bound is 0 and each next is exactly the one before: the intervals leave no point out.
-    shares = shares.withColumn("_lo", F.coalesce(F.lag("_hi").over(order), F.lit(0.0))).filter("_share > 0")
-    cells = shares.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), (((F.col("id") + 0.5) * GOLDEN) % 1.0).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * CELLS))
-    named = points.join(cells, "_cell").filter("_u >= _lo and (_u < _hi or (_hi >= 1.0 - 1e-9 and _u >= _hi))").select("slot", "source", "_blocks")
-    slots = stored(_ranked(named, n_slots)).select("slot", "source", "rank", F.expr("rank % _blocks").alias("block")).filter(F.col("rank") < most * F.expr("greatest(_blocks, 0)"))
+    # Wanted slots in units of 2^-20: sums of whole numbers are the same in any order.
+    src = stored(src.withColumn("_units", F.round(F.col("_want") * 2**20).cast("long")))
+    n_slots, units, n_sources = src.agg(F.sum("_want"), F.sum("_units"), F.count("*")).first()
+    n_slots, units = int(round(n_slots or 0)), max(1, units or 0)
+    shares = running(src.select("source", "_blocks", "_units"), _in_order(), {"_from": F.col("_units")})
+    # Each interval begins exactly where the one before ends, and the last ends at 1: no point is left out.
+    shares = shares.filter("_units > 0").withColumn("_lo", F.col("_from") / F.lit(float(units))).withColumn("_hi", (F.col("_from") + F.col("_units")) / F.lit(float(units)))
+    n_cells = max(CELLS, 1 << n_sources.bit_length())
+    cells = shares.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * n_cells), F.least(F.floor(F.col("_hi") * n_cells), F.lit(n_cells - 1)))))
+    points = spark.range(n_slots).select(F.col("id").alias("slot"), (((F.col("id") + 0.5) * GOLDEN) % 1.0).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * n_cells))
+    named = points.join(cells, "_cell").filter("_u >= _lo and _u < _hi").select("slot", "source", "_blocks")
+    slots = stored(_ranked(named, n_slots).select("slot", "source", "rank", F.expr("rank % _blocks").alias("block")).filter(F.col("rank") < most * F.expr("greatest(_blocks, 0)")))
     placed = _placed(sized, n_rows)
     joined = placed.join(src.select(F.col("source").alias("_s"), "source_size", "target", "_blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # Block b holds the words from floor(b * source_size / blocks) on; word p is in block ((p + 1) * blocks - 1) div size.
@@ -126,11 +131,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The documents as the mix holds them: each as often as its words were taken, rounded; others go.
+    """The documents as the mix holds them, each as often as its words were taken; columns are those of docs.
 
-    A document without words stays once. Columns are those of docs.
+    A share of a document is rounded up with that share as chance, drawn from its id and text, so small documents don't
+    vanish together and the words of each source come near its target; reruns agree. Rows with the same doc_id and
+    source share one rate. A document without words stays once.
     """
-    m = mix(docs, weights, most).select(F.col("doc_id").alias("_mix_id"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_mix_times"))
-    m = m.groupBy("_mix_id").agg(F.max("_mix_times").alias("_mix_times")).filter("_mix_times > 0")
-    joined = docs.join(m, docs["doc_id"].eqNullSafe(m["_mix_id"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    i, s, r, u, c = (free_name(docs.columns, n) for n in ("_mix_id", "_mix_source", "_mix_rate", "_mix_draw", "_mix_copy"))
+    m = mix(docs, weights, most).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
+    m = m.select(i, s, F.when(F.col("n") == 0, 1.0).otherwise(F.col("t") / F.col("n")).alias(r)).filter(F.col(r) > 0)
+    joined = docs.join(m, docs["doc_id"].eqNullSafe(m[i]) & docs["source"].cast("string").eqNullSafe(m[s]))
+    joined = joined.withColumn(u, F.pmod(F.xxhash64(key_text(), text_of()), F.lit(2**31)) / float(2**31))
+    times = (F.floor(r) + (F.col(u) < F.col(r) - F.floor(r)).cast("int")).cast("int")
+    return joined.withColumn(c, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[docs[x] for x in docs.columns])

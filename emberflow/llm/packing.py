@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.llm.common import parts, ready, text_of
+from emberflow.llm.common import key_text, parts, ready, small, text_of
 from emberflow.llm.tokens import encoder
 
 #: Documents that a group has on average.
@@ -55,22 +55,25 @@ def document_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, n_gr
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        enc, row = encoder(path), 0
-        for b in batches:
-            out = []
+        enc = encoder(path)
+        for b in small(batches):
+            out: dict[tuple, int] = {}
             for i, ids in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     e = min(n, s + capacity)
-                    crc = zlib.crc32(ids[4 * s : 4 * e])
-                    # The row's place in its part tells copies of a row apart.
-                    out.append((i, s, e - s, crc, n, zlib.crc32(f"{i}:{s}:{crc}:{row}".encode()) % n_groups))
-                row += 1
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b["doc_id"].type), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, pack_group long")
+                    piece = (i, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n)
+                    out[piece] = out.get(piece, 0) + 1
+            cols = list(zip(*[(*x, m) for x, m in out.items()])) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b["doc_id"].type), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copies"])
+
+    pieces = docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, copies long")
+    what = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    # Copies of a row are counted before they are told apart by number, so groups don't follow file splits.
+    once = pieces.groupBy(*what).agg(F.sum("copies").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    named = F.concat_ws(":", key_text(), *[F.col(c).cast("string") for c in ("start", "ids_crc32", "doc_tokens", "copy")])
+    return once.select(*what, F.pmod(F.crc32(F.encode(named, "UTF-8")), F.lit(n_groups)).alias("pack_group"))
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096) -> DataFrame:

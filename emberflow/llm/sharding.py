@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberflow.llm.common import key_text, text_of
+from emberflow.llm.common import free_name, key_text, ready, stored, text_of
 
 
 @dataclass(frozen=True)
@@ -33,32 +33,43 @@ class Tree:
         return Tree((*self.regions, ((weight,),)))
 
 
-def _drawn(key: Column, path: list[Column], weights: Column) -> Column:
-    """Index of the child with the smallest draw below the node at path; the first of equal draws."""
+def _draws(key: Column, path: list[Column], weights: Column) -> Column:
+    """Struct (draw, index) of each child below the node at path."""
 
     def draw(weight: Column, i: Column) -> Column:
         named = F.concat_ws(".", *[p.cast("string") for p in path], i.cast("string"))
         bits = F.conv(F.substring(F.md5(F.concat_ws("|", key, named)), 1, 13), 16, 10).cast("double")
         return F.struct((-F.log((bits + 0.5) / float(2**52)) / weight).alias("d"), i.alias("i"))
 
-    return F.array_min(F.transform(weights, draw))["i"]
+    return F.transform(weights, draw)
 
 
 def _nested(values: list) -> Column:
     return F.array(*[_nested(v) if isinstance(v, list) else F.lit(v) for v in values])
 
 
-def with_shard(rows: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
-    """rows with the shard of their key, an int from 0. One column a level keeps the generated code small."""
+def with_shard(rows: DataFrame, key: str, tree: Tree, name: str, grown: str | None = None, weight: float = 1.0) -> DataFrame:
+    """rows with the shard of their key, an int from 0; one column a level keeps the generated code small.
+
+    grown, if given, names a column with the shard under tree.grown(weight): the new region draws against the regions
+    there were, whose draws stay as they are, so a row moves into it or nowhere.
+    """
     regions = [[list(map(float, rack)) for rack in racks] for racks in tree.regions]
     number = iter(range(10**9))
     first = [[[next(number) for _ in rack][0] for rack in racks] for racks in regions]
-    r, k, s = (f"_{name}_{x}" for x in "rks")
+    n_shards = sum(len(rack) for racks in regions for rack in racks)
+    d, g, r, k, s = (free_name(rows.columns, f"_{name}_{x}") for x in "dgrks")
     at = lambda table, *ix: table if not ix else at(F.element_at(table, F.col(ix[0]) + 1), *ix[1:])
-    rows = rows.withColumn(r, _drawn(F.col(key), [], _nested([sum(map(sum, racks)) for racks in regions])))
-    rows = rows.withColumn(k, _drawn(F.col(key), [F.col(r)], at(_nested([[sum(rack) for rack in racks] for racks in regions]), r)))
-    rows = rows.withColumn(s, _drawn(F.col(key), [F.col(r), F.col(k)], at(_nested(regions), r, k)))
-    return rows.withColumn(name, (at(_nested(first), r, k) + F.col(s)).cast("int")).drop(r, k, s)
+    tops = [sum(map(sum, racks)) for racks in regions]
+    rows = rows.withColumn(d, _draws(F.col(key), [], _nested(tops + ([float(weight)] if grown else []))))
+    best = F.array_min(F.slice(d, 1, len(tops)))
+    rows = rows.withColumn(g, F.element_at(d, -1)["d"] < best["d"]).withColumn(r, best["i"]).drop(d)
+    rows = rows.withColumn(k, F.array_min(_draws(F.col(key), [F.col(r)], at(_nested([[sum(rack) for rack in racks] for racks in regions]), r)))["i"])
+    rows = rows.withColumn(s, F.array_min(_draws(F.col(key), [F.col(r), F.col(k)], at(_nested(regions), r, k)))["i"])
+    rows = rows.withColumn(name, (at(_nested(first), r, k) + F.col(s)).cast("int"))
+    if grown:
+        rows = rows.withColumn(grown, F.when(F.col(g), n_shards).otherwise(F.col(name)).cast("int"))
+    return rows.drop(g, r, k, s)
 
 
 def assign_shards(docs: DataFrame, tree: Tree, n_rows: int) -> DataFrame:
@@ -67,6 +78,7 @@ def assign_shards(docs: DataFrame, tree: Tree, n_rows: int) -> DataFrame:
     slot numbers a shard's rows from 0 in order of md5(doc_id). It is made of counts by (shard, prefix of the md5)
     plus a number within that prefix, so no task holds a whole shard.
     """
+    ready(docs.sparkSession)
     digits = 1
     while 16**digits * 2000 < n_rows:
         digits += 1
@@ -77,7 +89,8 @@ def assign_shards(docs: DataFrame, tree: Tree, n_rows: int) -> DataFrame:
         key_text().alias("_key"),
         F.md5(key_text()).alias("_h"),
     ).withColumn("_part", F.substring("_h", 1, digits))
-    rows = with_shard(with_shard(rows, "_key", tree, "shard"), "_key", tree.grown(), "grown_shard")
+    # Drawn once and written: both the counts and the numbers below read it.
+    rows = stored(with_shard(rows, "_key", tree, "shard", "grown_shard").drop("_key"))
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     # At most shards x 16^digits rows, spread over the shards; a shard's are about n_rows / 2000.
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

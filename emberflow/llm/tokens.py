@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.llm.common import ready, shared_dir, text_of
+from emberflow.llm.common import key_text, ready, shared_dir, small, stored, text_of
 
 #: Chunks that a worker remembers, and the longest of them in bytes.
 MEMO, LONGEST = 600_000, 48
+#: Digests that hold more than one in so many rows are few enough to broadcast.
+HOT = 1000
 #: White space other than 0x09-0x0D and the space, and characters that libraries class differently.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _RUN = re.compile(rb"[\x09-\x0d ]{2}|^[\x09-\x0d ]|[\x09-\x0d ]$")
@@ -42,7 +44,6 @@ class Encoder:
         self.lowers = self.drops and "Lowercase" in kinds
         self.keeps = (spec.get("normalizer") is None) and "'type': 'ByteLevel'" in kinds and "'use_regex': True" in kinds and "'add_prefix_space': False" in kinds
         self.memo: dict[bytes, bytes] = {}
-        self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
 
     def _fresh(self, chunks: list[bytes]) -> list[bytes]:
         got = self.tok.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
@@ -87,30 +88,39 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None) -> DataFr
     """doc_id, n_bytes, n_tokens of every text, through a digest cache.
 
     cache is a folder that all executors share, a Parquet table (digest, version, n_tokens) made when missing; None
-    takes a new one. Documents join it by the sha256 of their text (this tokenizer changes nothing before it reads;
-    a null text is the empty one) and the tokenizer's version; one document of each digest that isn't there is
-    encoded, whole, and appended. Equal texts cost one encoding. Repeated doc_ids keep their rows; an empty table
-    gives no rows.
+    takes a new one. Texts are hashed once (sha256; this tokenizer changes nothing before it reads; a null text is the
+    empty one), and digests with the tokenizer's version are looked up in the cache. One text of each digest that isn't
+    there is encoded, whole, and appended; with a cache that knows all, no text is read again. Digests of a large share
+    of rows, of which there can't be many, take their counts by a broadcast, so copies don't meet in one task. Equal
+    texts cost one encoding. Repeated doc_ids keep their rows; an empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
     cache = cache or shared_dir(spark) + "/token-counts"
     own = version(path)
-    schema = "digest string, version string, n_tokens long"
-    keyed = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.sha2("text", 256))
+    schema = "digest binary, version string, n_tokens long"
+    texts = docs.select("doc_id", text_of().alias("text"))
+    rows = stored(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     there = spark._jvm.org.apache.hadoop.fs.Path(cache)
     known = spark.read.schema(schema).parquet(cache) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], schema)
     known = known.filter(F.col("version") == own).select("digest")
-    one = keyed.groupBy("digest").agg(F.min(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_one"))
+    one = stored(rows.groupBy("digest").agg(F.min(key_text()).alias("_one"), F.count("*").alias("_n")))
     misses = one.join(known, "digest", "left_anti")
 
     def encode(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in small(batches):
             new = dict(zip(b["digest"].to_pylist(), b["text"].to_pylist()))  # rows repeated with their id come once
             n = [len(x) // 4 for x in enc.encode(list(new.values()))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array([own] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
-
-    todo = keyed.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(misses.select(F.col("digest").alias("_d"), "_one"), (F.col("_key") == F.col("_one")) & (F.col("digest") == F.col("_d"))).select("digest", "text")
-    todo.mapInArrow(encode, schema).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
-    counts = spark.read.schema(schema).parquet(cache).filter(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([own] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
+
+    if not misses.isEmpty():
+        wanted = misses.select("_one", F.col("digest").alias("_d"))
+        todo = texts.withColumn("_key", key_text()).join(wanted, F.col("_key") == F.col("_one")).select("text", "_d")
+        todo = todo.filter(F.unhex(F.sha2("text", 256)) == F.col("_d")).select(F.col("_d").alias("digest"), "text")
+        todo.mapInArrow(encode, schema).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
+    counts = spark.read.schema(schema).parquet(cache) if one.count() else spark.createDataFrame([], schema)
+    counts = counts.filter(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # At most HOT digests hold more than a HOT-th of the rows.
+    hot = stored(one.filter(F.col("_n") > rows.count() / HOT).select("digest").join(counts, "digest"))
+    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(counts, "digest")
+    return rest.unionByName(rows.join(F.broadcast(hot), "digest")).select("doc_id", "n_bytes", "n_tokens")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberflow.llm import arrays
-from emberflow.llm.common import lowest, ready, stored, text_of
+from emberflow.llm.common import free_name, lowest, ready, small, stored, text_of
 
 BITS = 20
 #: A feature is kept if so many positives have it and its rates differ by so many standard errors.
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
 
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
-        for b in batches:
+        for b in small(batches):
             row, f = features(b["text"])
             pair = np.unique(row << BITS | f)
             p = b["p"].to_numpy()[pair >> BITS]
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     def project(batches):
         table = np.full(1 << BITS, -1, np.int32)
         table[ids] = np.arange(len(ids))
-        for b in batches:
+        for b in small(batches):
             row, f = features(b["text"])
             hit = table[f] >= 0
             pair = np.unique(row[hit] * len(ids) + table[f][hit])
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded number of weights
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b["text"].cast(pa.large_string())), pa.float64())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -71,6 +71,14 @@ def test_packing_keeps_every_id_once(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_groups_do_not_follow_file_splits(docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 15)
+    path, once = tokenizer_path("word_bpe_49k.json"), []
+    for df in (docs.repartition(1), docs.repartition(6)):
+        once.append(sorted(map(str, packing.pack(df, path, capacity=256).collect())))
+    assert once[0] == once[1]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_first_fit_decreasing(sizes):
