@@ -8,9 +8,10 @@ where pi is the class prior; when the second part falls below zero, its own grad
 are the presence of words and of word beginnings, by hash; those that tell P from U best are kept.
 
 Fitting takes at most `max_positive` and `max_unlabelled` documents, the first in md5 order of doc_id; scoring takes
-every document whole. Cases: a null text is the empty one and gets the bias's score; without positives all scores
-are the prior; repeated labels count as toxic if one says so; null keys and null labels never train; ties in md5
-order are equal ids; an empty table gives no rows.
+every document whole. The weight of the penalty on large weights is chosen inside these: models fitted on one half of
+them are held against the labels of the other half. Cases: a null text is the empty one and gets the bias's score;
+without positives all scores are the prior; repeated labels count as toxic if one says so; null keys and null labels
+never train; ties in md5 order are equal ids, and of equal penalties the smallest stands; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BITS = 20
 #: A feature is kept if so many positives have it and its rates differ by so many standard errors.
 LEAST, GAIN = 3, 2.5
 PREFIXES = (4, 5, 6)
+#: Penalties to choose from, halves that each is tried on, and the score from which a text counts as toxic there.
+DECAYS, HALVES, THRESHOLD = (1e-4, 1e-3, 5e-3, 2e-2), 2, 0.7
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +68,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk for weights w, the bias last: pi * E_P[l(+z)] and E_U[l(-z)] - pi * E_P[l(-z)]."""
+    zp, zu = pos @ w[:-1].astype(pos.dtype) + w[-1], unl @ w[:-1].astype(pos.dtype) + w[-1]
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    return float(prior * loss(zp)), float(loss(-zu) - prior * loss(-zp))
+
+
+def gradient(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float) -> np.ndarray:
+    """Of the sum of both parts of the risk, or against the second part's own where that is negative."""
+    zp, zu = pos @ w[:-1].astype(pos.dtype) + w[-1], unl @ w[:-1].astype(pos.dtype) + w[-1]
+    mean = lambda x, c: np.append(c.astype(x.dtype) @ x, c.sum()) / len(c)
+    # Gradients of E_P[l(+z)], E_P[l(-z)] and E_U[l(-z)].
+    up, down_p, down_u = mean(pos, -_sigmoid(-zp)), mean(pos, _sigmoid(zp)), mean(unl, _sigmoid(zu))
+    second = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * up + down_u - prior * down_p if second >= 0 else prior * down_p - down_u
+
+
 def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias from 0/1 matrices of positive and unlabelled rows, by Adam on the non-negative risk.
 
@@ -74,21 +98,43 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400,
     w = np.zeros(pos.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    loss = lambda z: np.logaddexp(0, -z)
-    mean = lambda x, c: np.append(c.astype(x.dtype) @ x, c.sum()) / len(c)
     for t in range(1, steps + 1):
-        weights = w[:-1].astype(pos.dtype)
-        zp, zu = pos @ weights + w[-1], unl @ weights + w[-1]
-        # Gradients of E_P[l(+z)], E_P[l(-z)] and E_U[l(-z)].
-        up, down_p, down_u = mean(pos, -sig(-zp)), mean(pos, sig(zp)), mean(unl, sig(zu))
-        g = prior * up + down_u - prior * down_p if loss(-zu).mean() - prior * loss(-zp).mean() >= 0 else prior * down_p - down_u
+        g = gradient(w, pos, unl, prior)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def _dense(rows: list[np.ndarray], n: int) -> np.ndarray:
+    x = np.zeros((len(rows), n), np.float32)
+    for i, c in enumerate(rows):
+        x[i, c] = 1
+    return x
+
+
+def chosen_decay(spark, rows: list[np.ndarray], p: np.ndarray, y: np.ndarray, half: np.ndarray, n: int, prior: float, steps: int) -> float:
+    """The penalty with the least share of missed toxic and flagged clean rows over the halves; one task for each fit.
+
+    rows: features of the bounded sample; p: confirmed toxic; y: 0 where labelled clean; half: 0 or 1."""
+    shared = spark.sparkContext.broadcast((rows, p, y, half))  # the bounded sample's feature numbers
+
+    def attempt(batches):
+        rows, p, y, half = shared.value
+        for b in batches:
+            for k in b["id"].to_pylist():
+                decay, own = DECAYS[k // HALVES], half == k % HALVES
+                x = _dense(rows, n)
+                w, bias = train_nnpu(x[p & ~own], x[~p & ~own], prior, steps, decay=decay)
+                over = x[own] @ w.astype(np.float32) + bias >= np.log(THRESHOLD / (1 - THRESHOLD))
+                toxic, clean = p[own], ~p[own] & (y[own] == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([k // HALVES], pa.int32()), pa.array([float((~over[toxic]).mean() + over[clean].mean())])], ["decay", "error"])
+
+    tried = spark.range(0, len(DECAYS) * HALVES, 1, len(DECAYS) * HALVES).mapInArrow(attempt, "decay int, error double")
+    errors = {r["decay"]: round(r["e"], 9) for r in tried.groupBy("decay").agg(F.avg("error").alias("e")).collect()}
+    return DECAYS[min(errors, key=lambda k: (errors[k], k))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 10000, n_features: int = 1024) -> Model:
     """docs and labels hold only rows that may be learnt from; labels: doc_id, toxic."""
     spark = ready(docs.sparkSession)
@@ -100,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     unl = lowest(docs.select("doc_id").filter("doc_id is not null").distinct(), key, max_unlabelled, docs.count()).withColumn("p", F.lit(0))
     # At most max_positive + max_unlabelled ids: small enough to send to every task.
     chosen = F.broadcast(pos.unionByName(unl))
-    sample = stored(docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("p", "text"))
+    sample = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").join(marked.select("doc_id", "toxic"), "doc_id", "left")
+    sample = stored(sample.select("p", F.coalesce("toxic", F.lit(-1)).cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(HALVES)).cast("int").alias("half"), "text"))
 
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -131,20 +178,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
             hit = table[f] >= 0
             pair = np.unique(row[hit] * len(ids) + table[f][hit])
             cut = np.searchsorted(pair // len(ids), np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b["p"], pa.array([(pair[x:y] % len(ids)).astype("<u2").tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["p", "c"])
+            yield pa.RecordBatch.from_arrays([b["p"], b["y"], b["half"], pa.array([(pair[x:y] % len(ids)).astype("<u2").tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["p", "y", "half", "c"])
 
-    got = sample.mapInArrow(project, "p int, c binary").toArrow().sort_by([("p", "ascending"), ("c", "ascending")])
-    x = np.zeros((got.num_rows, len(ids)), np.float32)
-    for i, c in enumerate(got["c"].to_pylist()):
-        x[i, np.frombuffer(c, "<u2")] = 1
-    p = got["p"].to_numpy() == 1
-    return Model(ids, *train_nnpu(x[p], x[~p], prior))
+    got = sample.mapInArrow(project, "p int, y int, half int, c binary").toArrow().sort_by([(c, "ascending") for c in ("p", "y", "half", "c")])
+    rows = [np.frombuffer(c, "<u2") for c in got["c"].to_pylist()]
+    p, y, half = got["p"].to_numpy() == 1, got["y"].to_numpy(), got["half"].to_numpy()
+    # Each half must hold confirmed, unlabelled and clean rows, or there is nothing to choose by.
+    enough = all(((half == k) & c).any() for k in range(HALVES) for c in (p, ~p, ~p & (y == 0)))
+    decay = chosen_decay(spark, rows, p, y, half, len(ids), prior, 200) if enough and len(ids) else DECAYS[0]
+    x = _dense(rows, len(ids))
+    return Model(ids, *train_nnpu(x[p], x[~p], prior, decay=decay))
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
-    """docs with one more column, a name they don't have yet: the chance that the text is toxic, from it alone."""
-    if name in docs.columns:
-        raise ValueError(f"docs have a column {name} already")
+    """docs with one more column, the chance that the text is toxic, from it alone; where docs have a column of that
+    name, the new one's gets underscores after it."""
+    name = free_name(docs.columns, name)
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded number of weights
 
@@ -157,7 +206,5 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """docs whose score is below the threshold, with their own columns."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs.columns, "_toxicity")
     return score(docs, model, name).filter(F.col(name) < threshold).drop(name)

@@ -255,11 +255,45 @@ def test_toxicity(spark, nothing):
     assert got[None] == got[5000] and 0 <= min(got.values()) and max(got.values()) <= 1
     kept = toxicity.keep_clean(docs, m)
     assert kept.columns == docs.columns and kept.filter("doc_id = 5000 or doc_id is null").count() == 2
-    with pytest.raises(ValueError):
-        toxicity.score(docs, m)
+    assert toxicity.score(docs, m).columns == [*docs.columns, "toxicity_"]
     assert toxicity.score(docs.limit(0), m, "p").count() == 0
 
 
+def test_nnpu_risk_and_gradient():
+    """Against a risk written out row by row, and its differences."""
+    rng = np.random.default_rng(8)
+    pos, unl = ((rng.random((n, 6)) < 0.4).astype(float) for n in (7, 20))
+    for scale, prior in ((0.3, 0.2), (3.0, 0.45)):
+        w = rng.normal(size=7) * scale
+        plain = lambda w: (prior * sum(math.log1p(math.exp(-(r @ w[:-1] + w[-1]))) for r in pos) / 7, sum(math.log1p(math.exp(r @ w[:-1] + w[-1])) for r in unl) / 20 - prior * sum(math.log1p(math.exp(r @ w[:-1] + w[-1])) for r in pos) / 7)
+        assert toxicity.risk(w, pos, unl, prior) == pytest.approx(plain(w))
+        part = (lambda w: sum(plain(w))) if plain(w)[1] >= 0 else (lambda w: -plain(w)[1])
+        steps = [(part(w + 1e-6 * e) - part(w - 1e-6 * e)) / 2e-6 for e in np.eye(7)]
+        assert toxicity.gradient(w, pos, unl, prior) == pytest.approx(steps, abs=1e-6)
+
+
+def test_nnpu_finds_the_least_risk():
+    rng = np.random.default_rng(9)
+    x = (rng.random((900, 12)) < 0.3).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] > 0) & (rng.random(900) < 0.9)
+    w, b = toxicity.train_nnpu(x[y][:100], x, float(y.mean()), decay=1e-4)
+    first, second = toxicity.risk(np.append(w, b), x[y][:100].astype(float), x.astype(float), float(y.mean()))
+    for _ in range(200):
+        a, c = toxicity.risk(np.append(w, b) + rng.normal(size=13) * 0.3, x[y][:100].astype(float), x.astype(float), float(y.mean()))
+        assert first + max(0.0, second) <= a + max(0.0, c) + 0.02
+
+
+def test_scores_are_those_of_single_texts(texts):
+    rng = np.random.default_rng(1)
+    _, f = toxicity.features(pa.array(texts[:40]))
+    ids = np.unique(f)[::3]
+    m = toxicity.Model(ids, rng.normal(size=len(ids)), -0.5)
+    for t, s in zip(texts, m.score(pa.array(texts))):
+        held = set(toxicity.features(pa.array([t]))[1].tolist())
+        z = -0.5 + sum(w for i, w in zip(ids.tolist(), m.weights.tolist()) if i in held)
+        assert s == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_toxicity_without_positives(spark, docs):
     m = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert len(set(m.score(pa.array(["a", "b", ""])).tolist())) == 1
