@@ -61,9 +61,9 @@ class Codebook:
         return codes.astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """For each query and byte (two codes), the 256 sums that a scan adds."""
-        t = np.einsum("qmd,mcd->qmc", _cut(q, len(self.centres)), self.centres).astype(np.float32)
-        return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, 256)
+        """For each byte (two codes) and its 256 values, what a scan adds to the sum of every query."""
+        t = np.einsum("qmd,mcd->mcq", _cut(q, len(self.centres)), self.centres).astype(np.float32)
+        return (t[0::2, :, None] + t[1::2, None, :]).reshape(-1, 256, len(q))
 
 
 def _cut(x: np.ndarray, m: int) -> np.ndarray:
@@ -138,11 +138,11 @@ def fit(x: np.ndarray, n_rows: int, k: int, found: float = 0.985, most_leaves: i
 
 
 def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Sums of table entries for every query and row."""
-    out = np.zeros((len(tables), len(codes)), np.float32)
-    for j in range(codes.shape[1]):
-        out += tables[:, j][:, codes[:, j]]
-    return out
+    """Sums of table entries for every query and row. A row takes a run of entries, one for each query, at once."""
+    out = np.zeros((len(codes), tables.shape[2]), np.float32)
+    for table, code in zip(tables, codes.T):
+        out += table[code]
+    return np.ascontiguousarray(out.T)
 
 
 def _vectors(col: pa.Array, d: int) -> np.ndarray:
@@ -209,7 +209,7 @@ class _Asked:
         self.take(q, r, ids, x, norm)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, max_fit: int = 20000) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, max_fit: int = 10000) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest others.
 
     Rows are coded and dealt to buckets of their leaves, so a leaf with a third of all rows has many; queries are packed
