@@ -85,6 +85,12 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
 NONE = -(2**63)
 
 
+def _runs(rising: np.ndarray):
+    """(value, from, to) of each value that occurs: as many as there are, not as there are shards."""
+    begin = np.flatnonzero(np.concatenate([[True], rising[1:] != rising[:-1]])) if len(rising) else np.zeros(0, int)
+    return zip(rising[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(rising)])
+
+
 def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
     """Answers of kind 0 to each block (ids and counts of its words, by shard and hash), and of kind 1 with a
     shard's statistics: distinct words, those seen once and twice, tokens."""
@@ -95,8 +101,7 @@ def vocabulary(blocks: DataFrame, shards: int) -> DataFrame:
                 w, c = unpress(b["words"][i].as_py(), np.uint64), unpress(b["counts"][i].as_py(), np.uint32)
                 shard = (w % _U(shards)).astype(np.int64)
                 order = np.lexsort((w, shard))
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(k, b["block"][i].as_py(), w[order[x:y]].tobytes(), press(c[order[x:y]])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+                rows = [(k, b["block"][i].as_py(), w[order[x:y]].tobytes(), press(c[order[x:y]])) for k, x, y in _runs(shard[order])]
                 yield _table(rows, "shard int, block long, w binary, c binary")
 
     def answer(group: pa.Table) -> pa.Table:
@@ -167,7 +172,8 @@ class _Block:
         self.both, self.at = both, back[at]
         self.pv, self.pw, self.to, self.learnt = v[order], w[order], to[order], learnt[order]
         # Contexts by shard; a split one is asked for in each of its shards.
-        ctx = np.unique(v)
+        # So is one that only unknown words follow here: it frees a share for them all the same.
+        ctx = np.unique(self.v[known[self.v]])
         reps = np.minimum(split[ctx], shards)
         cv = np.repeat(ctx, reps)
         cs = (home[cv] + arrays._ramp(reps)) % shards
@@ -188,16 +194,15 @@ def bigram_answers(blocks: DataFrame, vocab: DataFrame, vocab_shards: int, shard
             return pa.Table.from_batches([_table([], names)])
         b = _Block(left, right, vocab_shards, shards, n_train)
         rows = []
-        for k in range(shards):
-            c, p = b.cuts(k)
-            if c.stop == c.start:
-                continue
+        for k, x, y in _runs(b.cs):
+            c, p = slice(x, y), b.cuts(k)[1]
             ctx, gv = b.gid[b.cv[c]], b.gid[b.pv[p]]
             n = (np.searchsorted(gv, ctx, "right") - np.searchsorted(gv, ctx, "left")).astype(np.uint32)
             rows.append((k, left["block"][0].as_py(), press(np.diff(ctx, prepend=_U(0))), press(b.count[b.cv[c]].astype(np.uint64)), press(n), press(b.gid[b.pw[p]]), press(b.learnt[p])))
         return pa.Table.from_batches([_table(rows, names)])
 
-    def answer(group: pa.Table) -> pa.Table:
+    def counts(group: pa.Table):
+        """Contexts, their totals, the bigrams by context and successor, their counts, and where each block's are."""
         read = lambda name, kind: [unpress(x, kind) for x in group[name].to_pylist()]
         ctxs = [np.cumsum(x, dtype=np.uint64) for x in read("v", np.uint64)]
         totals, ns, ws, cs = read("cv", np.uint64), read("n", np.uint32), read("w", np.uint64), read("c", np.uint32)
@@ -208,9 +213,15 @@ def bigram_answers(blocks: DataFrame, vocab: DataFrame, vocab_shards: int, shard
         # Ids stay below 2^40; contexts of a shard below 2^24.
         pair, back = np.unique(owner.astype(np.uint64) << _U(40) | np.concatenate(ws), return_inverse=True)
         count = np.bincount(back, np.concatenate(cs), len(pair)).astype(np.int64)
+        return ctxs, ns, ctx, at, total, pair, back, count
+
+    def rare(group: pa.Table) -> pa.Table:
+        count = counts(group)[-1]
+        return pa.table({"once": [int((count == 1).sum())], "twice": [int((count == 2).sum())]})
+
+    def answer(group: pa.Table) -> pa.Table:
+        ctxs, ns, ctx, at, total, pair, back, count = counts(group)
         some = count > 0
-        once, twice = int((count == 1).sum()), int((count == 2).sum())
-        discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
         c_of, w_of = (pair >> _U(40)).astype(np.int64), pair & _U(2**40 - 1)
         lens = np.bincount(c_of[some], minlength=len(ctx))
         logs = np.log10((count[some] - discount) / total[c_of[some]].astype(np.float64))
@@ -224,7 +235,10 @@ def bigram_answers(blocks: DataFrame, vocab: DataFrame, vocab_shards: int, shard
             x, y = x + len(c), y + m
         return pa.Table.from_batches([_table(rows, ANSWERS)])
 
-    asked = blocks.groupBy("block").cogroup(vocab.filter("kind = 0").groupBy("block")).applyInArrow(ask, names)
+    asked = stored(blocks.groupBy("block").cogroup(vocab.filter("kind = 0").groupBy("block")).applyInArrow(ask, names))
+    # One discount for all shards, from the bigrams of all training text seen once and twice.
+    once, twice = (x or 0 for x in asked.groupBy("shard").applyInArrow(rare, "once long, twice long").agg(F.sum("once"), F.sum("twice")).first())
+    discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
     return asked.groupBy("shard").applyInArrow(answer, ANSWERS)
 
 
