@@ -10,7 +10,6 @@ EFFECTS = ("Clipboard", "Clock", "Db", "Env", "Exec", "Fs", "Ipc", "Llm", "Log",
 BOUNDARY = ("Db", "Net", "Llm", "Exec", "Fs", "Ipc", "Clipboard")
 CROSS_CUTTING = ("Log", "Clock", "Rand", "Env")
 AMBIENT = tuple(e for e in EFFECTS if e not in ("Log", "Unknown"))
-INJECTION = ("Fs", "Exec", "Db", "Net", "Llm", "Env", "Ipc")
 SHARP, MEDIUM = ("Net", "Llm", "Exec", "Db", "Ipc"), ("Fs", "Env")
 
 BIT = {e: 1 << i for i, e in enumerate(EFFECTS)}

@@ -1,66 +1,84 @@
 """Recursion over cyclic call graphs: semi-naive loops of joins, each round written to the shared folder.
 
 Frames: edges (caller, callee). Every loop ends when a round finds nothing new, and raises an error after `rounds`
-rather than give a partial answer. Only what is new takes part in the next join.
+rather than give a partial answer. Only what is new takes part in the next join; a round is one job. The links of a
+walk are dealt by the key they are joined on once and kept over its rounds, in memory as far as it goes, else on disk;
+a part that is lost is made again from what it was read from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.plans.runtime import stored
+from emberflow.plans.runtime import counted
 
 ROUNDS = 500
+#: Rounds that are kept apart; more are merged, so that a late round doesn't open as many tables as there were rounds.
+APART = 8
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def effect_fixpoint(edges: DataFrame, direct: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """fn, mask: the least fixpoint of mask(fn) = direct(fn) | masks of its callees; direct has fn, mask."""
-    found = [stored(direct.groupBy("fn").agg(F.bit_or("mask").alias("mask")).filter("mask <> 0"))]
-    for _ in range(rounds):
-        if found[-1].isEmpty():
-            return _union(found).groupBy("fn").agg(F.bit_or("mask").alias("mask"))
-        known = _union(found).groupBy("fn").agg(F.bit_or("mask").alias("known"))
-        new = edges.join(found[-1].withColumnRenamed("fn", "callee"), "callee").groupBy(F.col("caller").alias("fn")).agg(F.bit_or("mask").alias("mask"))
-        new = new.join(known, "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(known, 0)")).filter("mask <> 0").select("fn", "mask")
-        found.append(stored(new))
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+def grow(links: DataFrame, key: str, first: DataFrame, step: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+    """All rows of first and of what step(links, new, known) adds round by round, until it adds nothing; steps join what
+    is new with links on key."""
+    links = links.repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        new, n = counted(first)
+        found = [new]
+        for _ in range(rounds):
+            if not n:
+                return _union(found)
+            new, n = counted(step(links, new, _union(found)))
+            found.append(new)
+            if len(found) > APART:
+                found = [counted(_union(found))[0]]
+    finally:
+        links.unpersist()
+    raise RuntimeError(f"no end after {rounds} rounds")
+
+
+def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """fn, mask: the least fixpoint of mask(fn) = direct(fn) | cross(fn) | masks of its callees; direct and cross (what
+    functions take over from other reports) have fn, mask."""
+    seed = direct.select("fn", "mask") if cross is None else direct.select("fn", "mask").unionByName(cross.select("fn", "mask"))
+    united = lambda df: df.groupBy("fn").agg(F.bit_or("mask").alias("mask"))
+
+    def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+        got = united(links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask"))
+        return got.join(united(known).withColumnRenamed("mask", "had"), "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)")).filter("mask <> 0").select("fn", "mask")
+
+    return united(grow(edges.select("caller", "callee"), "callee", united(seed).filter("mask <> 0"), step, rounds))
 
 
 def value_fixpoint(edges: DataFrame, direct: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """fn, value: every value of a function or of anything it reaches; direct has fn, value."""
-    new = stored(direct.select("fn", "value").distinct())
-    found = [new]
-    for _ in range(rounds):
-        if new.isEmpty():
-            return _union(found)
-        new = edges.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "value").distinct()
-        new = stored(new.join(_union(found), ["fn", "value"], "left_anti"))
-        found.append(new)
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
-
-
-def reach(links: DataFrame, seeds: DataFrame, expand: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+
+    def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+        got = links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "value").distinct()
+        return got.join(known, ["fn", "value"], "left_anti")
+
+    return grow(edges.select("caller", "callee"), "callee", direct.select("fn", "value").distinct(), step, rounds)
+
+
+def reach(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """source, node, hops: breadth-first from seeds (source, node, hops) along links (src, dst), least hops each.
 
-    expand, if given, holds the nodes (node) from which the walk goes on; others are reached but not passed.
+    through, if given, holds the nodes (node) from which the walk goes on; others are reached but not passed.
     """
-    new = stored(seeds.select("source", "node", F.col("hops").cast("int").alias("hops")))
-    found = [new]
-    for _ in range(rounds):
-        if new.isEmpty():
-            return _union(found)
-        front = new if expand is None else new.join(expand, "node", "left_semi")
-        step = links.join(front.withColumnRenamed("node", "src"), "src").groupBy("source", F.col("dst").alias("node")).agg((F.min("hops") + 1).alias("hops"))
-        new = stored(step.join(_union(found).select("source", "node"), ["source", "node"], "left_anti"))
-        found.append(new)
-    raise RuntimeError(f"the walk did not end after {rounds} rounds")
+    def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+        front = new if through is None else new.join(through, "node", "left_semi")
+        got = links.join(front.withColumnRenamed("node", "src"), "src").groupBy("source", F.col("dst").alias("node")).agg((F.min("hops") + 1).alias("hops"))
+        return got.join(known.select("source", "node"), ["source", "node"], "left_anti")
+
+    return grow(links.select("src", "dst"), "src", seeds.select("source", "node", F.col("hops").cast("int").alias("hops")), step, rounds)
 
 
 def down(edges: DataFrame) -> DataFrame:
@@ -77,6 +95,36 @@ def start(node: Column | str, hops: int = 0) -> list[Column]:
     return [c.alias("source"), c.alias("node"), F.lit(hops).alias("hops")]
 
 
+def nearest(edges: DataFrame, ends: DataFrame, through: Column | None = None, chains: bool = False, rounds: int = ROUNDS) -> DataFrame:
+    """rule, fn, hops, found: for each rule the nearest of its ends (rule, fn) to each function that reaches one, ends
+    themselves at 0; with chains, path: the names from the function to that end.
+
+    One backward walk for all rules, so the cost follows the graph and not the number of starts or rules. Of equally
+    near ends the first that a walk in order of callees' names meets: a function takes what its first callee one step
+    nearer has found. through, a condition on the columns of edges and rule, tells which calls a rule's walk may use.
+    """
+    first = ends.select("rule", "fn").distinct().select("rule", "fn", F.lit(0).alias("hops"), F.col("fn").alias("found"), *([F.array("fn").alias("path")] if chains else []))
+
+    def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+        got = links.join(new.withColumnRenamed("fn", "callee"), "callee")
+        got = got if through is None else got.filter(through)
+        # All of a function's callees that are one step nearer were found in the last round.
+        got = got.groupBy("rule", F.col("caller").alias("fn")).agg(F.min(F.struct("callee", "hops", "found", *(["path"] if chains else []))).alias("m"))
+        got = got.join(known.select("rule", "fn"), ["rule", "fn"], "left_anti")
+        path = [F.concat(F.array("fn"), F.col("m.path")).alias("path")] if chains else []
+        return got.select("rule", "fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"), *path)
+
+    return grow(edges, "callee", first, step, rounds)
+
+
+def first_found(edges: DataFrame, near: DataFrame, starts: DataFrame, through: Column | None = None) -> DataFrame:
+    """rule, fn, hops, found of starts (rule, fn), one call away at least: a start isn't its own end unless it is reached
+    again."""
+    step = edges.join(starts.select("rule", F.col("fn").alias("caller")), "caller").join(near.select("rule", F.col("fn").alias("callee"), "hops", "found"), ["rule", "callee"])
+    step = step if through is None else step.filter(through)
+    return step.groupBy("rule", F.col("caller").alias("fn")).agg(F.min(F.struct("hops", "callee", "found")).alias("m")).select("rule", "fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"))
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, carriers: DataFrame, ends: DataFrame) -> DataFrame:
     """start, step, fn: a shortest chain from each start (fn) to the nearest of ends (fn) through carriers (fn).
 
@@ -84,36 +132,5 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, carriers: DataFrame, end
     chain of one; a start that reaches no end has no rows.
     """
     inside = edges.join(carriers.withColumnRenamed("fn", "callee"), "callee", "left_semi")
-    away = reach(up(inside), ends.select(F.lit("").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops"))).select(F.col("node").alias("fn"), "hops")
-    away = stored(away)
-    follow = inside.join(away.select(F.col("fn").alias("caller"), F.col("hops").alias("h")), "caller").join(away.select(F.col("fn").alias("callee"), F.col("hops").alias("n")), "callee").filter("n = h - 1")
-    follow = stored(follow.groupBy("caller").agg(F.min("callee").alias("callee")))
-    at = starts.select("fn").distinct().join(away, "fn").select(F.col("fn").alias("start"), F.lit(0).alias("step"), "fn", "hops")
-    rows = [stored(at)]
-    while not rows[-1].filter("hops > 0").isEmpty():
-        nxt = rows[-1].filter("hops > 0").join(follow, F.col("fn") == F.col("caller")).select("start", (F.col("step") + 1).alias("step"), F.col("callee").alias("fn"), (F.col("hops") - 1).alias("hops"))
-        rows.append(stored(nxt))
-    return _union(rows).drop("hops")
-
-
-def nearest(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """fn, hops, found: the nearest of ends (fn) to each function that reaches one, ends themselves at 0.
-
-    One backward walk from all ends, so the cost follows the graph and not the number of starts. Of equally near
-    ends the first that a walk in order of callees' names meets: level by level a function takes what its first
-    callee one step nearer has found.
-    """
-    away = stored(reach(up(edges), ends.select(F.lit("").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops"))).select(F.col("node").alias("fn"), "hops"))
-    deepest = away.agg(F.max("hops")).first()[0] or 0
-    found = [stored(away.filter("hops = 0").select("fn", "hops", F.col("fn").alias("found")))]
-    for h in range(1, deepest + 1):
-        level = away.filter(F.col("hops") == h).select(F.col("fn").alias("caller"))
-        step = edges.join(level, "caller", "left_semi").join(found[-1].select(F.col("fn").alias("callee"), "found"), "callee")
-        found.append(stored(step.groupBy(F.col("caller").alias("fn")).agg(F.min(F.struct("callee", "found")).alias("m")).select("fn", F.lit(h).alias("hops"), F.col("m.found").alias("found"))))
-    return _union(found)
-
-
-def first_found(edges: DataFrame, near: DataFrame, starts: DataFrame) -> DataFrame:
-    """fn, hops, found of starts (fn), one call away at least: a start isn't its own end unless it is reached again."""
-    step = edges.join(starts.select(F.col("fn").alias("caller")), "caller", "left_semi").join(near.withColumnRenamed("fn", "callee"), "callee")
-    return step.groupBy(F.col("caller").alias("fn")).agg(F.min(F.struct("hops", "callee", "found")).alias("m")).select("fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"))
+    near = nearest(inside, ends.select(F.lit("").alias("rule"), "fn"), chains=True)
+    return near.join(starts.select("fn").distinct(), "fn").select(F.col("fn").alias("start"), F.posexplode("path").alias("step", "fn"))

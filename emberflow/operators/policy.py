@@ -111,7 +111,8 @@ def parse(text: str) -> list[Rule]:
 
 
 def denied(functions: DataFrame, rules: list[Rule]) -> DataFrame:
-    """code, rule, fn, effects of deny and pure rules: one row a rule and function.
+    """code, rule, fn, effects of deny and pure rules: one row a rule and function. Synthetic rows (functions with a true
+    interface_union, where there is such a column) are disclosed elsewhere and never judged.
 
     functions: fn, mask, and reasons and destinations (arrays) where a rule narrows. A narrowed effect counts only if
     the function's classes meet the rule's.
@@ -119,6 +120,8 @@ def denied(functions: DataFrame, rules: list[Rule]) -> DataFrame:
     rules = [r for r in rules if r.kind in ("deny", "pure")]
     if not rules:
         return functions.select(F.lit("AS-EFF-006").alias("code"), F.lit("").alias("rule"), "fn", F.lit("").alias("effects")).limit(0)
+    if "interface_union" in functions.columns:
+        functions = functions.filter(~F.coalesce("interface_union", F.lit(False)))
     segs = N.segments(F.col("fn"))
 
     def hit(r: Rule) -> Column:
@@ -140,7 +143,7 @@ def outside_allowlist(functions: DataFrame, literals: DataFrame, rules: list[Rul
     (incomplete: fn, effect), a function can't be certified and is a violation with nothing reached.
     """
     cover = {"Db": N.table_covered, "Fs": N.path_covered, "Exec": lambda a, v: a == N.command_base(v), "Net": lambda a, v: N.host_part(a) == N.host_part(v), "Llm": lambda a, v: N.host_part(a) == N.host_part(v)}
-    out = None
+    out = _none(functions, "code string, rule string, fn string, effects string, reached string")
     for r in (r for r in rules if r.kind == "allow"):
         effect = r.effects[0]
         mine = functions.filter((F.col("mask").bitwiseAND(BIT[effect]) != 0) & N.scope_matches(N.segments(F.col("fn")), r.scope)).select("fn")
@@ -155,43 +158,58 @@ def outside_allowlist(functions: DataFrame, literals: DataFrame, rules: list[Rul
             open_ = open_ | F.col("_open").isNotNull()
         rows = rows.withColumn("_o", open_).filter("_o or size(bad) > 0")
         rows = rows.select(F.lit("AS-EFF-008").alias("code"), F.lit(r.text).alias("rule"), "fn", F.lit(effect).alias("effects"), F.when(F.col("_o"), "").otherwise(F.array_join("bad", ",")).alias("reached"))
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(rows)
     return out
 
 
+def _none(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def forbidden(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> DataFrame:
     """code, rule, fn, reached, hops: for forbid A -> B the nearest function in B that one in A reaches.
 
-    The start is tested only if it is reached again; ties go to the first callee by name, step for step.
+    The start is tested only if it is reached again; ties go to the first callee by name, step for step. One walk
+    serves all rules.
     """
-    out = None
-    for r in (r for r in rules if r.kind == "forbid"):
-        into = lambda scope: functions.select("fn").filter(N.scope_matches(N.segments(F.col("fn")), scope))
-        out = _reached("AS-EFF-009", r, first_found(edges, nearest(edges, into(r.to[0])), into(r.scope)), out)
-    return out
+    rules = [r for r in rules if r.kind == "forbid"]
+    if not rules:
+        return _none(functions, _REACHED)
+    segs = N.segments(F.col("fn"))
+    within = lambda scope: functions.select("fn", F.explode(F.array_compact(F.array(*[F.when(N.scope_matches(segs, scope(r)), F.lit(r.text)) for r in rules]))).alias("rule"))
+    return _told("AS-EFF-009", first_found(edges, nearest(edges, within(lambda r: r.to[0])), within(lambda r: r.scope)))
 
 
 def unpermitted(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> DataFrame:
     """code, rule, fn, reached, hops: for only A -> B C the first reach of A that is neither in A nor permitted.
 
-    Permitted functions aren't passed; those in A's scope are; the walk stops at others.
+    Permitted functions aren't passed; those in A's scope are; the walk stops at others. One walk serves all rules: a
+    rule passes a call only if its caller is in scope and not permitted.
     """
-    out = None
-    for r in (r for r in rules if r.kind == "only"):
-        segs = N.segments(F.col("fn"))
-        permitted = F.lit(False)
+    rules = [r for r in rules if r.kind == "only"]
+    if not rules:
+        return _none(functions, _REACHED)
+    segs = N.segments(F.col("fn"))
+
+    def permitted(r: Rule) -> Column:
+        out = F.lit(False)
         for to in r.to:
-            permitted = permitted | N.scope_permits(segs, to)
-        marked = stored(functions.select("fn", N.scope_matches(segs, r.scope).alias("own"), permitted.alias("ok")))
-        passed = marked.filter("own and not ok").select(F.col("fn").alias("caller"))
-        near = nearest(edges.join(passed, "caller", "left_semi"), marked.filter("not own and not ok").select("fn"))
-        out = _reached("AS-EFF-011", r, first_found(edges, near, marked.filter("own")), out)
-    return out
+            out = out | N.scope_permits(segs, to)
+        return out
+
+    which = lambda test: F.array_compact(F.array(*[F.when(test(r), F.lit(r.text)) for r in rules]))
+    own = lambda r: N.scope_matches(segs, r.scope)
+    marked = stored(functions.select("fn", which(own).alias("own"), which(lambda r: own(r) & ~permitted(r)).alias("passed"), which(lambda r: ~own(r) & ~permitted(r)).alias("ends")))
+    inner = stored(edges.join(marked.select(F.col("fn").alias("caller"), "passed").filter("size(passed) > 0"), "caller"))
+    near = nearest(inner, marked.select("fn", F.explode("ends").alias("rule")), F.array_contains("passed", F.col("rule")))
+    return _told("AS-EFF-011", first_found(edges, near, marked.select("fn", F.explode("own").alias("rule"))))
+
+
+_REACHED = "code string, rule string, fn string, reached string, hops long"
 
 
-def _reached(code: str, r: Rule, found: DataFrame, more: DataFrame | None) -> DataFrame:
-    rows = found.select(F.lit(code).alias("code"), F.lit(r.text).alias("rule"), "fn", F.col("found").alias("reached"), F.col("hops").cast("long").alias("hops"))
-    return rows if more is None else more.unionByName(rows)
+def _told(code: str, found: DataFrame) -> DataFrame:
+    return found.select(F.lit(code).alias("code"), "rule", "fn", F.col("found").alias("reached"), F.col("hops").cast("long").alias("hops"))
 
 
 def judge_accepts(violations: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -218,6 +236,8 @@ def zero_match(functions: DataFrame, rules: list[Rule]) -> DataFrame:
     """rule, n: how many functions each rule's scope selects, rules that select none included."""
     segs = functions.select(N.segments(F.col("fn")).alias("s"))
     some = [r for r in rules if r.kind != "accept"]
+    if not some:
+        return _none(functions, "rule string, n long")
     sums = segs.agg(*[F.count(F.when(N.scope_matches(F.col("s"), r.scope), 1)).alias(f"r{i}") for i, r in enumerate(some)])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(r.text).alias("rule"), F.col(f"r{i}").alias("n")) for i, r in enumerate(some)])).alias("x")).select("x.rule", "x.n")
 

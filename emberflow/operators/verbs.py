@@ -42,10 +42,16 @@ def show(functions: DataFrame, query: str) -> DataFrame:
 
 
 def where(functions: DataFrame) -> DataFrame:
-    """effect, n_direct, n_inherited."""
+    """effect, n_direct, n_inherited: counts of what `where_list` tells for one effect."""
     return effects_of(functions).groupBy("effect").agg(F.count(F.when(F.col("direct"), 1)).alias("n_direct"), F.count(F.when(~F.col("direct"), 1)).alias("n_inherited"))
 
 
+def where_list(functions: DataFrame, effect: str) -> DataFrame:
+    """effect, how, fn: the functions that perform the effect directly or have inherited it, in order of names."""
+    rows = effects_of(functions).filter(F.col("effect") == effect)
+    return rows.select("effect", F.when(F.col("direct"), "direct").otherwise("inherited").alias("how"), "fn").orderBy("how", "fn")
+
+
 def callers(edges: DataFrame, target: str) -> DataFrame:
     """fn, hops: all that reach the target; the target itself only over a cycle."""
     seeds = edges.filter(F.col("callee") == target).select(F.lit(target).alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
@@ -70,13 +76,19 @@ def by_class(functions: DataFrame, layer: Column | None = None) -> DataFrame:
 
 
 def reachable(functions: DataFrame) -> DataFrame:
-    """effect, n_entry_points, share in whole percent of all entry points; Unknown included."""
+    """effect, n_entry_points, of: entry points that reach the effect, of all; Unknown included, and so are entry points
+    without effects in `of`. `reachable_list` tells them by name."""
     entries = functions.filter("entry_point")
     total = entries.agg(F.count("*").alias("total"))  # one row
     counts = entries.select(F.explode(names_of(F.col("mask"))).alias("effect")).groupBy("effect").agg(F.count("*").alias("n_entry_points"))
     return counts.join(F.broadcast(total)).select("effect", "n_entry_points", F.col("total").alias("of"))
 
 
+def reachable_list(functions: DataFrame) -> DataFrame:
+    """effect, fn: the entry points that reach each effect, in order."""
+    return functions.filter("entry_point").select(F.explode(names_of(F.col("mask"))).alias("effect"), "fn").orderBy("effect", "fn")
+
+
 def layer_of(fn: Column, prefix: int) -> Column:
     """The segment after a common prefix of so many segments, or (root)."""
     segs = F.split(fn, r"\.")
@@ -127,12 +139,17 @@ def diff(now: DataFrame, base: DataFrame) -> DataFrame:
     return both.select("fn", "status", told("g").alias("gained"), told(F.expr("g & d")).alias("introduced"), told(F.expr("g & ~d")).alias("inherited"), told("l").alias("lost"))
 
 
-def gains(now: DataFrame, base: DataFrame) -> DataFrame:
-    """fn, effect, origin: effects that the baseline lacks; existing if the function was there, else new."""
+def gains(now: DataFrame, base: DataFrame, base_nodes: DataFrame | None = None, partial: bool = False) -> DataFrame:
+    """fn, effect, origin: effects that the baseline lacks. existing: the baseline's report or call graph holds the
+    function; else unknown where there is no whole call graph to say so, and new where there is.
+
+    base_nodes: fn of the baseline's call graph, None without one; partial: a part of it was unreadable."""
     rows = effects_of(now).select("fn", "effect").distinct()
     old = effects_of(base).select("fn", "effect").distinct()
-    names = base.select("fn", F.lit(True).alias("known")).distinct()
-    return rows.join(old, ["fn", "effect"], "left_anti").join(names, "fn", "left").select("fn", "effect", F.when(F.col("known"), "existing").otherwise("new").alias("origin"))
+    names = base.select("fn") if base_nodes is None else base.select("fn").union(base_nodes.select("fn"))
+    absent = "unknown" if partial or base_nodes is None or base_nodes.isEmpty() else "new"
+    rows = rows.join(old, ["fn", "effect"], "left_anti").join(names.distinct().withColumn("known", F.lit(True)), "fn", "left")
+    return rows.select("fn", "effect", F.when(F.col("known"), "existing").otherwise(absent).alias("origin"))
 
 
 def rewire(edges: DataFrame, base: DataFrame) -> DataFrame:
@@ -165,21 +182,21 @@ def reason_classes(edges: DataFrame, reasons: DataFrame) -> DataFrame:
     return value_fixpoint(edges, reasons.select("fn", N.reason_class(F.col("why")).alias("value"))).withColumnRenamed("value", "class")
 
 
-def nearest_sources(functions: DataFrame, edges: DataFrame, effect: str) -> DataFrame:
-    """fn, hops, found: the nearest function, one call away at least, that performs the effect directly."""
-    carriers = functions.filter(has(effect)).select("fn")
-    inside = stored(edges.join(carriers.withColumnRenamed("fn", "callee"), "callee", "left_semi"))
-    return first_found(inside, nearest(inside, functions.filter(has(effect, "direct_mask")).select("fn")), functions.filter(has(effect) & ~has(effect, "direct_mask")))
+def nearest_sources(functions: DataFrame, edges: DataFrame, effects: tuple[str, ...]) -> DataFrame:
+    """fn, effect, hops, found: the nearest function, one call away at least, that performs an effect directly, of those
+    that don't perform it themselves. One walk for all effects, over calls of functions that carry the effect."""
+    inside = stored(edges.join(functions.select(F.col("fn").alias("callee"), F.col("mask").alias("carried")), "callee"))
+    through = F.col("carried").bitwiseAND(bit_of(F.col("rule"))) != 0
+    rows = effects_of(functions).filter(F.col("effect").isin(*effects))
+    near = nearest(inside, rows.filter("direct").select("fn", F.col("effect").alias("rule")), through)
+    found = first_found(inside, near, rows.filter("not direct").select("fn", F.col("effect").alias("rule")), through)
+    return found.withColumnRenamed("rule", "effect")
 
 
 def tour(functions: DataFrame, edges: DataFrame, effects: tuple[str, ...] = BOUNDARY + ("Env",), top: int | None = 10) -> DataFrame:
     """fn, effect, hops, found, score: the most surprising inherited effects, one a function, best first."""
     quiet = functions.filter(~N.is_test(F.col("fn")) & ~N.has_token(F.col("fn"), N.EFFECTY))
-    rows = None
-    for e in effects:
-        near = nearest_sources(functions, edges, e).withColumn("effect", F.lit(e))
-        rows = near if rows is None else rows.unionByName(near)
-    rows = rows.join(quiet.select("fn"), "fn", "left_semi")
+    rows = nearest_sources(functions, edges, effects).join(quiet.select("fn"), "fn", "left_semi")
     benign = F.when(N.has_token(N.leaf(F.col("fn")), N.BENIGN), 3).otherwise(1)
     crossing = F.when(N.module_of(F.col("found")) != N.module_of(F.col("fn")), 2).otherwise(1)
     rows = rows.withColumn("score", (salience(F.col("effect")) * benign * hops_factor(F.col("hops")) * crossing).cast("long")).filter("score > 0")
@@ -215,27 +232,29 @@ def remedies(functions: DataFrame, edges: DataFrame, effect: str, denied: Column
     """sites, n_starts, n_span, hoist, n_higher, clean: one remedy for each set of sites that denied carriers reach.
 
     All denied carriers at once: starts with equal sets of sites share a remedy, as the climb begins at the sites, so
-    it is walked once for each set. Starts that reach no site have none. clean: there is a hoist and no denied carrier
-    above it.
+    it is walked once for each set. Sets are arrays (sites, hoist), as names may hold any sign, and are told apart by a
+    digest. Starts that reach no site have none. clean: there is a hoist and no denied carrier above it.
     """
     carriers = stored(functions.filter(has(effect)).select("fn", denied.alias("denied"), has(effect, "direct_mask").alias("site")))
     inside = stored(edges.join(carriers.select(F.col("fn").alias("callee")), "callee", "left_semi").join(carriers.select(F.col("fn").alias("caller")), "caller", "left_semi"))
-    walk = reach(down(inside), carriers.filter("denied").select(*start("fn")))
-    sets = walk.join(carriers.filter("site").select(F.col("fn").alias("node")), "node", "left_semi").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("sites"))
-    groups = stored(sets.groupBy("sites").agg(F.count("*").alias("n_starts")))
-    anchors = stored(groups.select("sites", F.explode(F.split("sites", ",")).alias("fn")))
-    firsts = inside.join(anchors.withColumnRenamed("fn", "callee"), "callee").select(F.col("sites").alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
+    # What is passed on goes from the sites to their callers: pairs of a carrier and a site.
+    held = value_fixpoint(inside, carriers.filter("site").select("fn", F.col("fn").alias("value")))
+    sets = held.join(carriers.filter("denied"), "fn", "left_semi").groupBy("fn").agg(F.array_sort(F.collect_set("value")).alias("sites"))
+    sets = sets.withColumn("id", F.sha2(F.to_json("sites"), 256))
+    groups = stored(sets.groupBy("id").agg(F.first("sites").alias("sites"), F.count("*").alias("n_starts")))
+    anchors = stored(groups.select("id", F.explode("sites").alias("fn")))
+    firsts = inside.join(anchors.withColumnRenamed("fn", "callee"), "callee").select(F.col("id").alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
     blocked, free = (carriers.filter(c).select(F.col("fn").alias("node")) for c in ("denied", "not denied"))
-    climbed = stored(reach(up(inside), firsts, blocked).select(F.col("source").alias("sites"), F.col("node").alias("fn")).join(carriers, "fn"))
-    span = climbed.filter("denied").select("sites", "fn").union(anchors.join(carriers.filter("denied"), "fn", "left_semi").select("sites", "fn")).distinct()
-    hoist = stored(climbed.filter("not denied").select("sites", "fn").distinct())
-    above = reach(up(inside), hoist.select(F.col("sites").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops")), free).select(F.col("source").alias("sites"), F.col("node").alias("fn")).join(hoist, ["sites", "fn"], "left_anti").join(carriers, "fn")
-    n_span = span.groupBy("sites").agg(F.count("*").alias("n_span"))
-    tops = hoist.groupBy("sites").agg(F.array_join(F.array_sort(F.collect_set("fn")), ",").alias("hoist"))
-    over = above.groupBy("sites").agg(F.count(F.when(~F.col("denied"), 1)).alias("n_higher"), F.max("denied").alias("sandwiched"))
-    rows = groups.join(n_span, "sites", "left").join(tops, "sites", "left").join(over, "sites", "left")
+    climbed = stored(reach(up(inside), firsts, blocked).select(F.col("source").alias("id"), F.col("node").alias("fn")).join(carriers, "fn"))
+    span = climbed.filter("denied").select("id", "fn").union(anchors.join(carriers.filter("denied"), "fn", "left_semi").select("id", "fn")).distinct()
+    hoist = stored(climbed.filter("not denied").select("id", "fn").distinct())
+    above = reach(up(inside), hoist.select(F.col("id").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops")), free).select(F.col("source").alias("id"), F.col("node").alias("fn")).join(hoist, ["id", "fn"], "left_anti").join(carriers, "fn")
+    n_span = span.groupBy("id").agg(F.count("*").alias("n_span"))
+    tops = hoist.groupBy("id").agg(F.array_sort(F.collect_set("fn")).alias("hoist"))
+    over = above.groupBy("id").agg(F.count(F.when(~F.col("denied"), 1)).alias("n_higher"), F.max("denied").alias("sandwiched"))
+    rows = groups.join(n_span, "id", "left").join(tops, "id", "left").join(over, "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return rows.select("sites", "n_starts", zero("n_span"), F.coalesce("hoist", F.lit("")).alias("hoist"), zero("n_higher"), (F.col("hoist").isNotNull() & ~F.coalesce("sandwiched", F.lit(False))).alias("clean"))
+    return rows.select("sites", "n_starts", zero("n_span"), F.coalesce("hoist", F.array().cast("array<string>")).alias("hoist"), zero("n_higher"), (F.col("hoist").isNotNull() & ~F.coalesce("sandwiched", F.lit(False))).alias("clean"))
 
 
 def unverified(functions: DataFrame, violations: DataFrame, scope: Column) -> DataFrame:
@@ -245,8 +264,10 @@ def unverified(functions: DataFrame, violations: DataFrame, scope: Column) -> Da
 
 def baseline_guard(now: DataFrame, base: DataFrame) -> DataFrame:
     """code, fn, gained, advisory: effects beyond the baseline's (a function it lacks had none); a gain of Unknown
-    alone is advisory."""
-    b = base.groupBy("fn").agg(F.bit_or("mask").alias("b"))
+    alone is advisory. Of a baseline's rows with one name the last counts, where a column `place` tells their order;
+    without it they are united."""
+    last = F.max_by("mask", "place") if "place" in base.columns else F.bit_or("mask")
+    b = base.groupBy("fn").agg(last.alias("b"))
     rows = now.select("fn", "mask").join(b, "fn", "left").withColumn("g", F.expr("mask & ~coalesce(b, 0)")).filter("g <> 0")
     return rows.select(F.lit("AS-EFF-005").alias("code"), "fn", told("g").alias("gained"), (F.col("g") == BIT["Unknown"]).alias("advisory"))
 

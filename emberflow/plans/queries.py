@@ -96,13 +96,12 @@ def ambient_layers(m: Model) -> DataFrame:
 
 
 def _base(m: Model) -> DataFrame:
-    """The baseline report: the same functions but for customers above a key, with fewer suppliers that perform Net."""
-    d = m.masks(20).groupBy("fn").agg(F.bit_or("mask").alias("direct_mask"))
-    known = m.nodes().filter("not endswith(fn, '7')")
-    return known.join(m.base_inferred(), "fn", "left").join(d, "fn", "left").select("fn", F.coalesce("mask", F.lit(0)).alias("mask"), F.coalesce("direct_mask", F.lit(0)).alias("direct_mask"))
+    """The baseline report: fewer customers, and fewer suppliers that perform Net."""
+    d = m.masks(True).groupBy("fn").agg(F.bit_or("mask").alias("direct_mask"))
+    return m.base_nodes().join(m.base_inferred(), "fn", "left").join(d, "fn", "left").select("fn", F.coalesce("mask", F.lit(0)).alias("mask"), F.coalesce("direct_mask", F.lit(0)).alias("direct_mask"))
 
 
-_BASE = "+ bnodes AS (SELECT fn FROM nodes WHERE NOT suffix(fn, '7')), old AS (SELECT fn, effect FROM base_inferred WHERE NOT suffix(fn, '7')), olddirect AS (SELECT fn, effect FROM base_direct WHERE NOT suffix(fn, '7')) "
+_BASE = "+ old AS (SELECT fn, effect FROM base_inferred WHERE fn IN (SELECT fn FROM bnodes)), olddirect AS (SELECT fn, effect FROM base_direct WHERE fn IN (SELECT fn FROM bnodes)) "
 
 
 @query(_BASE + f""", a AS (SELECT DISTINCT effect, split_part(fn, '.', 2) AS layer FROM direct WHERE effect IN ({_BOUND}) AND split_part(fn, '.', 2) <> 'domain'), b AS (SELECT DISTINCT effect, split_part(fn, '.', 2) AS layer FROM olddirect WHERE effect IN ({_BOUND}) AND split_part(fn, '.', 2) <> 'dao')
@@ -123,7 +122,7 @@ def diff_reports(m: Model) -> DataFrame:
 
 @query(_BASE + "SELECT i.fn, i.effect, CASE WHEN b.fn IS NULL THEN 'new' ELSE 'existing' END AS origin FROM (SELECT * FROM inferred EXCEPT SELECT * FROM old) i LEFT JOIN bnodes b ON i.fn = b.fn")
 def gains(m: Model) -> DataFrame:
-    return V.gains(m.functions(), _base(m))
+    return V.gains(m.functions(), _base(m), m.base_nodes())
 
 
 @query("SELECT caller, callee FROM edges EXCEPT SELECT caller, callee FROM base_edges")
@@ -243,7 +242,7 @@ def gate_deny(m: Model) -> DataFrame:
 
 
 @query(_GATE + """, acc(fn, rule, accepted) AS (VALUES ('app.dao.S3', 'deny Net[unknown-host] dao', 'Net'), ('app.domain.P1', 'deny Net Db domain', 'Net'), ('app.infra.R0', 'pure infra.R', 'Net'))
-SELECT CASE WHEN v.fn IS NULL THEN 'stale' WHEN v.effects = 'Net' THEN 'accepted' ELSE 'exceeded' END AS status, a.fn, a.rule, coalesce(v.effects, '') AS effects, coalesce(CASE WHEN v.effects LIKE 'Db%' THEN 'Db' ELSE '' END, '') AS outside FROM acc a LEFT JOIN viol v ON a.fn = v.fn AND a.rule = v.rule""")
+SELECT CASE WHEN v.fn IS NULL THEN 'stale' WHEN v.effects = 'Net' THEN 'accepted' ELSE 'exceeded' END AS status, a.fn, a.rule, coalesce(v.effects, '') AS effects, coalesce(array_to_string(list_filter(string_split(v.effects, ','), x -> x <> 'Net'), ','), '') AS outside FROM acc a LEFT JOIN viol v ON a.fn = v.fn AND a.rule = v.rule""")
 def gate_accepts(m: Model) -> DataFrame:
     return P.judge_accepts(P.denied(_gate_rows(m), RULES), RULES)
 
@@ -325,18 +324,19 @@ def fix_remedy(m: Model) -> DataFrame:
 @query("""+ car AS (SELECT i.fn, split_part(i.fn, '.', 2) = 'dao' AS denied, d.fn IS NOT NULL AS site FROM inferred i LEFT JOIN direct d ON d.fn = i.fn AND d.effect = i.effect WHERE i.effect = 'Db'),
 ins AS (SELECT e.* FROM edges e JOIN car a ON a.fn = e.caller JOIN car b ON b.fn = e.callee),
 fw(s, fn) AS (SELECT fn, fn FROM car WHERE denied UNION SELECT s, ins.callee FROM fw JOIN ins ON ins.caller = fw.fn),
-st AS (SELECT s, string_agg(DISTINCT fn, ',' ORDER BY fn) AS sites FROM fw JOIN car USING (fn) WHERE site GROUP BY s),
-grp AS (SELECT sites, count(*) AS n_starts FROM st GROUP BY sites),
-anc AS (SELECT sites, unnest(string_split(sites, ',')) AS fn FROM grp),
-cl(sites, fn) AS (SELECT sites, ins.caller FROM anc JOIN ins ON ins.callee = anc.fn UNION SELECT sites, ins.caller FROM cl JOIN car USING (fn) JOIN ins ON ins.callee = cl.fn WHERE car.denied),
-sp AS (SELECT sites, fn FROM cl JOIN car USING (fn) WHERE denied UNION SELECT sites, fn FROM anc JOIN car USING (fn) WHERE denied),
-ho AS (SELECT DISTINCT sites, fn FROM cl JOIN car USING (fn) WHERE NOT denied),
-ab(sites, fn) AS (SELECT sites, fn FROM ho UNION SELECT sites, ins.caller FROM ab JOIN car USING (fn) JOIN ins ON ins.callee = ab.fn WHERE NOT car.denied),
-ov AS (SELECT sites, fn, denied FROM (SELECT * FROM ab EXCEPT SELECT * FROM ho) JOIN car USING (fn))
-SELECT g.sites, n_starts, (SELECT count(*) FROM sp WHERE sp.sites = g.sites) AS n_span, coalesce((SELECT string_agg(fn, ',' ORDER BY fn) FROM ho WHERE ho.sites = g.sites), '') AS hoist, (SELECT count(*) FROM ov WHERE ov.sites = g.sites AND NOT denied) AS n_higher,
-EXISTS (SELECT 1 FROM ho WHERE ho.sites = g.sites) AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.sites = g.sites AND denied) AS clean FROM grp g""")
+st AS (SELECT s, list_sort(list(DISTINCT fn)) AS sites FROM fw JOIN car USING (fn) WHERE site GROUP BY s),
+grp AS (SELECT row_number() OVER (ORDER BY sites) AS id, sites, count(*) AS n_starts FROM st GROUP BY sites),
+anc AS (SELECT id, unnest(sites) AS fn FROM grp),
+cl(id, fn) AS (SELECT id, ins.caller FROM anc JOIN ins ON ins.callee = anc.fn UNION SELECT id, ins.caller FROM cl JOIN car USING (fn) JOIN ins ON ins.callee = cl.fn WHERE car.denied),
+sp AS (SELECT id, fn FROM cl JOIN car USING (fn) WHERE denied UNION SELECT id, fn FROM anc JOIN car USING (fn) WHERE denied),
+ho AS (SELECT DISTINCT id, fn FROM cl JOIN car USING (fn) WHERE NOT denied),
+ab(id, fn) AS (SELECT id, fn FROM ho UNION SELECT id, ins.caller FROM ab JOIN car USING (fn) JOIN ins ON ins.callee = ab.fn WHERE NOT car.denied),
+ov AS (SELECT id, fn, denied FROM (SELECT * FROM ab EXCEPT SELECT * FROM ho) JOIN car USING (fn))
+SELECT to_json(g.sites)::VARCHAR AS sites, n_starts, (SELECT count(*) FROM sp WHERE sp.id = g.id) AS n_span, coalesce((SELECT to_json(list_sort(list(fn)))::VARCHAR FROM ho WHERE ho.id = g.id), '[]') AS hoist, (SELECT count(*) FROM ov WHERE ov.id = g.id AND NOT denied) AS n_higher,
+EXISTS (SELECT 1 FROM ho WHERE ho.id = g.id) AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.id = g.id AND denied) AS clean FROM grp g""")
 def fix_gate_remedies(m: Model) -> DataFrame:
-    return V.remedies(m.functions(), m.stored_edges(), "Db", N.scope_matches(N.segments(F.col("fn")), "dao"))
+    rows = V.remedies(m.functions(), m.stored_edges(), "Db", N.scope_matches(N.segments(F.col("fn")), "dao"))
+    return rows.withColumn("sites", F.to_json("sites")).withColumn("hoist", F.to_json("hoist"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'h' || c_custkey || '.example.com:8443' WHEN 1 THEN NULL WHEN 2 THEN '10.0.' || c_custkey % 200 || '.1' ELSE 'db' || c_custkey || '.local:5432' END AS host FROM customer", views=False)
@@ -346,14 +346,14 @@ def host_literals(m: Model) -> DataFrame:
     return m.table("customer").select("c_custkey", N.host_literal(text).alias("host"))
 
 
-_SUPERS = "+ sup(type, super) AS (SELECT 'P' || p_partkey, 'P' || p_partkey // 4 FROM part WHERE p_partkey > 0 AND p_partkey // 4 <> p_partkey), meth AS (SELECT DISTINCT 'P' || p_partkey AS owner, 'run' AS method FROM part WHERE p_size % 3 = 0), site AS (SELECT 'C' || c_custkey AS site, 'P' || c_custkey % (SELECT count(*) FROM part) AS owner, 'run' AS method FROM customer), "
+_SUPERS = "+ sup(type, super) AS (SELECT 'P' || p_partkey, 'P' || p_partkey // 4 FROM part WHERE p_partkey > 0 AND p_partkey // 4 <> p_partkey), meth AS (SELECT DISTINCT 'P' || p_partkey AS owner, 'run' AS method FROM part WHERE p_size <= 16), site AS (SELECT 'C' || c_custkey AS site, 'P' || c_custkey % (SELECT count(*) FROM part) AS owner, 'run' AS method FROM customer), "
 
 
 def _hierarchy(m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = m.table("part")
     n = parts.count()
     supers = parts.filter("p_partkey > 0").select(F.expr("concat('P', p_partkey)").alias("type"), F.expr("concat('P', p_partkey div 4)").alias("super"))
-    methods = parts.filter("p_size % 3 = 0").select(F.expr("concat('P', p_partkey)").alias("owner"), F.lit("run").alias("method")).distinct()
+    methods = parts.filter("p_size <= 16").select(F.expr("concat('P', p_partkey)").alias("owner"), F.lit("run").alias("method")).distinct()
     sites = m.table("customer").select(F.expr("concat('C', c_custkey)").alias("site"), F.expr(f"concat('P', c_custkey % {n})").alias("owner"), F.lit("run").alias("method"))
     return sites, supers, methods
 
@@ -402,7 +402,7 @@ def dependency_effects(m: Model) -> DataFrame:
     return C.inherit_from_dependencies(calls, C.dependency_functions(rows, "new")).select("fn", F.array_join(names_of(F.col("mask")), ",").alias("effects"))
 
 
-@query(_SUPERS + """idx AS (SELECT 'P' || p_partkey AS t FROM part WHERE p_partkey % 5 <> 2), q AS (SELECT 'P' || p_partkey AS type, 'P' || p_partkey // 16 AS "of" FROM part UNION SELECT 'P' || p_partkey, 'P1' FROM part),
+@query(_SUPERS + """idx AS (SELECT 'P' || p_partkey AS t FROM part WHERE p_size > 10), q AS (SELECT 'P' || p_partkey AS type, 'P' || p_partkey // 16 AS "of" FROM part UNION SELECT 'P' || p_partkey, 'P1' FROM part),
 up(s, n) AS (SELECT DISTINCT type, type FROM q UNION SELECT up.s, sup.super FROM up JOIN sup ON sup.type = up.n)
 SELECT type, "of", CASE WHEN EXISTS (SELECT 1 FROM up WHERE s = type AND n = "of") THEN 'YES' WHEN EXISTS (SELECT 1 FROM up WHERE s = type AND n NOT IN (SELECT t FROM idx)) THEN 'UNANSWERABLE' ELSE 'NO' END AS answer FROM q""")
 def subtype_answers(m: Model) -> DataFrame:
@@ -410,7 +410,7 @@ def subtype_answers(m: Model) -> DataFrame:
     parts = m.table("part")
     t = F.expr("concat('P', p_partkey)").alias("type")
     asked = parts.select(t, F.expr("concat('P', p_partkey div 16)").alias("of")).union(parts.select(t, F.lit("P1")))
-    return C.subtype_answers(asked, supers, parts.filter("p_partkey % 5 <> 2").select(t))
+    return C.subtype_answers(asked, supers, parts.filter("p_size > 10").select(t))
 
 
 @query("SELECT split_part(why, ':', 1) AS prefix, why AS tag, count(*) AS n FROM reasons GROUP BY ALL")
@@ -418,10 +418,10 @@ def reason_histogram(m: Model) -> DataFrame:
     return C.reason_histogram(m.reasons())
 
 
-@query("SELECT 'pkg' || l_suppkey AS package, count(*) AS calls FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1", views=False)
+@query("SELECT 'pkg' || l_suppkey AS package, count(*) AS calls FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000) GROUP BY 1", views=False)
 def coverage_ledger(m: Model) -> DataFrame:
     calls = m.table("lineitem").select(F.expr("concat('pkg', l_suppkey)").alias("package"))
-    return C.coverage_ledger(calls, m.table("supplier").filter("s_suppkey % 3 = 0").select(F.expr("concat('pkg', s_suppkey)").alias("package")))
+    return C.coverage_ledger(calls, m.table("supplier").filter("s_acctbal > 4000").select(F.expr("concat('pkg', s_suppkey)").alias("package")))
 
 
 @query("""+ said(cls, effect) AS (VALUES ('app.api', 'Log'), ('app.api', 'Exec'), ('app.dao', 'Net'), ('app.domain', 'Fs')), done AS (SELECT DISTINCT regexp_replace(fn, '\\.[^.]*$', '') AS cls, effect FROM inferred WHERE effect <> 'Unknown')

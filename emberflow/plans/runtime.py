@@ -5,18 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; a local folder only where the session names none."""
+    """A new path below spark.checkpoint.dir. Where the session names none, a temporary folder serves a local session;
+    a cluster is refused, as its executors would write where others can't read."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberflow-"))
         top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/emberflow-{uuid.uuid4().hex}"
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write and read again, and how many rows there are, counted by the same job."""
+    path, seen = shared_dir(df.sparkSession), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write and read again: short lineage, and lost executors cost no more than the part at hand."""
     path = shared_dir(df.sparkSession)

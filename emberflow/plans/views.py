@@ -1,8 +1,9 @@
 """The effect model laid over the star-schema tables, the same in Spark and in DuckDB.
 
 Functions are customers (api), parts (domain), suppliers (dao), nations and regions (infra). Calls go from customers
-to the parts of their urgent orders, from a part to the supplier of its first line, on to nation and region; parts
-form rings of eight, so the graph has cycles. Bases of effects, reasons, hosts and observations follow from keys.
+to the parts of their orders, from a part to the supplier of its first line, on to nation and region; parts form rings
+of eight, so the graph has cycles. Every row of every table takes part. Effects, reasons, hosts, entry points and
+observations follow from regions, segments, brands, sizes, balances and event types.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from emberflow.plans.runtime import stored
 CUT = "1998-01-01"
 # The hosts of suppliers that perform Net, by key mod 4.
 HOSTS = ("api.stripe.com", "sentry.io", "db.internal:5432", "api.openai.com")
+#: Parts of this brand are a source of Unknown.
+BRAND = "Brand#12"
 
 
 def _name(layer: str, letter: str, key: str) -> Column:
@@ -44,12 +47,22 @@ class Model:
             out = out.unionByName(f)
         return out
 
+    def base_nodes(self) -> DataFrame:
+        """fn of the functions that the baseline knows: all but customers with a negative balance."""
+        gone = self.table("customer").filter("c_acctbal < 0").select(_name("api", "C", "c_custkey").alias("fn"))
+        return self.nodes().join(gone, "fn", "left_anti")
+
+    def of_region(self, table: str, key: str, *names: str) -> DataFrame:
+        """Rows of a table whose nation lies in one of the named regions."""
+        nations = self.table("nation").join(self.table("region").filter(F.col("r_name").isin(*names)), F.col("n_regionkey") == F.col("r_regionkey"))
+        return self.table(table).join(nations.select(F.col("n_nationkey").alias("_n")), F.col(key) == F.col("_n"), "left_semi")
+
     def edges(self, before: str | None = None) -> DataFrame:
         """Distinct calls; with `before`, only lines shipped before that day make customers call parts."""
         lines = self.table("lineitem")
-        urgent = self.table("orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+        orders = self.table("orders").select("o_orderkey", "o_custkey")
         bought = lines.filter(F.col("l_shipdate") < F.lit(before).cast("timestamp")) if before else lines
-        calls = urgent.join(bought.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(_name("api", "C", "o_custkey").alias("caller"), _name("domain", "P", "l_partkey").alias("callee"))
+        calls = orders.join(bought.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(_name("api", "C", "o_custkey").alias("caller"), _name("domain", "P", "l_partkey").alias("callee"))
         first = lines.groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("m"))
         made = first.select(_name("domain", "P", "l_partkey").alias("caller"), F.concat(F.lit("app.dao.S"), F.col("m.l_suppkey").cast("string")).alias("callee"))
         block = Window.partitionBy(F.expr("p_partkey div 8")).orderBy("p_partkey")
@@ -59,13 +72,16 @@ class Model:
         of = self.table("nation").select(_name("infra", "N", "n_nationkey").alias("caller"), _name("infra", "R", "n_regionkey").alias("callee"))
         return calls.unionByName(made).unionByName(ring).unionByName(at).unionByName(of).distinct()
 
-    def direct(self, net_every: int = 10) -> DataFrame:
-        """fn, effect performed directly; the baseline has fewer suppliers with Net."""
+    def direct(self, base: bool = False) -> DataFrame:
+        """fn, effect performed directly; in the baseline fewer suppliers perform Net."""
+        net = self.of_region("supplier", "s_nationkey", "ASIA")
         rows = [
-            self.table("supplier").filter(f"s_suppkey % {net_every} = 3").select(_name("dao", "S", "s_suppkey").alias("fn"), F.lit("Net").alias("effect")),
-            self.table("nation").filter("n_nationkey % 3 = 0").select(_name("infra", "N", "n_nationkey").alias("fn"), F.lit("Db").alias("effect")),
-            self.table("part").filter("p_size % 7 = 0").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Fs").alias("effect")),
+            (net.filter("s_acctbal < 5000") if base else net).select(_name("dao", "S", "s_suppkey").alias("fn"), F.lit("Net").alias("effect")),
+            self.of_region("nation", "n_nationkey", "AFRICA", "EUROPE").select(_name("infra", "N", "n_nationkey").alias("fn"), F.lit("Db").alias("effect")),
+            self.table("part").filter("p_size >= 44").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Fs").alias("effect")),
+            self.table("part").filter("p_size = 1").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Exec").alias("effect")),
             self.table("customer").filter("c_mktsegment = 'BUILDING'").select(_name("api", "C", "c_custkey").alias("fn"), F.lit("Log").alias("effect")),
+            self.table("region").select(_name("infra", "R", "r_regionkey").alias("fn"), F.lit("Clock").alias("effect")),
             self.reasons().select("fn", F.lit("Unknown").alias("effect")),
         ]
         out = rows[0]
@@ -74,27 +90,38 @@ class Model:
         return out
 
     def reasons(self) -> DataFrame:
-        """fn, why: reasons for Unknown at parts and customers."""
+        """fn, why: reasons for Unknown at customers of a segment and parts of a brand."""
         why = F.when(F.col("k") % 3 == 0, "dispatch:app.Base.run").when(F.col("k") % 3 == 1, "reflect:forName").otherwise("callback:onEvent")
-        c = self.table("customer").filter("c_custkey % 11 = 0").select(_name("api", "C", "c_custkey").alias("fn"), F.col("c_custkey").alias("k"))
-        p = self.table("part").filter("p_partkey % 50 = 7").select(_name("domain", "P", "p_partkey").alias("fn"), F.col("p_partkey").alias("k"))
+        c = self.table("customer").filter("c_mktsegment = 'MACHINERY'").select(_name("api", "C", "c_custkey").alias("fn"), F.col("c_custkey").alias("k"))
+        p = self.table("part").filter(F.col("p_brand") == BRAND).select(_name("domain", "P", "p_partkey").alias("fn"), F.col("p_partkey").alias("k"))
         return c.unionByName(p).select("fn", why.alias("why"))
 
+    def literals(self) -> DataFrame:
+        """fn, effect, value: the hosts of suppliers that perform Net, paths, commands and tables."""
+        host = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("s_suppkey") % 4 + 1).cast("int"))
+        text = lambda c: F.col(c).cast("string")
+        rows = [
+            self.of_region("supplier", "s_nationkey", "ASIA").select(_name("dao", "S", "s_suppkey").alias("fn"), F.lit("Net").alias("effect"), host.alias("value")),
+            self.table("part").filter("p_size >= 44").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Fs").alias("effect"), F.concat(F.lit("/var/lib/"), text("p_size"), F.lit("/"), text("p_brand")).alias("value")),
+            self.table("part").filter("p_size = 1").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Exec").alias("effect"), F.when(F.col("p_partkey") % 2 == 0, "/usr/bin/git fetch").otherwise("curl -s x").alias("value")),
+            self.of_region("nation", "n_nationkey", "AFRICA", "EUROPE").select(_name("infra", "N", "n_nationkey").alias("fn"), F.lit("Db").alias("effect"), F.concat(F.lit("ledger."), F.lower("n_name")).alias("value")),
+        ]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
     def hosts(self) -> DataFrame:
         """fn, host of suppliers that perform Net."""
-        host = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("s_suppkey") % 4 + 1).cast("int"))
-        return self.table("supplier").filter("s_suppkey % 10 = 3").select(_name("dao", "S", "s_suppkey").alias("fn"), host.alias("host"))
+        return self.literals().filter("effect = 'Net'").select("fn", F.col("value").alias("host"))
 
     def entry_points(self) -> DataFrame:
-        return self.table("customer").filter("c_nationkey % 5 = 0").select(_name("api", "C", "c_custkey").alias("fn"))
+        return self.of_region("customer", "c_nationkey", "AMERICA").select(_name("api", "C", "c_custkey").alias("fn"))
 
     def observed(self) -> DataFrame:
         """fn, effect, ts: what a run was seen to do."""
         effect = F.when(F.col("event_type") == "view", "Db").when(F.col("event_type") == "click", "Net").when(F.col("event_type") == "purchase", "Fs").when(F.col("event_type") == "error", "Exec").otherwise("Log")
         return self.table("events").select(_name("api", "C", "user_id").alias("fn"), effect.alias("effect"), "ts")
 
-    def masks(self, net_every: int = 10) -> DataFrame:
-        return self.direct(net_every).select("fn", bit_of(F.col("effect")).alias("mask"))
+    def masks(self, base: bool = False) -> DataFrame:
+        return self.direct(base).select("fn", bit_of(F.col("effect")).alias("mask"))
 
     def stored_edges(self) -> DataFrame:
         return _memo(self, "edges", lambda: stored(self.edges()))
@@ -107,7 +134,7 @@ class Model:
         return _memo(self, "base_edges", lambda: stored(self.edges(CUT)))
 
     def base_inferred(self) -> DataFrame:
-        return _memo(self, "base_inferred", lambda: stored(effect_fixpoint(self.base_edges(), self.masks(20))))
+        return _memo(self, "base_inferred", lambda: stored(effect_fixpoint(self.base_edges(), self.masks(True))))
 
     def functions(self) -> DataFrame:
         """fn, mask, direct_mask, entry_point of every function, pure ones included."""
@@ -121,11 +148,25 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def _memo(m: Model, what: str, make) -> DataFrame:
-    """A frame written once a session and folder, as many queries start from it."""
-    key = (m.spark.sparkContext.applicationId, m.sf_dir, what)
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
+    """A frame written once a session, folder and state of its files, as many queries start from it.
+
+    The state is names, sizes and times of the tables' files as Spark's reader sees them, so changed tables make a new
+    frame; so does a folder of written frames that has been cleaned."""
+    spark = m.spark
+    path = spark._jvm.org.apache.hadoop.fs.Path(m.sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
+    key = (spark.sparkContext.applicationId, m.sf_dir, what)
+    old = _kept.get(key)
+    if old and old[0] == state and all(_there(spark, f) for f in old[1].inputFiles()[:1]):
+        return old[1]
+    _kept[key] = (state, make())
+    return _kept[key][1]
+
+
+def _there(spark: SparkSession, file: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 _FIRST = "(SELECT l_partkey, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_suppkey}).c AS s FROM lineitem GROUP BY l_partkey)"
@@ -133,7 +174,7 @@ _FIRST = "(SELECT l_partkey, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_sup
 
 def _edges_sql(where: str) -> str:
     return f"""
-  SELECT 'app.api.C' || o_custkey AS caller, 'app.domain.P' || l_partkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'{where}
+  SELECT 'app.api.C' || o_custkey AS caller, 'app.domain.P' || l_partkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey{where}
   UNION SELECT 'app.domain.P' || l_partkey, 'app.dao.S' || s FROM {_FIRST}
   UNION SELECT 'app.domain.P' || p_partkey, 'app.domain.P' || coalesce(lead(p_partkey) OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey), min(p_partkey) OVER (PARTITION BY p_partkey // 8)) FROM part
   UNION SELECT 'app.dao.S' || s_suppkey, 'app.infra.N' || s_nationkey FROM supplier
@@ -143,25 +184,36 @@ def _edges_sql(where: str) -> str:
 _WHY = "CASE k % 3 WHEN 0 THEN 'dispatch:app.Base.run' WHEN 1 THEN 'reflect:forName' ELSE 'callback:onEvent' END"
 
 
-def _direct_sql(every: int) -> str:
+def _in(*names: str) -> str:
+    return "(SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN (" + ", ".join(f"'{n}'" for n in names) + "))"
+
+
+def _direct_sql(more: str = "") -> str:
     return f"""
-  SELECT 'app.dao.S' || s_suppkey AS fn, 'Net' AS effect FROM supplier WHERE s_suppkey % {every} = 3
-  UNION SELECT 'app.infra.N' || n_nationkey, 'Db' FROM nation WHERE n_nationkey % 3 = 0
-  UNION SELECT 'app.domain.P' || p_partkey, 'Fs' FROM part WHERE p_size % 7 = 0
+  SELECT 'app.dao.S' || s_suppkey AS fn, 'Net' AS effect FROM supplier WHERE s_nationkey IN {_in("ASIA")}{more}
+  UNION SELECT 'app.infra.N' || n_nationkey, 'Db' FROM nation WHERE n_nationkey IN {_in("AFRICA", "EUROPE")}
+  UNION SELECT 'app.domain.P' || p_partkey, 'Fs' FROM part WHERE p_size >= 44
+  UNION SELECT 'app.domain.P' || p_partkey, 'Exec' FROM part WHERE p_size = 1
   UNION SELECT 'app.api.C' || c_custkey, 'Log' FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION SELECT 'app.infra.R' || r_regionkey, 'Clock' FROM region
   UNION SELECT fn, 'Unknown' FROM reasons"""
 
 
 #: The same views for DuckDB, as the head of a recursive WITH.
 VIEWS_SQL = f"""WITH RECURSIVE
 nodes AS (SELECT 'app.api.C' || c_custkey AS fn FROM customer UNION ALL SELECT 'app.domain.P' || p_partkey FROM part UNION ALL SELECT 'app.dao.S' || s_suppkey FROM supplier UNION ALL SELECT 'app.infra.N' || n_nationkey FROM nation UNION ALL SELECT 'app.infra.R' || r_regionkey FROM region),
+bnodes AS (SELECT fn FROM nodes WHERE fn NOT IN (SELECT 'app.api.C' || c_custkey FROM customer WHERE c_acctbal < 0)),
 edges AS ({_edges_sql("")}),
-base_edges AS ({_edges_sql(f" AND l_shipdate < TIMESTAMP '{CUT}'")}),
-reasons AS (SELECT fn, {_WHY} AS why FROM (SELECT 'app.api.C' || c_custkey AS fn, c_custkey AS k FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT 'app.domain.P' || p_partkey, p_partkey FROM part WHERE p_partkey % 50 = 7)),
-direct AS ({_direct_sql(10)}),
-base_direct AS ({_direct_sql(20)}),
-hosts AS (SELECT 'app.dao.S' || s_suppkey AS fn, CASE s_suppkey % 4 WHEN 0 THEN 'api.stripe.com' WHEN 1 THEN 'sentry.io' WHEN 2 THEN 'db.internal:5432' ELSE 'api.openai.com' END AS host FROM supplier WHERE s_suppkey % 10 = 3),
-entry_points AS (SELECT 'app.api.C' || c_custkey AS fn FROM customer WHERE c_nationkey % 5 = 0),
+base_edges AS ({_edges_sql(f" WHERE l_shipdate < TIMESTAMP '{CUT}'")}),
+reasons AS (SELECT fn, {_WHY} AS why FROM (SELECT 'app.api.C' || c_custkey AS fn, c_custkey AS k FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT 'app.domain.P' || p_partkey, p_partkey FROM part WHERE p_brand = '{BRAND}')),
+direct AS ({_direct_sql()}),
+base_direct AS ({_direct_sql(" AND s_acctbal < 5000")}),
+literals AS (SELECT 'app.dao.S' || s_suppkey AS fn, 'Net' AS effect, CASE s_suppkey % 4 WHEN 0 THEN 'api.stripe.com' WHEN 1 THEN 'sentry.io' WHEN 2 THEN 'db.internal:5432' ELSE 'api.openai.com' END AS value FROM supplier WHERE s_nationkey IN {_in("ASIA")}
+  UNION ALL SELECT 'app.domain.P' || p_partkey, 'Fs', '/var/lib/' || p_size || '/' || p_brand FROM part WHERE p_size >= 44
+  UNION ALL SELECT 'app.domain.P' || p_partkey, 'Exec', CASE p_partkey % 2 WHEN 0 THEN '/usr/bin/git fetch' ELSE 'curl -s x' END FROM part WHERE p_size = 1
+  UNION ALL SELECT 'app.infra.N' || n_nationkey, 'Db', 'ledger.' || lower(n_name) FROM nation WHERE n_nationkey IN {_in("AFRICA", "EUROPE")}),
+hosts AS (SELECT fn, value AS host FROM literals WHERE effect = 'Net'),
+entry_points AS (SELECT 'app.api.C' || c_custkey AS fn FROM customer WHERE c_nationkey IN {_in("AMERICA")}),
 observed AS (SELECT 'app.api.C' || user_id AS fn, CASE event_type WHEN 'view' THEN 'Db' WHEN 'click' THEN 'Net' WHEN 'purchase' THEN 'Fs' WHEN 'error' THEN 'Exec' ELSE 'Log' END AS effect FROM events),
 inferred AS (SELECT fn, effect FROM direct UNION SELECT e.caller, i.effect FROM edges e JOIN inferred i ON e.callee = i.fn),
 base_inferred AS (SELECT fn, effect FROM base_direct UNION SELECT e.caller, i.effect FROM base_edges e JOIN base_inferred i ON e.callee = i.fn)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.functions.effects import bit_of
+from emberflow.functions.effects import BIT, bit_of, mask_of
 
 
 def violations(observed: DataFrame, functions: DataFrame, effects: tuple[str, ...] = ("Exec", "Fs", "Net"), late: str = "10 minutes") -> DataFrame:
@@ -16,6 +16,8 @@ def violations(observed: DataFrame, functions: DataFrame, effects: tuple[str, ..
     """
     seen = observed.filter(F.col("effect").isin(*effects)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["fn", "effect"])
     rows = seen.join(functions.select("fn", "mask"), "fn", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    net = F.col("mask").bitwiseAND(BIT["Net"]) != 0  # Net covers Llm and Db, as in the batch check
+    rows = rows.withColumn("mask", F.when(net, F.col("mask").bitwiseOR(mask_of(("Llm", "Db")))).otherwise(F.col("mask")))
     unknown = bit_of(F.lit("Unknown"))
     return rows.filter((F.col("mask").bitwiseAND(bit_of(F.col("effect"))) == 0) & (F.col("mask").bitwiseAND(unknown) == 0)).select("fn", "effect", "ts")
 

@@ -103,4 +103,4 @@ def test_remedies_of_all_starts_at_once(spark):
     q = ["of.api.Api.getQuote", "of.domain.Pricing.quoteBulk", "of.domain.Pricing.priceQuote", "of.infra.Rates.fetchRate"]
     e, f = functions(spark, [*zip(q, q[1:]), ("of.api.Web.page", q[0]), ("of.domain.Top.go", "of.api.Web.page")], [(q[3], ["Net"])])
     r = V.remedies(f, e, "Net", F.col("fn").contains(".domain.")).collect()
-    assert [tuple(x) for x in r] == [(q[3], 3, 2, q[0], 1, False)]
+    assert [tuple(x) for x in r] == [([q[3]], 3, 2, [q[0]], 1, False)]
