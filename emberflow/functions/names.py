@@ -134,6 +134,51 @@ def host_literal(s: Column) -> Column:
     return F.when(s.isNull() | (h == ""), None).when(F.instr(h, "://") > 0, url).otherwise(bare)
 
 
+def concat_prefix(recipe: Column) -> Column:
+    """The text before the first placeholder (sign 1 or 2) of a concatenation; null where nothing is before it."""
+    head = F.regexp_extract(recipe, "^([^\u0001\u0002]*)", 1)
+    return F.when(head != "", head)
+
+
+def concat_host(prefix: Column) -> Column:
+    """The host of a URL that begins with prefix: only where a slash ends it there; else null."""
+    rest = F.regexp_extract(prefix, r"://([^/]*)/", 1)
+    authority = F.regexp_replace(rest, r"^.*@", "")
+    return F.when((F.instr(prefix, "://") > 0) & (F.trim(authority) != "") & ~authority.rlike("[ \u0001\u0002]"), authority)
+
+
+def reason_parts(tag: Column) -> Column:
+    """prefix and detail of a reason, cut at its first colon; null for a blank one."""
+    colon = F.instr(tag, ":")
+    return F.when(F.trim(tag) != "", F.struct(F.when(colon > 0, F.substring_index(tag, ":", 1)).otherwise(tag).alias("prefix"), F.when(colon > 0, F.regexp_replace(tag, r"^[^:]*:", "")).otherwise("").alias("detail")))
+
+
+def reason_tag(prefix: Column, detail: Column) -> Column:
+    """A reason of its parts; without a detail the prefix alone."""
+    return F.when(detail == "", prefix).otherwise(F.concat(prefix, F.lit(":"), detail))
+
+
+def reason_filter(tokens: str) -> tuple[str, ...] | None:
+    """Reason classes of a list parted by commas; None (no filter) for *; dynamic is all but setup. A wrong one is an
+    error."""
+    if tokens.strip() == "*":
+        return None
+    out: list[str] = []
+    for t in (t.strip() for t in tokens.split(",")):
+        if t != "dynamic" and t not in REASON_CLASSES:
+            raise ValueError(f"unknown class {t!r}")
+        out += [c for c in REASON_CLASSES if c != "setup"] if t == "dynamic" else [t]
+    return tuple(dict.fromkeys(out))
+
+
+def version_pin(pin: Column, running: Column) -> Column:
+    """absent, malformed, undetermined, match or mismatch of a pinned version and the running one."""
+    plain = lambda c: F.regexp_replace(F.trim(c), "^[vV]", "")
+    full = lambda c: F.when(plain(c).rlike(r"^\d+\.\d+$"), F.concat(plain(c), F.lit(".0"))).when(plain(c).rlike(r"^\d+\.\d+\.\d+$"), plain(c))
+    blank = running.isNull() | (F.trim(running) == "") | (running == "unknown")
+    return F.when(pin.isNull(), "absent").when(full(pin).isNull(), "malformed").when(blank, "undetermined").when(full(pin) == F.coalesce(full(running), F.trim(running)), "match").otherwise("mismatch")
+
+
 def _in_hosts(host: Column, hosts: list[str]) -> Column:
     return host.isin(*hosts) | F.exists(F.array(*[F.lit("." + h) for h in hosts]), lambda e: F.endswith(host, e))
 

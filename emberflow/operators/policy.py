@@ -57,12 +57,10 @@ def _classes(token: str, text: str) -> tuple[str, ...]:
 
 
 def parse(text: str) -> list[Rule]:
-    """Rules of a policy; a bad token or a policy without rules is refused."""
+    """Rules of a policy; a bad token or a policy without rules is refused. Lines of unknown kinds are ignored, which
+    `ignored_lines` tells."""
     rules = []
-    for line in text.removeprefix("﻿").splitlines():
-        line = line.split("#", 1)[0].strip()
-        if not line:
-            continue
+    for _, line in _lines(text):
         word, *rest = line.split()
         if word == "deny":
             effects, reasons, dests, i = [], (), (), 0
@@ -100,8 +98,6 @@ def parse(text: str) -> list[Rule]:
             if not m or any(e not in EFFECTS for e in m[2].split()):
                 raise PolicyError(f"bad accept line {line!r}")
             rules.append(Rule("accept", line, tuple(m[2].split()), fn=m[1], rule=m[3], because=m[4]))
-        else:
-            raise PolicyError(f"unknown rule {word!r}")
     if not any(r.kind != "accept" for r in rules):
         raise PolicyError("a policy needs a rule")
     texts = {r.text for r in rules}
@@ -110,6 +106,31 @@ def parse(text: str) -> list[Rule]:
     return rules
 
 
+KINDS = ("deny", "pure", "allow", "forbid", "only", "accept")
+
+
+def _lines(text: str) -> list[tuple[int, str]]:
+    """Number and words of each line that says something; a mark at the very beginning and comments are left out."""
+    cut = [(i, line.split("#", 1)[0].strip()) for i, line in enumerate(text.removeprefix("\ufeff").splitlines(), 1)]
+    return [(i, line) for i, line in cut if line]
+
+
+def ignored_lines(spark, text: str) -> DataFrame:
+    """line, text, reason: lines of no known kind, which no rule comes from."""
+    rows = [(i, line, f"unknown rule {line.split()[0]!r}") for i, line in _lines(text) if line.split()[0] not in KINDS]
+    return spark.createDataFrame(rows, "line int, text string, reason string")
+
+
+def unhonoured(spark, text: str) -> DataFrame:
+    """rule, why: of a policy that is refused, every rule, as none is evaluated; the bad one says why. Empty for others."""
+    try:
+        parse(text)
+        return spark.createDataFrame([], "rule string, why string")
+    except PolicyError as e:
+        rows = [(line, str(e) if repr(line) in str(e) else "a rule elsewhere in this policy is refused, and a policy counts as a whole") for _, line in _lines(text) if line.split()[0] != "accept"]
+        return spark.createDataFrame(rows, "rule string, why string")
+
+
 def denied(functions: DataFrame, rules: list[Rule]) -> DataFrame:
     """code, rule, fn, effects of deny and pure rules: one row a rule and function. Synthetic rows (functions with a true
     interface_union, where there is such a column) are disclosed elsewhere and never judged.
@@ -212,10 +233,11 @@ def _told(code: str, found: DataFrame) -> DataFrame:
     return found.select(F.lit(code).alias("code"), "rule", "fn", F.col("found").alias("reached"), F.col("hops").cast("long").alias("hops"))
 
 
-def judge_accepts(violations: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge_accepts(violations: DataFrame, rules: list[Rule], unevaluated: DataFrame | None = None, twins: DataFrame | None = None) -> DataFrame:
     """status, fn, rule, effects, outside: accept lines against violations (rule, fn, effects joined by commas).
 
-    accepted if the violation's effects are all named, exceeded if some aren't, stale without such a violation.
+    accepted if the violation's effects are all named, exceeded if some aren't, stale without such a violation; unjudged
+    if its rule wasn't evaluated (unevaluated: rule), ambiguous if two units have the name (twins: fn).
     """
     spark = violations.sparkSession
     lines = [(r.fn, r.rule, ",".join(sorted(r.effects))) for r in rules if r.kind == "accept"]
@@ -223,6 +245,12 @@ def judge_accepts(violations: DataFrame, rules: list[Rule]) -> DataFrame:
     both = accepts.join(violations.select("fn", "rule", "effects"), ["fn", "rule"], "left")
     outside = F.array_except(F.split("effects", ","), F.split("accepted", ","))
     status = F.when(F.col("effects").isNull(), "stale").when(F.size(outside) == 0, "accepted").otherwise("exceeded")
+    if twins is not None:
+        both = both.join(twins.select("fn", F.lit(True).alias("_twin")), "fn", "left")
+        status = F.when(F.col("_twin"), "ambiguous").otherwise(status)
+    if unevaluated is not None:
+        both = both.join(unevaluated.select("rule", F.lit(True).alias("_open")).distinct(), "rule", "left")
+        status = F.when(F.col("_open"), "unjudged").otherwise(status)
     return both.select(status.alias("status"), "fn", "rule", F.coalesce("effects", F.lit("")).alias("effects"), F.coalesce(F.array_join(outside, ","), F.lit("")).alias("outside"))
 
 

@@ -35,6 +35,13 @@ def select(functions: DataFrame, query: str) -> DataFrame:
     return hit.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")
 
 
+def single(functions: DataFrame, query: str, most: int = 12) -> DataFrame:
+    """fn, n: the functions at the best match tier by name, `most` at most, and how many there are: with more than one a
+    question about one function can't be answered, and these are told."""
+    hit = select(functions, query).select("fn").distinct()
+    return hit.orderBy("fn").limit(most).join(F.broadcast(hit.agg(F.count("*").alias("n"))))  # one row
+
+
 def show(functions: DataFrame, query: str) -> DataFrame:
     """fn, tier, inferred, with a star after effects performed directly."""
     marked = F.transform(names_of(F.col("mask")), lambda e: F.when(F.array_contains(names_of(F.col("direct_mask")), e), F.concat(e, F.lit("*"))).otherwise(e))
@@ -70,9 +77,10 @@ def whatif(functions: DataFrame, edges: DataFrame, target: str, effect: str) ->
 
 
 def by_class(functions: DataFrame, layer: Column | None = None) -> DataFrame:
-    """cls, n_functions, effects of each declaring type; Unknown is left out, rows are counted."""
+    """cls, n_functions, effects of each declaring type, most functions first, then by name; Unknown is left out, rows are
+    counted."""
     cls = layer if layer is not None else N.declaring_type(F.col("fn"))
-    return functions.groupBy(cls.alias("cls")).agg(F.count("*").alias("n_functions"), F.bit_or("mask").alias("m")).select("cls", "n_functions", told(F.col("m").bitwiseAND(mask_of(EFFECTS[:-1]))).alias("effects"))
+    return functions.groupBy(cls.alias("cls")).agg(F.count("*").alias("n_functions"), F.bit_or("mask").alias("m")).select("cls", "n_functions", told(F.col("m").bitwiseAND(mask_of(EFFECTS[:-1]))).alias("effects")).orderBy(F.desc("n_functions"), "cls")
 
 
 def reachable(functions: DataFrame) -> DataFrame:
@@ -90,9 +98,9 @@ def reachable_list(functions: DataFrame) -> DataFrame:
 
 
 def layer_of(fn: Column, prefix: int) -> Column:
-    """The segment after a common prefix of so many segments, or (root)."""
+    """The segment after a common prefix of so many segments, if a type and a member follow it, or (root)."""
     segs = F.split(fn, r"\.")
-    return F.when(F.size(segs) > prefix + 1, F.element_at(segs, prefix + 1)).otherwise("(root)")
+    return F.when(F.size(segs) > prefix + 2, F.element_at(segs, prefix + 1)).otherwise("(root)")
 
 
 def common_prefix(functions: DataFrame) -> int:
@@ -162,8 +170,11 @@ def paths(functions: DataFrame, edges: DataFrame, effect: str, starts: DataFrame
     return shortest_paths(edges, starts, functions.filter(has(effect)).select("fn"), functions.filter(has(effect, "direct_mask")).select("fn"))
 
 
-def blindspots(edges: DataFrame, reasons: DataFrame) -> DataFrame:
-    """fn, classes, n_reach: sources of Unknown (fn, why), the classes of their reasons, how many reach them."""
+def blindspots(edges: DataFrame, reasons: DataFrame, classes: tuple[str, ...] | None = None) -> DataFrame:
+    """fn, classes, n_reach: sources of Unknown (fn, why), the classes of their reasons, how many reach them; with
+    classes, only sources that have one of them."""
+    if classes is not None:
+        reasons = reasons.join(reasons.filter(N.reason_class(F.col("why")).isin(*classes)).select("fn").distinct(), "fn", "left_semi")
     sources = reasons.groupBy("fn").agg(F.array_join(F.array_sort(F.collect_set(N.reason_class(F.col("why")))), ",").alias("classes"))
     seeds = edges.join(sources.select(F.col("fn").alias("callee")), "callee", "left_semi").select(F.col("callee").alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
     counts = reach(up(edges), seeds).filter("source <> node").groupBy(F.col("source").alias("fn")).agg(F.count("*").alias("n_reach"))
@@ -257,8 +268,11 @@ def remedies(functions: DataFrame, edges: DataFrame, effect: str, denied: Column
     return rows.select("sites", "n_starts", zero("n_span"), F.coalesce("hoist", F.array().cast("array<string>")).alias("hoist"), zero("n_higher"), (F.col("hoist").isNotNull() & ~F.coalesce("sandwiched", F.lit(False))).alias("clean"))
 
 
-def unverified(functions: DataFrame, violations: DataFrame, scope: Column) -> DataFrame:
-    """fn: functions in scope that no rule bites and that may still do anything, as Unknown reaches them."""
+def unverified(functions: DataFrame, violations: DataFrame, scope: Column, classes: tuple[str, ...] | None = None) -> DataFrame:
+    """fn: functions in scope that no rule bites and that may still do anything, as Unknown reaches them; with classes,
+    only those whose reasons (array) are among them."""
+    if classes is not None:
+        scope = scope & F.arrays_overlap("reasons", F.array(*map(F.lit, classes)))
     return functions.filter(scope & has("Unknown")).select("fn").join(violations.select("fn"), "fn", "left_anti")
 
 
@@ -286,6 +300,20 @@ def verify(observed: DataFrame, functions: DataFrame, effects: tuple[str, ...] =
     return rows.select("fn", verdict.alias("verdict"), told("seen").alias("observed"), told("gone").alias("escaped"))
 
 
+SCOPES = {"direct": ("Exec", "Fs", "Net"), "all": ("Clock", "Db", "Env", "Exec", "Fs", "Llm", "Net", "Rand")}
+
+
+def callers_with_frontier(edges: DataFrame, target: str, reasons: DataFrame, supers: DataFrame, indexed: DataFrame) -> DataFrame:
+    """fn, how, via: all that reach the target (caller), and functions that may, by an unresolved dispatch which one of
+    these or the target could answer (frontier, with the method)."""
+    from emberflow.operators.chaining import dispatch_frontier
+
+    known = stored(callers(edges, target).select("fn"))
+    bodies = known.union(edges.sparkSession.createDataFrame([(target,)], "fn string")).distinct()
+    open_ = dispatch_frontier(reasons, bodies, supers, indexed).join(known, "fn", "left_anti").filter(F.col("fn") != target)
+    return known.select("fn", F.lit("caller").alias("how"), F.lit("").alias("via")).unionByName(open_.select("fn", F.lit("frontier").alias("how"), "via"))
+
+
 def dispatch_targets(sites: DataFrame, supers: DataFrame, methods: DataFrame, most: int = 12) -> DataFrame:
     """site, target: bodies that a virtual call (site, owner, method) may run: those of the owner and its subtypes
     (supers: type, super), else of the nearest supertype that has one; beyond `most` targets a site has none."""

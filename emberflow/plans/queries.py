@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberflow.functions import names as N
@@ -13,10 +11,9 @@ from emberflow.operators import chaining as C
 from emberflow.operators import policy as P
 from emberflow.operators import verbs as V
 from emberflow.operators.fixpoint import value_fixpoint
-from emberflow.plans.views import VIEWS_SQL, Model
+from emberflow.plans.registry import ORACLE_SQL, QUERIES, query
+from emberflow.plans.views import Model
 
-#: Segments that all names of the model begin with.
-PREFIX = 1
 POLICY = """
 deny Net Db domain
 deny Fs api
@@ -33,23 +30,6 @@ accept app.infra.R0 Net for pure infra.R because never
 RULES = P.parse(POLICY)
 TARGET = "app.dao.S3"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str, views: bool = True):
-    """Register a function of a Model under its name, with its SQL."""
-
-    def keep(f: Callable[[Model], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
-        if sql:
-            body = sql.strip()
-            ORACLE_SQL[f.__name__] = (VIEWS_SQL + (", " if body.startswith("+") else "") + body.lstrip("+")) if views else body
-        return f
-
-    return keep
-
-
 _FUNCTIONS = """+ told AS (SELECT fn, string_agg(DISTINCT effect, ',' ORDER BY effect) AS inferred FROM inferred GROUP BY fn) """
 
 
@@ -81,18 +61,23 @@ def reachable(m: Model) -> DataFrame:
     return V.reachable(m.functions())
 
 
+def _members(functions: DataFrame) -> DataFrame:
+    """The functions as members of types, as layers are told by what stands before a type and its member."""
+    return functions.withColumn("fn", F.concat("fn", F.lit(".run")))
+
+
 _BOUND = ", ".join(f"'{e}'" for e in BOUNDARY)
 
 
 @query(f"""+ c AS (SELECT effect, split_part(fn, '.', 2) AS layer, count(*) AS n FROM direct WHERE effect IN ({_BOUND}) GROUP BY ALL)
 SELECT effect, arg_min(layer, (-n, layer)) AS owner, count(*) AS n_layers, CAST(sum(n) AS BIGINT) AS n_total, CAST(floor(100 * max(n) / sum(n)) AS BIGINT) AS share FROM c GROUP BY effect""")
 def containment(m: Model) -> DataFrame:
-    return V.containment(m.functions(), PREFIX)
+    return V.containment(_members(m.functions()), V.common_prefix(m.functions()))
 
 
 @query("SELECT effect, count(DISTINCT split_part(fn, '.', 2)) AS n_layers FROM direct WHERE effect IN ('Log', 'Clock', 'Rand', 'Env') GROUP BY effect")
 def ambient_layers(m: Model) -> DataFrame:
-    return V.ambient_layers(m.functions(), PREFIX)
+    return V.ambient_layers(_members(m.functions()), V.common_prefix(m.functions()))
 
 
 def _base(m: Model) -> DataFrame:
@@ -107,7 +92,7 @@ _BASE = "+ old AS (SELECT fn, effect FROM base_inferred WHERE fn IN (SELECT fn F
 @query(_BASE + f""", a AS (SELECT DISTINCT effect, split_part(fn, '.', 2) AS layer FROM direct WHERE effect IN ({_BOUND}) AND split_part(fn, '.', 2) <> 'domain'), b AS (SELECT DISTINCT effect, split_part(fn, '.', 2) AS layer FROM olddirect WHERE effect IN ({_BOUND}) AND split_part(fn, '.', 2) <> 'dao')
 SELECT *, 'leak' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'improvement' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def containment_leaks(m: Model) -> DataFrame:
-    return V.leaks(m.functions().filter("fn not like 'app.domain.%'"), _base(m).filter("fn not like 'app.dao.%'"), PREFIX)
+    return V.leaks(_members(m.functions().filter("fn not like 'app.domain.%'")), _members(_base(m).filter("fn not like 'app.dao.%'")), V.common_prefix(m.functions()))
 
 
 _LIST = "coalesce(string_agg({0}, ',' ORDER BY effect), '')"
@@ -242,7 +227,7 @@ def gate_deny(m: Model) -> DataFrame:
 
 
 @query(_GATE + """, acc(fn, rule, accepted) AS (VALUES ('app.dao.S3', 'deny Net[unknown-host] dao', 'Net'), ('app.domain.P1', 'deny Net Db domain', 'Net'), ('app.infra.R0', 'pure infra.R', 'Net'))
-SELECT CASE WHEN v.fn IS NULL THEN 'stale' WHEN v.effects = 'Net' THEN 'accepted' ELSE 'exceeded' END AS status, a.fn, a.rule, coalesce(v.effects, '') AS effects, coalesce(array_to_string(list_filter(string_split(v.effects, ','), x -> x <> 'Net'), ','), '') AS outside FROM acc a LEFT JOIN viol v ON a.fn = v.fn AND a.rule = v.rule""")
+SELECT CASE WHEN v.fn IS NULL THEN 'stale' WHEN v.effects = 'Net' THEN 'accepted' ELSE 'exceeded' END AS status, a.fn, a.rule, coalesce(v.effects, '') AS effects, coalesce(trim(replace(',' || v.effects || ',', ',Net,', ','), ','), '') AS outside FROM acc a LEFT JOIN viol v ON a.fn = v.fn AND a.rule = v.rule""")
 def gate_accepts(m: Model) -> DataFrame:
     return P.judge_accepts(P.denied(_gate_rows(m), RULES), RULES)
 
@@ -367,10 +352,12 @@ def dispatch_targets(m: Model) -> DataFrame:
     return V.dispatch_targets(*_hierarchy(m))
 
 
-@query(_SUPERS + "cs(t, n) AS (SELECT type, super FROM sup UNION SELECT cs.t, sup.super FROM cs JOIN sup ON sup.type = cs.n) SELECT n || '.run' AS fn, count(*) AS n_implementors FROM cs JOIN meth ON meth.owner = cs.t GROUP BY n")
+@query(_SUPERS.replace("'run' AS method FROM part WHERE p_size <= 16)", "'run' AS method, CASE WHEN p_size <= 5 THEN 'Net' WHEN p_size <= 10 THEN 'Db' ELSE 'Fs' END AS effect FROM part WHERE p_size <= 16)") + "cs(t, n) AS (SELECT type, super FROM sup UNION SELECT cs.t, sup.super FROM cs JOIN sup ON sup.type = cs.n) SELECT n || '.run' AS fn, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects, count(*) AS n_implementors FROM cs JOIN meth ON meth.owner = cs.t GROUP BY n")
 def interface_unions(m: Model) -> DataFrame:
-    _, supers, methods = _hierarchy(m)
-    return V.union_rows(supers, methods.withColumn("mask", F.lit(1))).select("fn", "n_implementors")
+    _, supers, _ = _hierarchy(m)
+    mask = F.when(F.col("p_size") <= 5, BIT["Net"]).when(F.col("p_size") <= 10, BIT["Db"]).otherwise(BIT["Fs"])
+    methods = m.table("part").filter("p_size <= 16").select(F.expr("concat('P', p_partkey)").alias("owner"), F.lit("run").alias("method"), mask.alias("mask"))
+    return V.union_rows(supers, methods).select("fn", F.array_join(names_of(F.col("mask")), ",").alias("effects"), "n_implementors")
 
 
 @query("""WITH units AS (SELECT n_name AS name, 'pkg' || n_regionkey AS package, 'k' || n_nationkey AS key FROM nation UNION ALL SELECT 'shared', 'pkg' || r_regionkey, 'r' || r_regionkey FROM region),
@@ -441,3 +428,7 @@ def tables_in_sql(m: Model) -> DataFrame:
 @query("SELECT count(DISTINCT fn) AS n FROM nodes")
 def analyzed_count(m: Model) -> DataFrame:
     return C.digest(m.nodes().select(F.col("fn").alias("name"))).select("n")
+
+
+# The other queries build on these and register beside them.
+from emberflow.plans import answers  # noqa: E402, F401

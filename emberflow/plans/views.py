@@ -102,7 +102,7 @@ class Model:
         text = lambda c: F.col(c).cast("string")
         rows = [
             self.of_region("supplier", "s_nationkey", "ASIA").select(_name("dao", "S", "s_suppkey").alias("fn"), F.lit("Net").alias("effect"), host.alias("value")),
-            self.table("part").filter("p_size >= 44").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Fs").alias("effect"), F.concat(F.lit("/var/lib/"), text("p_size"), F.lit("/"), text("p_brand")).alias("value")),
+            self.table("part").filter("p_size >= 44").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Fs").alias("effect"), F.concat(F.lit("/var/lib/"), text("p_size"), F.lit("/data")).alias("value")),
             self.table("part").filter("p_size = 1").select(_name("domain", "P", "p_partkey").alias("fn"), F.lit("Exec").alias("effect"), F.when(F.col("p_partkey") % 2 == 0, "/usr/bin/git fetch").otherwise("curl -s x").alias("value")),
             self.of_region("nation", "n_nationkey", "AFRICA", "EUROPE").select(_name("infra", "N", "n_nationkey").alias("fn"), F.lit("Db").alias("effect"), F.concat(F.lit("ledger."), F.lower("n_name")).alias("value")),
         ]
@@ -209,7 +209,7 @@ reasons AS (SELECT fn, {_WHY} AS why FROM (SELECT 'app.api.C' || c_custkey AS fn
 direct AS ({_direct_sql()}),
 base_direct AS ({_direct_sql(" AND s_acctbal < 5000")}),
 literals AS (SELECT 'app.dao.S' || s_suppkey AS fn, 'Net' AS effect, CASE s_suppkey % 4 WHEN 0 THEN 'api.stripe.com' WHEN 1 THEN 'sentry.io' WHEN 2 THEN 'db.internal:5432' ELSE 'api.openai.com' END AS value FROM supplier WHERE s_nationkey IN {_in("ASIA")}
-  UNION ALL SELECT 'app.domain.P' || p_partkey, 'Fs', '/var/lib/' || p_size || '/' || p_brand FROM part WHERE p_size >= 44
+  UNION ALL SELECT 'app.domain.P' || p_partkey, 'Fs', '/var/lib/' || p_size || '/data' FROM part WHERE p_size >= 44
   UNION ALL SELECT 'app.domain.P' || p_partkey, 'Exec', CASE p_partkey % 2 WHEN 0 THEN '/usr/bin/git fetch' ELSE 'curl -s x' END FROM part WHERE p_size = 1
   UNION ALL SELECT 'app.infra.N' || n_nationkey, 'Db', 'ledger.' || lower(n_name) FROM nation WHERE n_nationkey IN {_in("AFRICA", "EUROPE")}),
 hosts AS (SELECT fn, value AS host FROM literals WHERE effect = 'Net'),

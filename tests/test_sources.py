@@ -66,3 +66,94 @@ def test_streaming_check(spark, tmp_path):
     q = violations(stream, f).writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["fn"], r["effect"]) for r in spark.table("told").collect()) == [("a", "Net"), ("c", "Exec")]
+
+
+def test_fnv1a(spark):
+    from emberflow.sources.dependencies import FNV_FACTOR, FNV_START, fnv1a
+
+    def plain(names):
+        h = FNV_START
+        for n in sorted(names):
+            for b in n.encode() + b"\n":
+                h = ((h ^ b) * FNV_FACTOR) % 2**64
+        return f"{h:016x}"
+
+    names = {"r1": ["b", "a", "ä.x", "a"], "r2": ["only"]}
+    df = spark.createDataFrame([(r, n) for r, some in names.items() for n in some], "report string, name string").repartition(3)
+    assert {r["report"]: (r["n"], r["digest"]) for r in fnv1a(df).collect()} == {r: (len(set(some)), plain(set(some))) for r, some in names.items()}
+
+
+def test_locators(spark, tmp_path):
+    from emberflow.sources import locate as L
+
+    home = tmp_path / "proj" / ".reports"
+    home.mkdir(parents=True)
+    for n in ("report.a.json", "report.b.jvm.json", "report.a.callgraph.json", "report.json", "other.json", "report.x.encountered-1.json"):
+        (home / n).write_text("{}")
+    names = lambda paths: [p.rsplit("/", 1)[1] for p in paths]
+    assert names(L.reports(spark, str(tmp_path / "proj"))) == ["report.a.json", "report.b.jvm.json", "report.json"]
+    assert names(L.reports(spark, str(home / "report"), shape=".jvm.json")) == ["report.b.jvm.json", "report.json"]
+    assert L.reports(spark, "any/where.json") == ["any/where.json"] and L.report(spark, str(tmp_path / "proj")).endswith("report.a.json")
+    deep = tmp_path / "proj" / "src" / "x"
+    deep.mkdir(parents=True)
+    assert L.discover(spark, str(deep)) == str(home / "report") and L.discover(spark, str(deep), given="g") == "g"
+    import pytest
+
+    with pytest.raises(L.NotFound):
+        L.report(spark, str(tmp_path / "none"))
+    assert L.pair(spark, "a.json", "b.json") == ("a.json", "b.json")
+
+
+def test_envelopes_and_whole_documents(spark, tmp_path):
+    from emberflow.sources import dependencies as D
+    from emberflow.sources import envelope as E
+    from emberflow.sources import report as S
+
+    doc = tmp_path / "report.a.json"
+    doc.write_text('{"producer": {"version": "1", "toolchain": "t"}, "packages": ["p.q", "p.r"], "coverage": {"uncovered": [{"name": "x.y", "calls": 3}]}, "analyzed": {"count": 2, "digest": "d"}, "excluded": [{"class": "test", "count": 4, "peeked": true, "reason": "r"}], "scannedUnder": {"deny": ["deny Net"]}, "unanalyzed": [{"path": "a", "reason": "b"}], "functions": [{"fn": "p.A.f", "hash": "p/A.f()V", "inferred": ["Net", "Odd"], "unknownWhy": ["reflect:z"]}]}')
+    bare = tmp_path / "report.b.json"
+    bare.write_text('[{"fn": "p.B.g", "inferred": ["Fs"]}]')
+    e = {r["report"].rsplit("/", 1)[1]: r for r in E.envelopes(spark, [str(doc), str(bare)]).collect()}
+    a, b = e["report.a.json"], e["report.b.json"]
+    assert (a["version"], a["packages"], a["n_analyzed"], a["uncovered"][0]["calls"], a["excluded"][0]["peeked"], a["switches"]) == ("1", ["p.q", "p.r"], 2, 3, True, None)
+    assert b["version"] is None and b["packages"] is None
+    assert [r["rule"] for r in E.unasked(E.envelopes(spark, [str(doc)]), ["deny Net", "pure x"]).collect()] == ["pure x"]
+    whole = E.completeness(E.envelopes(spark, [str(doc), str(bare)])).first()
+    assert whole["incomplete"] and whole["n_reports"] == 2 and len(whole["unanalyzed"]) == 1
+    assert {r["what"] for r in E.unlike(E.envelopes(spark, [str(doc)]), E.envelopes(spark, [str(bare)])).collect()} == {"version", "toolchain"}
+    assert E.label(["p.q", "p.r"]) == "p" and E.label(["a", "b"]) is None and E.label([]) is None
+    (row,) = D.dependency_rows(spark, [str(doc)]).collect()
+    from emberflow.functions.effects import mask_of
+
+    assert row["mask"] == mask_of(["Net", "Unknown"]) and (row["hash"], row["version"], row["why"]) == ("p/A.f()V", "1", "reflect:z")
+    d = {r["report"].rsplit("/", 1)[1]: r for r in D.doubts(spark, [str(doc), str(bare)]).collect()}
+    assert d["report.a.json"]["incomplete"] and not d["report.a.json"]["empty"] and not d["report.b.json"]["incomplete"] and not d["report.b.json"]["empty"]
+    assert D.dependency_paths(spark, str(tmp_path)) == [str(doc), str(bare)] == D.dependency_paths(spark, f"{doc}:{bare}")
+    out = str(tmp_path / "out.json")
+    rows = S.read_functions(spark, [str(doc), str(bare)])
+    assert E.write_report(rows.repartition(3), out, {"head": {"version": "2"}, "packages": []}) and not E.write_report(rows, out, {"head": {"version": "2"}, "packages": []})
+    assert {r["fn"] for r in S.read_functions(spark, [out]).collect()} == {"p.A.f", "p.B.g"} and E.envelopes(spark, [out]).first()["version"] == "2"
+    assert E.write_report(rows.limit(0), str(tmp_path / "none.json"), {}) and (tmp_path / "none.json").read_text().replace("\n", "") == '{"functions": []}'
+    types = tmp_path / "report.a.hierarchy.json"
+    types.write_text('{"p.A": ["p.S"], "@superclass": ["p.A", "p.S"]}')
+    assert [r["type"] for r in D.own_types(spark, [str(doc), str(bare)]).collect()] == ["p.A"]
+    sw = spark.createDataFrame([("r1", ["B", "A"]), ("r2", []), ("r3", ["A", ""])], "report string, switches array<string>")
+    assert [r["switch"] for r in E.switches(sw).collect()] == ["A", "B"]
+    assert {r["report"]: r["switches"] for r in E.switched_dependencies(sw).collect()} == {"r1": ["A", "B"], "r3": ["A"]}
+
+
+def test_streaming_and_batch_checks_agree(spark, tmp_path):
+    from emberflow.functions.effects import mask_of
+    from emberflow.operators.verbs import SCOPES, verify
+    from emberflow.streaming.verify import violations
+
+    functions = spark.createDataFrame([("a", mask_of(["Net"])), ("b", mask_of(["Fs"])), ("c", mask_of(["Unknown"]))], "fn string, mask int")
+    seen = [("a", "Llm"), ("a", "Db"), ("a", "Fs"), ("b", "Db"), ("c", "Exec"), ("d", "Net"), ("d", "Net")]
+    path = str(tmp_path / "seen")
+    spark.createDataFrame([(f, e, "2024-01-01 00:00:00") for f, e in seen], "fn string, effect string, ts string").selectExpr("fn", "effect", "timestamp(ts) ts").write.parquet(path)
+    stream = violations(spark.readStream.schema("fn string, effect string, ts timestamp").parquet(path), functions, SCOPES["all"])
+    out = str(tmp_path / "out")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["fn"], r["effect"]) for r in spark.read.parquet(out).collect()}
+    batch = verify(spark.read.parquet(path), functions, SCOPES["all"]).filter("verdict = 'violation'").collect()
+    assert got == {(r["fn"], e) for r in batch for e in r["escaped"].split(",")} == {("a", "Fs"), ("b", "Db"), ("d", "Net")}
