@@ -16,9 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes in an Arrow batch.
+BATCH_BYTES = 1 << 22
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Make sure that a checkpoint folder is set. A folder named by the session is kept; without one, a temporary folder
-    serves a local session, and a cluster is refused, as its executors would write where others can't read."""
+    """Make sure that a checkpoint folder is set and that Arrow batches are small enough for long texts.
+
+    A folder named by the session is kept; without one, a temporary folder serves a local session, and a cluster is
+    refused, as its executors would write where others can't read. Batches are bounded by BATCH_BYTES where the session
+    has Spark's default of 64 MB or more: two batches at both ends of each worker would take much of an executor's
+    memory beside the heap. The number of rows in a batch stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

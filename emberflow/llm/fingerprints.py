@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
     ties = stored(keys.join(lead, ["band", "key"]).filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
     tied = ties.select("u").union(ties.select("v")).distinct()
     tied = nodes.join(tied, nodes["node"] == tied["u"]).select(F.col("label").alias("_label"), "node", "digest")
-    texts = rows.join(tied, F.col("doc_id") == F.col("_label")).select("node", "digest", "text")
+    texts = rows.join(tied.hint("shuffle_hash"), F.col("doc_id") == F.col("_label")).select("node", "digest", "text")
 
     def single(batches):
         for b in batches:

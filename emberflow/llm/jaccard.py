@@ -440,7 +440,8 @@ def linked(docs: DataFrame, percent: float = 80) -> tuple[DataFrame, DataFrame,
     nodes = _nodes(rows)
     kept = nodes.filter("stays").select(F.col("label").alias("_label"), "node", "digest")
     n_kept = kept.join(nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
-    texts = docs.join(kept, F.col("doc_id") == F.col("_label")).select("node", "digest", "text")
+    # Ids and digests are hashed, so that texts needn't be sorted.
+    texts = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_label")).select("node", "digest", "text")
     return rows, nodes, stored(links_of(texts, n_kept, percent))
 
 
@@ -461,7 +462,7 @@ def keep_one(docs: DataFrame, percent: float = 80) -> DataFrame:
     """docs without those that are linked, over any number of steps, to a document of smaller doc_id. Of rows that share
     a doc_id the one whose text comes first stays; of rows without a doc_id one of each text."""
     gone = join_components(docs, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     key = [docs["doc_id"], F.when(docs["doc_id"].isNull(), F.sha2(text_of(), 256))]
     again = kept.groupBy(key[0].alias("_k"), key[1].alias("_t")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     if again.isEmpty():

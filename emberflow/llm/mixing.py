@@ -140,7 +140,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     i, s, r, u, c = (free_name(docs.columns, n) for n in ("_mix_id", "_mix_source", "_mix_rate", "_mix_draw", "_mix_copy"))
     m = mix(docs, weights, most).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
     m = m.select(i, s, F.when(F.col("n") == 0, 1.0).otherwise(F.col("t") / F.col("n")).alias(r)).filter(F.col(r) > 0)
-    joined = docs.join(m, docs["doc_id"].eqNullSafe(m[i]) & docs["source"].cast("string").eqNullSafe(m[s]))
+    joined = docs.join(m.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(m[i]) & docs["source"].cast("string").eqNullSafe(m[s]))
     joined = joined.withColumn(u, F.pmod(F.xxhash64(key_text(), text_of()), F.lit(2**31)) / float(2**31))
     times = (F.floor(r) + (F.col(u) < F.col(r) - F.floor(r)).cast("int")).cast("int")
     return joined.withColumn(c, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[docs[x] for x in docs.columns])

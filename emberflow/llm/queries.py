@@ -70,6 +70,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of op6's signatures joined, and similarities verified: every document with a near copy."""
+    return fingerprints.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_nearest": op9_nearest,
     "op10_sharding": op10_sharding,
+    "near_duplicates": near_duplicates,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None) -> DataFr
 
     if not misses.isEmpty():
         wanted = misses.select("_one", F.col("digest").alias("_d"))
-        todo = texts.withColumn("_key", key_text()).join(wanted, F.col("_key") == F.col("_one")).select("text", "_d")
+        todo = texts.withColumn("_key", key_text()).join(wanted.hint("shuffle_hash"), F.col("_key") == F.col("_one")).select("text", "_d")
         todo = todo.filter(F.unhex(F.sha2("text", 256)) == F.col("_d")).select(F.col("_d").alias("digest"), "text")
         todo.mapInArrow(encode, schema).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache) if one.count() else spark.createDataFrame([], schema)

@@ -13,4 +13,4 @@ def test_query_returns_all_rows(spark, name):
         pytest.skip("no tables here")
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = Q.QUERIES[name](spark, SF).count()
-    assert rows >= n if name == "op5_packing" else rows == n if name != "op9_nearest" else rows > 0
+    assert rows >= n if name == "op5_packing" else rows == n if name not in ("op9_nearest", "near_duplicates") else rows > 0
