@@ -41,7 +41,7 @@ from emberflow.llm.common import parts, ready, small, stored, text_of
 from emberflow.llm.graph import components, forest
 
 #: Tokens in a block of documents; tokens in a shard; sets and tokens in a chunk of a partition; sets in a group.
-BLOCK, SHARD, CHUNK, CHUNK_TOKENS, GROUP = 1_000_000, 1_000_000, 2000, 2_000_000, 16
+BLOCK, SHARD, CHUNK, CHUNK_TOKENS, GROUP = 700_000, 1_000_000, 1000, 1_000_000, 16
 #: Hashes under which near copies meet by their least token.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
