@@ -99,9 +99,9 @@ def words(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple:
     return mix(h), np.searchsorted(start, offs), heads
 
 
-def _edges(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end; a row's end also ends its last word."""
-    solid = ~_SEP[data]
+def _edges(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; a row's end also ends its last word. sep: for each byte, whether it parts words."""
+    solid = ~sep[data]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     first = offs[:-1][offs[:-1] < offs[1:]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberflow.llm import fingerprints, jaccard, language, mixing, nearest, packing, pii, sharding, tokens, toxicity
+from emberflow.llm import divergence, fingerprints, jaccard, language, middle, mixing, nearest, oracles, packing, pii, sharding, suffixes, tokens, toxicity
 from emberflow.llm.common import key_text, table, text_of
 
 
@@ -70,6 +70,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.transform(table(spark, sf_dir, "documents"))
+    again = middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of op6's signatures joined, and similarities verified: every document with a near copy."""
     return fingerprints.near_duplicates(table(spark, sf_dir, "documents"))
@@ -92,7 +106,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_nearest": op9_nearest,
     "op10_sharding": op10_sharding,
+    "op11_middle": op11_middle,
+    "op12_divergence": op12_divergence,
+    "op13_repeats": op13_repeats,
     "near_duplicates": near_duplicates,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_middle": oracles.MIDDLE, "op12_divergence": oracles.DIVERGENCE, "op13_repeats": oracles.REPEATS}
