@@ -55,10 +55,12 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 REPEATS = r"""
-WITH d AS (
+WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), piece AS MATERIALIZED (
+  SELECT r, c, substr(h, 800 * c + 1, 1598) AS s FROM (SELECT r, h, unnest(range(0, len(h) // 800)) AS c FROM d WHERE len(h) >= 800)
 ), p AS (
-  SELECT r, i, sha256(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)
+  SELECT r, 400 * c + j AS i, md5(substr(s, 2 * j + 1, 800)) AS k FROM (SELECT r, c, s, unnest(range(0, len(s) // 2 - 399)) AS j FROM piece)
 ), hit AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS m FROM p) WHERE m > 1
 ), run AS (
