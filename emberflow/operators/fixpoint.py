@@ -2,46 +2,44 @@
 
 Frames: edges (caller, callee). Every loop ends when a round finds nothing new, and raises an error after `rounds`
 rather than give a partial answer. Only what is new takes part in the next join; a round is one job. The links of a
-walk are dealt by the key they are joined on once and kept over its rounds, in memory as far as it goes, else on disk;
-a part that is lost is made again from what it was read from.
+walk and what it has found lie in bucketed tables, by the columns they are joined on, so that neither is moved again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.plans.runtime import counted
+from emberflow.plans.runtime import Kept, bucketed
 
 ROUNDS = 500
-#: Rounds that are kept apart; more are merged, so that a late round doesn't open as many tables as there were rounds.
+#: Rounds after which buckets are merged, so that a late round doesn't open as many files as there were rounds.
 APART = 8
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def grow(links: DataFrame, key: str, first: DataFrame, step: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], on: list[str], rounds: int = ROUNDS, had: DataFrame | None = None) -> DataFrame:
+    """All rows of first and of what step(links, new, known) adds round by round, until it adds nothing.
 
-
-def grow(links: DataFrame, key: str, first: DataFrame, step: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """All rows of first and of what step(links, new, known) adds round by round, until it adds nothing; steps join what
-    is new with links on key."""
-    links = links.repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
+    Steps join what is new with links on key, and hold what they get against known on the columns `on`. Both lie in
+    buckets by these columns, so a round shuffles what is new and never the links or what is known. had: rows that are
+    known from the start and not new; they are part of the result.
+    """
+    dealt, known = bucketed(links, key), Kept(first.sparkSession, on)
     try:
-        new, n = counted(first)
-        found = [new]
+        if had is not None:
+            known.add(had.select(first.columns).repartition(known.n, *on))
+        n = known.add(first)
         for _ in range(rounds):
             if not n:
-                return _union(found)
-            new, n = counted(step(links, new, _union(found)))
-            found.append(new)
-            if len(found) > APART:
-                found = [counted(_union(found))[0]]
+                return known.all()
+            n = known.add(step(dealt.all(), known.new(), known.all()))
+            if known.rounds % APART == 0 and n:
+                known.merge()
     finally:
-        links.unpersist()
+        dealt.close()
+        known.close()
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
@@ -55,7 +53,7 @@ def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None
         got = united(links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask"))
         return got.join(united(known).withColumnRenamed("mask", "had"), "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)")).filter("mask <> 0").select("fn", "mask")
 
-    return united(grow(edges.select("caller", "callee"), "callee", united(seed).filter("mask <> 0"), step, rounds))
+    return united(grow(edges.select("caller", "callee"), "callee", united(seed).filter("mask <> 0"), step, ["fn"], rounds))
 
 
 def value_fixpoint(edges: DataFrame, direct: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -65,7 +63,7 @@ def value_fixpoint(edges: DataFrame, direct: DataFrame, rounds: int = ROUNDS) ->
         got = links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "value").distinct()
         return got.join(known, ["fn", "value"], "left_anti")
 
-    return grow(edges.select("caller", "callee"), "callee", direct.select("fn", "value").distinct(), step, rounds)
+    return grow(edges.select("caller", "callee"), "callee", direct.select("fn", "value").distinct(), step, ["fn", "value"], rounds)
 
 
 def reach(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -78,7 +76,7 @@ def reach(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None,
         got = links.join(front.withColumnRenamed("node", "src"), "src").groupBy("source", F.col("dst").alias("node")).agg((F.min("hops") + 1).alias("hops"))
         return got.join(known.select("source", "node"), ["source", "node"], "left_anti")
 
-    return grow(links.select("src", "dst"), "src", seeds.select("source", "node", F.col("hops").cast("int").alias("hops")), step, rounds)
+    return grow(links.select("src", "dst"), "src", seeds.select("source", "node", F.col("hops").cast("int").alias("hops")), step, ["source", "node"], rounds)
 
 
 def down(edges: DataFrame) -> DataFrame:
@@ -114,7 +112,7 @@ def nearest(edges: DataFrame, ends: DataFrame, through: Column | None = None, ch
         path = [F.concat(F.array("fn"), F.col("m.path")).alias("path")] if chains else []
         return got.select("rule", "fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"), *path)
 
-    return grow(edges, "callee", first, step, rounds)
+    return grow(edges, "callee", first, step, ["rule", "fn"], rounds)
 
 
 def first_found(edges: DataFrame, near: DataFrame, starts: DataFrame, through: Column | None = None) -> DataFrame:

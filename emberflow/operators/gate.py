@@ -114,24 +114,30 @@ def unevaluable(spark: SparkSession, rules: list[P.Rule]) -> DataFrame:
     return spark.createDataFrame([(r.text, why[r.kind]) for r in rules if r.kind in why], "rule string, why string")
 
 
-def gate(functions: DataFrame, rules: list[P.Rule], reports: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The gate over a report: violations that no accept line covers, stale accept lines, what isn't evaluated, what was
-    ignored for missing evidence, and the verdict (one row). reports: envelopes of the report set."""
+def gate(functions: DataFrame, rules: list[P.Rule], reports: DataFrame | None = None, same: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The gate over a report: violations that no accept line covers, every accept line with its status, what isn't
+    evaluated, what was ignored for missing evidence, and the verdict (one row).
+
+    An accept line counts as stale only if its rule was evaluated and its name is one unit's: else it is unjudged or
+    ambiguous, covers nothing and is no fault of its own. reports: envelopes of the report set; same: fn of names that
+    two units share (`twins`).
+    """
     from emberflow.sources.envelope import completeness
 
     spark = functions.sparkSession
     found = stored(P.denied(functions, rules))
-    judged = stored(P.judge_accepts(found, rules))
-    kept = found.join(judged.filter("status = 'accepted'").select("fn", "rule"), ["fn", "rule"], "left_anti")
-    stale = judged.filter("status = 'stale'")
     withheld = stored(unanswerable(functions, rules))
-    unevaluated = unevaluable(spark, rules).select("rule").union(withheld.select("rule")).distinct()
-    counts = [kept.agg(F.count("*").alias("n_violations")), stale.agg(F.count("*").alias("n_stale")), unevaluated.agg(F.count("*").alias("n_unevaluated"))]
+    unevaluated = stored(unevaluable(spark, rules).select("rule").union(withheld.select("rule")).distinct())
+    judged = stored(P.judge_accepts(found, rules, unevaluated, same))
+    kept = found.join(judged.filter("status = 'accepted'").select("fn", "rule"), ["fn", "rule"], "left_anti")
+    n_of = lambda status: F.count(F.when(F.col("status") == status, 1)).alias(f"n_{status}")
+    counts = [kept.agg(F.count("*").alias("n_violations")), judged.agg(*map(n_of, ("stale", "unjudged", "ambiguous"))), unevaluated.agg(F.count("*").alias("n_unevaluated"))]
     whole = completeness(reports).select("incomplete") if reports is not None else spark.createDataFrame([(False,)], "incomplete boolean")
     # One row each.
     row = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(whole)
-    exit_ = F.when(F.col("n_violations") + F.col("n_stale") > 0, 1).when((F.col("n_unevaluated") > 0) | F.col("incomplete"), 2).otherwise(0)
-    return {"violations": kept, "stale": stale, "withheld": withheld, "unevaluated": unevaluated, "verdict": row.withColumn("refused", (F.col("n_violations") + F.col("n_stale") == 0) & (F.col("n_unevaluated") > 0)).withColumn("exit", exit_)}
+    red = F.col("n_violations") + F.col("n_stale") > 0
+    row = row.withColumn("refused", ~red & (F.col("n_unevaluated") > 0)).withColumn("exit", F.when(red, 1).when((F.col("n_unevaluated") > 0) | F.col("incomplete"), 2).otherwise(0))
+    return {"violations": kept, "accepts": judged, "stale": judged.filter("status = 'stale'"), "withheld": withheld, "unevaluated": unevaluated, "verdict": row}
 
 
 def document(result: dict[str, DataFrame]) -> DataFrame:

@@ -44,40 +44,51 @@ class Rule:
     narrowed: frozenset = field(default_factory=frozenset)
 
 
-def _classes(token: str, text: str) -> tuple[str, ...]:
-    out: list[str] = []
-    for c in token.split(","):
-        if c == "dynamic":
-            out += [x for x in N.REASON_CLASSES if x != "setup"]
-        elif c in N.REASON_CLASSES:
-            out.append(c)
+def _classes(inner: str, effect: str, text: str, aliases: dict[str, tuple[str, ...]]) -> tuple[str, ...] | None:
+    """What the list of a narrowed effect names; None for all of them, as `*` says. Empty items say nothing."""
+    out: list[str] | None = []
+    for c in map(str.strip, inner.split(",")):
+        if c == "*":
+            out = None
+        elif not c:
+            continue
+        elif effect == "Net" and c in DESTINATIONS or effect == "Unknown" and c in N.REASON_CLASSES:
+            named: tuple[str, ...] = (c,)
+            out = out if out is None else [*out, *named]
+        elif effect == "Unknown" and (c == "dynamic" or c in aliases):
+            named = tuple(x for x in N.REASON_CLASSES if x != "setup") if c == "dynamic" else aliases[c]
+            out = out if out is None else [*out, *named]
         else:
-            raise PolicyError(f"unknown class {c!r} in {text!r}")
-    return tuple(dict.fromkeys(out))
-
-
-def parse(text: str) -> list[Rule]:
+            raise PolicyError(f"unknown {'destination' if effect == 'Net' else 'class'} {c!r} in {text!r}")
+    return None if not out else tuple(dict.fromkeys(out))
+
+
+def _denied(rest: list[str], line: str, aliases: dict[str, tuple[str, ...]]) -> Rule:
+    """A deny line: effects, each narrowed or not, and a scope. An effect named several times means all that is named: one
+    bare mention means every class, and lists are united."""
+    effects, said, i = [], {"Net": [], "Unknown": []}, 0
+    while i < len(rest) and (m := re.fullmatch(r"([A-Z][A-Za-z]*)(?:\[(.*)\])?", rest[i])) and m[1] in EFFECTS:
+        effects.append(m[1])
+        if m[1] in said:
+            named = None if m[2] is None else _classes(m[2], m[1], line, aliases)
+            said[m[1]] = None if named is None or said[m[1]] is None else [*said[m[1]], *named]
+        elif m[2] is not None:
+            raise PolicyError(f"{m[1]} can't be narrowed in {line!r}")
+        i += 1
+    if not effects or len(rest) - i > 1:
+        raise PolicyError(f"bad effect or scope in {line!r}")
+    reasons, dests = (tuple(dict.fromkeys(said[e] or ())) for e in ("Unknown", "Net"))
+    return Rule("deny", line, tuple(dict.fromkeys(effects)), rest[i] if i < len(rest) else "", reasons, dests)
+
+
+def parse(text: str, aliases: dict[str, tuple[str, ...]] | None = None) -> list[Rule]:
     """Rules of a policy; a bad token or a policy without rules is refused. Lines of unknown kinds are ignored, which
-    `ignored_lines` tells."""
+    `ignored_lines` tells. aliases: names for several classes of reasons."""
     rules = []
     for _, line in _lines(text):
         word, *rest = line.split()
         if word == "deny":
-            effects, reasons, dests, i = [], (), (), 0
-            while i < len(rest) and (m := re.fullmatch(r"([A-Z][A-Za-z]*)(?:\[([^\]]*)\])?", rest[i])) and m[1] in EFFECTS:
-                effects.append(m[1])
-                if m[2] is not None and m[1] == "Unknown":
-                    reasons = _classes(m[2], line)
-                elif m[2] is not None and m[1] == "Net":
-                    dests = tuple(m[2].split(","))
-                    if bad := [d for d in dests if d not in DESTINATIONS]:
-                        raise PolicyError(f"unknown destination {bad[0]!r} in {line!r}")
-                elif m[2] is not None:
-                    raise PolicyError(f"{m[1]} can't be narrowed in {line!r}")
-                i += 1
-            if not effects or len(rest) - i > 1:
-                raise PolicyError(f"bad effect or scope in {line!r}")
-            rules.append(Rule("deny", line, tuple(effects), rest[i] if i < len(rest) else "", reasons, dests))
+            rules.append(_denied(rest, line, aliases or {}))
         elif word == "pure":
             if len(rest) > 1:
                 raise PolicyError(f"one scope at most in {line!r}")
@@ -171,9 +182,9 @@ def outside_allowlist(functions: DataFrame, literals: DataFrame, rules: list[Rul
         covered = F.lit(False)
         for v in r.values:
             covered = covered | cover[effect](F.lit(v), F.col("value"))
-        seen = literals.filter(F.col("effect") == effect).groupBy("fn").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(~covered, F.col("value")))).alias("bad"))
+        seen = literals.filter(F.col("effect") == effect).groupBy("fn").agg(F.count("value").alias("n"), F.array_sort(F.collect_set(F.when(~covered, F.col("value")))).alias("bad"))
         rows = mine.join(seen, "fn", "left")
-        open_ = F.col("n").isNull()
+        open_ = F.coalesce(F.col("n"), F.lit(0)) == 0
         if incomplete is not None:
             rows = rows.join(incomplete.filter(F.col("effect") == effect).select("fn", F.lit(True).alias("_open")).distinct(), "fn", "left")
             open_ = open_ | F.col("_open").isNotNull()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberflow.functions import names as N
 from emberflow.functions.effects import BIT, BOUNDARY, CROSS_CUTTING, EFFECTS, bit_of, hops_factor, mask_of, names_of, salience
+from emberflow.operators.bits import comp_of, components, condensed, members, numbered, spread, united, weighed
 from emberflow.operators.fixpoint import down, first_found, nearest, reach, shortest_paths, start, up, value_fixpoint
 from emberflow.plans.runtime import stored
 
@@ -170,15 +171,26 @@ def paths(functions: DataFrame, edges: DataFrame, effect: str, starts: DataFrame
     return shortest_paths(edges, starts, functions.filter(has(effect)).select("fn"), functions.filter(has(effect, "direct_mask")).select("fn"))
 
 
-def blindspots(edges: DataFrame, reasons: DataFrame, classes: tuple[str, ...] | None = None) -> DataFrame:
+def blindspots(edges: DataFrame, reasons: DataFrame, classes: tuple[str, ...] | None = None, comps: DataFrame | None = None) -> DataFrame:
     """fn, classes, n_reach: sources of Unknown (fn, why), the classes of their reasons, how many reach them; with
-    classes, only sources that have one of them."""
+    classes, only sources that have one of them.
+
+    Cycles are drawn together first; what is spread is which components of sources a component reaches, 64 in a row, and
+    a count adds up the sizes of the components that hold a bit. There is no row for a pair of functions. comps:
+    the components of edges, where they are known already.
+    """
     if classes is not None:
         reasons = reasons.join(reasons.filter(N.reason_class(F.col("why")).isin(*classes)).select("fn").distinct(), "fn", "left_semi")
     sources = reasons.groupBy("fn").agg(F.array_join(F.array_sort(F.collect_set(N.reason_class(F.col("why")))), ",").alias("classes"))
-    seeds = edges.join(sources.select(F.col("fn").alias("callee")), "callee", "left_semi").select(F.col("callee").alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
-    counts = reach(up(edges), seeds).filter("source <> node").groupBy(F.col("source").alias("fn")).agg(F.count("*").alias("n_reach"))
-    return sources.join(counts, "fn", "left").select("fn", "classes", F.coalesce("n_reach", F.lit(0)).cast("long").alias("n_reach"))
+    comps = components(edges) if comps is None else comps
+    at = stored(comp_of(sources, comps))
+    places = numbered(at.select("comp").distinct())
+    reached = spread(up(condensed(edges, comps)), places.select(F.col("comp").alias("node"), "chunk", "mask"))
+    sizes = comps.groupBy(F.col("comp").alias("node")).agg(F.count("*").alias("size"))
+    # A component that no function is drawn into stands for itself.
+    counts = weighed(reached.join(sizes, "node", "left"), F.coalesce("size", F.lit(1)))
+    counts = places.join(counts, ["chunk", "bit"]).select("comp", F.col("n").alias("n_reach"))
+    return at.join(counts, "comp").select("fn", "classes", (F.col("n_reach") - 1).cast("long").alias("n_reach"))
 
 
 def blindspot_stats(reasons: DataFrame) -> DataFrame:
@@ -239,33 +251,42 @@ def remedy(functions: DataFrame, edges: DataFrame, effect: str, denied: Column,
     return {"sites": sites, "span": span, "hoist": hoist, "higher": above.filter("not denied").select("fn"), "sandwiched": above.agg(F.coalesce(F.max("denied"), F.lit(False)).alias("sandwiched"))}
 
 
-def remedies(functions: DataFrame, edges: DataFrame, effect: str, denied: Column) -> DataFrame:
+def remedies(functions: DataFrame, edges: DataFrame, effect: str, denied: Column, comps: DataFrame | None = None) -> DataFrame:
     """sites, n_starts, n_span, hoist, n_higher, clean: one remedy for each set of sites that denied carriers reach.
 
     All denied carriers at once: starts with equal sets of sites share a remedy, as the climb begins at the sites, so
-    it is walked once for each set. Sets are arrays (sites, hoist), as names may hold any sign, and are told apart by a
-    digest. Starts that reach no site have none. clean: there is a hoist and no denied carrier above it.
+    it is walked once for each set. Sets of sites go up the condensed graph as bits, equal ones become one by a digest
+    of their chunks, and these sets in turn are the bits of the climbs; only the sites and hoists of the answer are
+    rows. Starts that reach no site have none. clean: there is a hoist and no denied carrier above it. comps: the
+    components of edges, where they are known: those of the carriers' calls are among them, as the functions of a
+    component reach the same effects.
     """
     carriers = stored(functions.filter(has(effect)).select("fn", denied.alias("denied"), has(effect, "direct_mask").alias("site")))
     inside = stored(edges.join(carriers.select(F.col("fn").alias("callee")), "callee", "left_semi").join(carriers.select(F.col("fn").alias("caller")), "caller", "left_semi"))
-    # What is passed on goes from the sites to their callers: pairs of a carrier and a site.
-    held = value_fixpoint(inside, carriers.filter("site").select("fn", F.col("fn").alias("value")))
-    sets = held.join(carriers.filter("denied"), "fn", "left_semi").groupBy("fn").agg(F.array_sort(F.collect_set("value")).alias("sites"))
-    sets = sets.withColumn("id", F.sha2(F.to_json("sites"), 256))
-    groups = stored(sets.groupBy("id").agg(F.first("sites").alias("sites"), F.count("*").alias("n_starts")))
-    anchors = stored(groups.select("id", F.explode("sites").alias("fn")))
-    firsts = inside.join(anchors.withColumnRenamed("fn", "callee"), "callee").select(F.col("id").alias("source"), F.col("caller").alias("node"), F.lit(1).alias("hops")).distinct()
+    comps = components(inside) if comps is None else comps.join(carriers.select("fn"), "fn", "left_semi")
+    sites = numbered(carriers.filter("site").select("fn"))
+    held = spread(up(condensed(inside, comps)), comp_of(sites, comps).select(F.col("comp").alias("node"), "chunk", "mask"))
+    starts = comp_of(carriers.filter("denied").select("fn"), comps).groupBy(F.col("comp").alias("node")).agg(F.count("*").alias("n_starts"))
+    sets = held.join(starts, "node").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("chunk", "mask"))).alias("set"), F.first("n_starts").alias("n_starts"))
+    sets = sets.groupBy(F.sha2(F.to_json("set"), 256).alias("id")).agg(F.first("set").alias("set"), F.sum("n_starts").alias("n_starts"))
+    groups = numbered(sets.withColumnRenamed("set", "sites_set")).withColumnsRenamed({"chunk": "g", "bit": "g_bit", "mask": "g_mask"})
+    own = groups.select("id", "g", "g_mask", F.explode("sites_set").alias("s")).select("id", "g", "g_mask", "s.chunk", "s.mask")
+    anchors = stored(members(own).join(sites.select("chunk", "bit", "fn"), ["chunk", "bit"]).select("id", "fn", F.col("g").alias("chunk"), F.col("g_mask").alias("mask")))
+    at = lambda rows: rows.select(F.col("fn").alias("node"), "chunk", "mask")
+    firsts = inside.join(united(anchors, "fn").withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("node"), "chunk", "mask")
     blocked, free = (carriers.filter(c).select(F.col("fn").alias("node")) for c in ("denied", "not denied"))
-    climbed = stored(reach(up(inside), firsts, blocked).select(F.col("source").alias("id"), F.col("node").alias("fn")).join(carriers, "fn"))
-    span = climbed.filter("denied").select("id", "fn").union(anchors.join(carriers.filter("denied"), "fn", "left_semi").select("id", "fn")).distinct()
-    hoist = stored(climbed.filter("not denied").select("id", "fn").distinct())
-    above = reach(up(inside), hoist.select(F.col("id").alias("source"), F.col("fn").alias("node"), F.lit(0).alias("hops")), free).select(F.col("source").alias("id"), F.col("node").alias("fn")).join(hoist, ["id", "fn"], "left_anti").join(carriers, "fn")
-    n_span = span.groupBy("id").agg(F.count("*").alias("n_span"))
-    tops = hoist.groupBy("id").agg(F.array_sort(F.collect_set("fn")).alias("hoist"))
-    over = above.groupBy("id").agg(F.count(F.when(~F.col("denied"), 1)).alias("n_higher"), F.max("denied").alias("sandwiched"))
-    rows = groups.join(n_span, "id", "left").join(tops, "id", "left").join(over, "id", "left")
+    climbed = stored(spread(up(inside), firsts, blocked))
+    span = united(climbed.join(blocked, "node", "left_semi").unionByName(at(anchors).join(blocked, "node", "left_semi")), "node")
+    hoist = stored(climbed.join(free, "node", "left_semi"))
+    above = spread(up(inside), hoist, free).join(hoist.withColumnRenamed("mask", "had"), ["node", "chunk"], "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)"))
+    number = lambda rows, name: weighed(rows, F.lit(1)).select(F.col("chunk").alias("g"), F.col("bit").alias("g_bit"), F.col("n").alias(name))
+    listed = lambda rows, name: rows.groupBy("g", "g_bit").agg(F.array_sort(F.collect_list("fn")).alias(name))
+    tops = listed(members(hoist).select(F.col("node").alias("fn"), F.col("chunk").alias("g"), F.col("bit").alias("g_bit")), "hoist")
+    rows = groups.join(anchors.groupBy("id").agg(F.array_sort(F.collect_list("fn")).alias("sites")), "id").join(tops, ["g", "g_bit"], "left")
+    for part, name in ((span, "n_span"), (above.join(free, "node", "left_semi"), "n_higher"), (above.join(blocked, "node", "left_semi"), "n_over")):
+        rows = rows.join(number(part, name), ["g", "g_bit"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return rows.select("sites", "n_starts", zero("n_span"), F.coalesce("hoist", F.array().cast("array<string>")).alias("hoist"), zero("n_higher"), (F.col("hoist").isNotNull() & ~F.coalesce("sandwiched", F.lit(False))).alias("clean"))
+    return rows.select("sites", "n_starts", zero("n_span"), F.coalesce("hoist", F.array().cast("array<string>")).alias("hoist"), zero("n_higher"), (F.col("hoist").isNotNull() & F.col("n_over").isNull()).alias("clean"))
 
 
 def unverified(functions: DataFrame, violations: DataFrame, scope: Column, classes: tuple[str, ...] | None = None) -> DataFrame:

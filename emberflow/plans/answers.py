@@ -78,7 +78,7 @@ def gains_without_callgraph(m: Model) -> DataFrame:
 @query(f"""+ src AS (SELECT fn FROM reasons WHERE {Q._CLASS} IN ('dispatch', 'indirect')), s(source, node) AS (SELECT e.callee, e.caller FROM edges e JOIN src r ON e.callee = r.fn UNION SELECT s.source, e.caller FROM s JOIN edges e ON e.callee = s.node)
 SELECT r.fn, r.classes, count(s.node) AS n_reach FROM (SELECT fn, string_agg(DISTINCT {Q._CLASS}, ',') AS classes FROM reasons WHERE fn IN (SELECT fn FROM src) GROUP BY fn) r LEFT JOIN s ON s.source = r.fn AND s.node <> r.fn GROUP BY ALL""")
 def blindspots_class(m: Model) -> DataFrame:
-    return V.blindspots(m.stored_edges(), m.reasons(), N.reason_filter("dispatch, indirect"))
+    return V.blindspots(m.stored_edges(), m.reasons(), N.reason_filter("dispatch, indirect"), m.components())
 
 
 @query(Q._CLASSES + "SELECT DISTINCT i.fn FROM inferred i JOIN rc ON rc.fn = i.fn AND rc.class = 'reflect' WHERE i.effect = 'Unknown' AND split_part(i.fn, '.', 2) = 'domain' AND NOT EXISTS (SELECT 1 FROM inferred x WHERE x.fn = i.fn AND x.effect = 'Exec')")

@@ -139,7 +139,7 @@ _CLASS = "CASE WHEN starts_with(lower(trim(why)), 'dispatch') THEN 'dispatch' WH
 @query(f"""+ s(source, node) AS (SELECT e.callee, e.caller FROM edges e JOIN reasons r ON e.callee = r.fn UNION SELECT s.source, e.caller FROM s JOIN edges e ON e.callee = s.node)
 SELECT r.fn, r.classes, count(s.node) AS n_reach FROM (SELECT fn, string_agg(DISTINCT {_CLASS}, ',') AS classes FROM reasons GROUP BY fn) r LEFT JOIN s ON s.source = r.fn AND s.node <> r.fn GROUP BY ALL""")
 def blindspots(m: Model) -> DataFrame:
-    return V.blindspots(m.stored_edges(), m.reasons())
+    return V.blindspots(m.stored_edges(), m.reasons(), comps=m.components())
 
 
 @query(f"SELECT c.class, count(DISTINCT r.fn) AS n_sources FROM (VALUES ('dispatch'), ('indirect'), ('native'), ('reflect'), ('setup'), ('unresolved')) c(class) LEFT JOIN (SELECT fn, {_CLASS} AS class FROM reasons) r ON r.class = c.class GROUP BY c.class")
@@ -320,7 +320,7 @@ ov AS (SELECT id, fn, denied FROM (SELECT * FROM ab EXCEPT SELECT * FROM ho) JOI
 SELECT to_json(g.sites)::VARCHAR AS sites, n_starts, (SELECT count(*) FROM sp WHERE sp.id = g.id) AS n_span, coalesce((SELECT to_json(list_sort(list(fn)))::VARCHAR FROM ho WHERE ho.id = g.id), '[]') AS hoist, (SELECT count(*) FROM ov WHERE ov.id = g.id AND NOT denied) AS n_higher,
 EXISTS (SELECT 1 FROM ho WHERE ho.id = g.id) AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.id = g.id AND denied) AS clean FROM grp g""")
 def fix_gate_remedies(m: Model) -> DataFrame:
-    rows = V.remedies(m.functions(), m.stored_edges(), "Db", N.scope_matches(N.segments(F.col("fn")), "dao"))
+    rows = V.remedies(m.functions(), m.stored_edges(), "Db", N.scope_matches(N.segments(F.col("fn")), "dao"), m.components())
     return rows.withColumn("sites", F.to_json("sites")).withColumn("hoist", F.to_json("hoist"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -33,3 +34,60 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Kept:
+    """Rows that grow round by round, in a table bucketed by the columns that tell them apart.
+
+    What a round adds is appended to the buckets, so a join or an aggregate on these columns reads what is known where
+    it lies, and only what is new is shuffled. Files are plain Parquet in the shared folder; the table's entry in the
+    session's catalog goes with close(), and frames read before stay valid.
+    """
+
+    def __init__(self, spark: SparkSession, on: list[str]):
+        self.spark, self.on, self.rounds = spark, on, 0
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = self.path = ""
+
+    def _write(self, rows: DataFrame) -> int:
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").bucketBy(self.n, *self.on).option("path", self.path).saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        return seen.get["n"]
+
+    def _fresh(self) -> None:
+        self.path = shared_dir(self.spark)
+        self.name = os.path.basename(self.path).replace("-", "_")
+
+    def add(self, rows: DataFrame) -> int:
+        """Append rows as a new round; how many there were."""
+        if not self.name:
+            self._fresh()
+        self.rounds += 1
+        # A text, as generated code holds no texts and so is compiled once for all rounds.
+        return self._write(rows.withColumn("_round", F.lit(str(self.rounds))))
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name).drop("_round")
+
+    def new(self) -> DataFrame:
+        """Rows of the last round; files of earlier ones are passed over by their statistics."""
+        return self.spark.table(self.name).filter(F.col("_round") == str(self.rounds)).drop("_round")
+
+    def merge(self) -> None:
+        """Write all buckets anew, a file each, without moving rows between them."""
+        old, rows = self.name, self.spark.table(self.name)
+        self._fresh()
+        self._write(rows)
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+    def close(self) -> None:
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def bucketed(rows: DataFrame, *on: str) -> Kept:
+    """Rows dealt once into buckets by `on`."""
+    kept = Kept(rows.sparkSession, list(on))
+    kept.add(rows.repartition(kept.n, *on))
+    return kept

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberflow.functions.effects import bit_of
+from emberflow.operators.bits import components
 from emberflow.operators.fixpoint import effect_fixpoint
 from emberflow.plans.runtime import stored
 
@@ -130,6 +131,10 @@ class Model:
         """fn, mask of every function that performs or reaches an effect."""
         return _memo(self, "inferred", lambda: stored(effect_fixpoint(self.stored_edges(), self.masks())))
 
+    def components(self) -> DataFrame:
+        """fn, comp of the functions that lie in cycles of calls."""
+        return _memo(self, "components", lambda: stored(components(self.stored_edges())))
+
     def base_edges(self) -> DataFrame:
         return _memo(self, "base_edges", lambda: stored(self.edges(CUT)))
 
