@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberflow.functions import names as N
 from emberflow.functions.effects import BIT, BOUNDARY, CROSS_CUTTING, EFFECTS, bit_of, hops_factor, mask_of, names_of, salience
 from emberflow.operators.bits import comp_of, components, condensed, members, numbered, spread, united, weighed
+from emberflow.operators.dispatch import dispatch
 from emberflow.operators.fixpoint import down, first_found, nearest, reach, shortest_paths, start, up, value_fixpoint
 from emberflow.plans.runtime import stored
 
@@ -337,17 +338,8 @@ def callers_with_frontier(edges: DataFrame, target: str, reasons: DataFrame, sup
 
 def dispatch_targets(sites: DataFrame, supers: DataFrame, methods: DataFrame, most: int = 12) -> DataFrame:
     """site, target: bodies that a virtual call (site, owner, method) may run: those of the owner and its subtypes
-    (supers: type, super), else of the nearest supertype that has one; beyond `most` targets a site has none."""
-    below = reach(supers.select(F.col("super").alias("src"), F.col("type").alias("dst")), sites.select(*start_at("owner")).distinct())
-    bodies = methods.select(F.col("owner").alias("node"), "method").distinct()
-    downward = sites.join(below.select(F.col("source").alias("owner"), "node"), "owner").join(bodies, ["node", "method"]).select("site", F.concat_ws(".", "node", "method").alias("target"))
-    none = sites.join(downward.select("site").distinct(), "site", "left_anti")
-    above = reach(supers.select(F.col("type").alias("src"), F.col("super").alias("dst")), none.select(*start_at("owner")).distinct())
-    upward = none.join(above.select(F.col("source").alias("owner"), "node", "hops"), "owner").join(bodies, ["node", "method"])
-    upward = upward.groupBy("site").agg(F.min(F.struct("hops", "node", "method")).alias("m")).select("site", F.concat_ws(".", "m.node", "m.method").alias("target"))
-    found = downward.unionByName(upward).distinct()
-    counts = found.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
-    return found.join(counts, "site", "left_semi")
+    (supers: type, super), else the one it inherits; beyond `most` targets a site has none."""
+    return dispatch(sites, supers, methods, None, most).filter("target is not null").select("site", "target").distinct()
 
 
 def start_at(name: str) -> list[Column]:

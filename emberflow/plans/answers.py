@@ -16,7 +16,7 @@ from emberflow.operators.fixpoint import effect_fixpoint, value_fixpoint
 from emberflow.plans import queries as Q
 from emberflow.plans.registry import query
 from emberflow.plans.runtime import shared_dir
-from emberflow.plans.views import Model
+from emberflow.plans.views import Model, file_state
 from emberflow.sources import dependencies as D
 from emberflow.sources import envelope as E
 from emberflow.sources import locate as L
@@ -387,8 +387,9 @@ _folders: dict[tuple, str] = {}
 
 
 def _written(m: Model) -> str:
-    """A folder with reports of the layers and their call graphs, written once a session and folder of tables."""
-    key = (m.spark.sparkContext.applicationId, m.sf_dir)
+    """A folder with reports of the layers and their call graphs, written once a session, folder of tables and state of its
+    files."""
+    key = (m.spark.sparkContext.applicationId, m.sf_dir, file_state(m))
     if key not in _folders or not L.Store(m.spark).is_dir(_folders[key]):
         _folders[key] = _write(m)
     return _folders[key]

@@ -432,3 +432,4 @@ def analyzed_count(m: Model) -> DataFrame:
 
 # The other queries build on these and register beside them.
 from emberflow.plans import answers  # noqa: E402, F401
+from emberflow.plans import hierarchies, refreshes  # noqa: E402, F401

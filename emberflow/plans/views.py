@@ -158,9 +158,7 @@ def _memo(m: Model, what: str, make) -> DataFrame:
     The state is names, sizes and times of the tables' files as Spark's reader sees them, so changed tables make a new
     frame; so does a folder of written frames that has been cleaned."""
     spark = m.spark
-    path = spark._jvm.org.apache.hadoop.fs.Path(m.sf_dir)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
+    state = file_state(m)
     key = (spark.sparkContext.applicationId, m.sf_dir, what)
     old = _kept.get(key)
     if old and old[0] == state and all(_there(spark, f) for f in old[1].inputFiles()[:1]):
@@ -169,6 +167,13 @@ def _memo(m: Model, what: str, make) -> DataFrame:
     return _kept[key][1]
 
 
+def file_state(m: Model) -> tuple:
+    """Names, sizes and times of the tables' files."""
+    path = m.spark._jvm.org.apache.hadoop.fs.Path(m.sf_dir)
+    files = path.getFileSystem(m.spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
+
+
 def _there(spark: SparkSession, file: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(file)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberflow.functions.effects import BIT
 from emberflow.sources.envelope import envelopes, judged_nothing, says_incomplete
-from emberflow.sources.locate import Store, is_sidecar, sidecar
+from emberflow.sources.locate import Store, decoded, is_sidecar, sidecar
 from emberflow.sources.report import read_functions
 
 # Start and factor of the 64-bit FNV-1a digest.
@@ -71,22 +71,27 @@ def own_types(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _keys(spark: SparkSession, sides: dict[str, str]) -> DataFrame:
-    """report, name: the keys of sidecars; files are told by their names, reports by their paths."""
-    of = F.broadcast(spark.createDataFrame([(s.rsplit("/", 1)[-1], s, p) for s, p in sides.items()], "_n string, _s string, report string"))  # one a report
-    docs = spark.read.text(list(sides), wholetext=True).select(F.col("_metadata.file_path").alias("_f"), F.explode(F.map_keys(F.from_json("value", "map<string,array<string>>"))).alias("name"))
-    return docs.join(of, F.endswith("_f", F.col("_s"))).select("report", "name")
+    """report, name: the keys of sidecars; files are told by their whole paths."""
+    full = Store(spark).full
+    of = F.broadcast(spark.createDataFrame([(full(s), p) for s, p in sides.items()], "_f string, report string"))  # one a report
+    docs = spark.read.text(list(sides), wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("_f"), F.explode(F.map_keys(F.from_json("value", "map<string,array<string>>"))).alias("name"))
+    return docs.join(of, "_f").select("report", "name")
 
 
 def paired_callgraphs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """report, paired, n, digest: of reports with a call-graph sidecar, whether it is the one of the report: its names
-    must be as many as the report says it analyzed and have the digest that it tells."""
+    must be as many as the report says it analyzed and have the digest that it tells. A sidecar without names has the
+    digest of none; a path given twice is one report."""
     store = Store(spark)
-    sides = {sidecar(p, "callgraph"): p for p in paths if store.is_file(sidecar(p, "callgraph"))}
+    once = {store.full(p): p for p in reversed(paths)}
+    sides = {sidecar(p, "callgraph"): p for p in once.values() if store.is_file(sidecar(p, "callgraph"))}
     if not sides:
         return spark.createDataFrame([], "report string, paired boolean, n long, digest string")
-    told = envelopes(spark, list(sides.values())).select(F.col("report").alias("_r"), "n_analyzed", F.col("digest").alias("said"))
-    own = fnv1a(_keys(spark, sides))
-    both = own.join(F.broadcast(told), F.endswith("_r", F.col("report")))  # one a report
+    of = F.broadcast(spark.createDataFrame([(store.full(p), p) for p in sides.values()], "_f string, report string"))  # one a report
+    told = envelopes(spark, list(sides.values())).select(decoded(F.col("report")).alias("_f"), "n_analyzed", F.col("digest").alias("said")).join(of, "_f")
+    both = told.join(fnv1a(_keys(spark, sides)), "report", "left")
+    none = f"{FNV_START:016x}"
+    both = both.select("report", "n_analyzed", "said", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("digest", F.lit(none)).alias("digest"))
     return both.select("report", F.coalesce((F.col("n") == F.col("n_analyzed")) & (F.col("digest") == F.col("said")), F.lit(False)).alias("paired"), "n", "digest")
 
 

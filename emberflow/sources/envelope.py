@@ -101,16 +101,17 @@ def label(packages: list[str]) -> str | None:
 
 
 def _move(spark: SparkSession, source: str, target: str) -> bool:
-    """The one part file of a folder becomes target, unless target holds the same bytes; whether it was written."""
+    """The one part file of a folder becomes target, unless target holds the same bytes; whether it was written. It takes
+    the old one's place in one step where the store can do that, so a reader finds one of the two at any time."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     conf, to = spark._jsc.hadoopConfiguration(), hadoop.Path(target)
     fs = to.getFileSystem(conf)
     part = next(s.getPath() for s in fs.listStatus(hadoop.Path(source)) if s.getPath().getName().startswith("part-"))
     same = fs.exists(to) and spark.read.format("binaryFile").load([str(part), target]).select(F.sha2("content", 256)).distinct().count() == 1
     if not same:
-        if fs.exists(to):
-            fs.delete(to, False)
-        fs.rename(part, to)
+        over = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        over[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(to), over)
     fs.delete(hadoop.Path(source), True)
     return not same
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 # Last name parts that mark a file beside a report as something else.
 SIDECARS = ("callgraph", "hierarchy", "calibrated", "layerreach", "locs", "gate")
@@ -27,6 +29,16 @@ def sidecar(report: str, kind: str) -> str:
     return f"{report.removesuffix('.json')}.{kind}.json"
 
 
+#: A file system's name and the slashes after it, of which Spark and Hadoop write different numbers.
+_ROOT = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+
+def decoded(file: Column) -> Column:
+    """The path of a file from Spark's _metadata.file_path, in which signs like spaces are written as %20; a plus stands for
+    itself there."""
+    return F.regexp_replace(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), _ROOT, "$1:/")
+
+
 class Store:
     """Listing and testing of paths."""
 
@@ -37,6 +49,11 @@ class Store:
         p = self.jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.conf)
 
+    def full(self, path: str) -> str:
+        """The whole path with its file system, as `decoded` gives that of a file that was read."""
+        p, fs = self._at(path)
+        return re.sub(_ROOT, r"\1:/", fs.makeQualified(p).toString())
+
     def is_dir(self, path: str) -> bool:
         p, fs = self._at(path)
         return fs.exists(p) and fs.getFileStatus(p).isDirectory()

@@ -1,12 +1,17 @@
 """Reports, sidecars, traces and the streaming check."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberflow.functions.effects import BIT
+from emberflow.sources import dependencies as D
+from emberflow.sources import envelope as E
+from emberflow.sources import locate as L
 from emberflow.sources import report as R
+from emberflow.sources import report as S
 from emberflow.streaming.verify import violations
 
 
@@ -157,3 +162,27 @@ def test_streaming_and_batch_checks_agree(spark, tmp_path):
     got = {(r["fn"], r["effect"]) for r in spark.read.parquet(out).collect()}
     batch = verify(spark.read.parquet(path), functions, SCOPES["all"]).filter("verdict = 'violation'").collect()
     assert got == {(r["fn"], e) for r in batch for e in r["escaped"].split(",")} == {("a", "Fs"), ("b", "Db"), ("d", "Net")}
+
+
+def test_call_graphs_are_paired_by_whole_paths(spark, tmp_path):
+    """Paths with spaces, percent and plus signs, and reports whose paths end alike."""
+    top = tmp_path / "p q%20+x"
+
+    def put(path, names, count):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        told = D.fnv1a(spark.createDataFrame([("x", n) for n in names], "report string, name string")).collect()
+        path.write_text(json.dumps({"producer": {"version": "1"}, "analyzed": {"count": count, "digest": told[0]["digest"] if told else f"{D.FNV_START:016x}"}, "functions": []}))
+        Path(L.sidecar(str(path), "callgraph")).write_text(json.dumps({n: [] for n in names}))
+        return str(path)
+
+    a, b = put(top / "p/report.a.json", ["m", "n"], 2), put(top / "z/p/report.a.json", ["m"], 2)
+    c, d = put(top / "w x/report.\u00e9%b.json", ["k", "l", "o"], 3), put(top / "report.none.json", [], 0)
+    got = [(r["report"], r["paired"], r["n"]) for r in D.paired_callgraphs(spark, [a, b, c, d, f"file://{a}"]).collect()]
+    assert sorted(got) == sorted([(a, True, 2), (b, False, 1), (c, True, 3), (d, True, 0)])
+
+
+def test_a_document_is_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "out s.json")
+    lines = lambda to: S.pair_lines(spark.createDataFrame([("x", to)], "source string, target string"), spark.createDataFrame([("x",)], "source string"))
+    assert E.write_pairs(lines("y"), path) and not E.write_pairs(lines("y"), path) and E.write_pairs(lines("z"), path)
+    assert json.loads(Path(path).read_text()) == {"x": ["z"]} and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out s.json"]
