@@ -1,16 +1,16 @@
-"""Which effect a call of a well-known library performs, as rules: a beginning of the owner's name and a pattern of the
-method. The longest beginning wins, and of equal ones that with a pattern."""
+"""Which effect a call of a well-known library performs, as rules: an owner or package, a pattern of the method and, where it
+matters, the beginning of the descriptor. The longest owner wins."""
 
 from __future__ import annotations
 
-# Owners by effect; after a # a pattern that the method must match whole.
+#: Owners by effect; after a # a method or a list of methods, each a pattern that must match whole.
 RULES = {
     "Fs": """java.io.File#(create.*|delete.*|exists|is.*|last.*|length|list.*|mkdirs?|renameTo|set.*|can.*) java.io.FileInputStream java.io.FileOutputStream
         java.io.FileReader java.io.FileWriter java.io.RandomAccessFile java.nio.file.Files java.nio.file.FileSystem java.nio.channels.FileChannel
         java.util.zip.ZipFile java.util.jar.JarFile org.apache.commons.io.FileUtils org.apache.commons.io.file. com.google.common.io.Files
         okio.FileSystem kotlin.io.FilesKt scala.io.Source#fromFile org.apache.hadoop.fs.FileSystem""",
     "Net": """java.net.Socket java.net.ServerSocket java.net.DatagramSocket java.net.URLConnection java.net.HttpURLConnection java.net.URL#open(Connection|Stream)
-        java.net.InetAddress#(getByName|getAllByName|isReachable|getLocalHost) java.net.http.HttpClient java.nio.channels.SocketChannel
+        java.net.InetAddress#(getByName|getAllByName|isReachable|getLocalHost) java.net.URL#getContent@() java.net.URL#getContent@([Ljava/lang/Class;) java.net.http.HttpClient java.nio.channels.SocketChannel
         java.nio.channels.ServerSocketChannel java.nio.channels.DatagramChannel java.nio.channels.AsynchronousSocketChannel javax.net.
         org.apache.http. org.apache.hc.client5. okhttp3.Call okhttp3.OkHttpClient retrofit2.Call io.netty.bootstrap. io.netty.channel.socket. io.grpc.ManagedChannel
         io.grpc.stub. org.eclipse.jetty.client. org.springframework.web.client. org.springframework.web.reactive.function.client. javax.mail.Transport
@@ -24,7 +24,7 @@ RULES = {
     "Env": "java.lang.System#(getenv|getProperty|getProperties|setProperty|clearProperty) java.util.prefs. org.apache.commons.lang3.SystemUtils io.github.cdimascio.dotenv.",
     "Clock": """java.lang.System#(currentTimeMillis|nanoTime) java.time.Instant#now java.time.LocalDate#now java.time.LocalDateTime#now java.time.LocalTime#now
         java.time.ZonedDateTime#now java.time.OffsetDateTime#now java.time.Clock#(instant|millis) java.lang.Thread#sleep org.joda.time.DateTime#now""",
-    "Rand": "java.util.Random java.security.SecureRandom java.util.UUID#randomUUID java.lang.Math#random java.util.concurrent.ThreadLocalRandom java.util.SplittableRandom org.apache.commons.lang3.RandomUtils",
+    "Rand": "java.util.Random#(next.*|ints|longs|doubles) java.util.Collections#shuffle@(Ljava/util/List;)V java.security.SecureRandom java.util.UUID#randomUUID java.lang.Math#random java.util.concurrent.ThreadLocalRandom java.util.SplittableRandom org.apache.commons.lang3.RandomUtils",
     "Log": """java.util.logging. org.slf4j. org.apache.logging.log4j. org.apache.log4j. ch.qos.logback. org.apache.commons.logging. org.jboss.logging. io.github.oshai.kotlinlogging.
         java.lang.System.Logger com.google.common.flogger.""",
     "Ipc": "java.nio.channels.Pipe java.net.UnixDomainSocketAddress sun.misc.Signal com.sun.jna. java.lang.foreign. sun.nio.ch.Pipe",
@@ -35,12 +35,16 @@ RULES = {
 }
 
 
-def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, owner_prefix, method_pattern, effect), smaller priorities first."""
+def rules() -> list[tuple[int, str, str, str, str | None]]:
+    """(priority, owner, method_pattern, effect, descriptor), smaller priorities first: the longest owner, then rules with
+    a descriptor, then those with a method. A list of methods is a rule for each; a descriptor stands after an @."""
     rows = []
     for effect, text in RULES.items():
         for word in text.split():
-            owner, _, method = word.partition("#")
-            rows.append((owner, f"^({method})$" if method else ".*", effect))
-    rows.sort(key=lambda r: (-len(r[0]), r[1] == ".*", r[0], r[1]))
+            owner, _, rest = word.partition("#")
+            methods, _, begin = rest.partition("@")
+            each = methods[1:-1].split("|") if methods.startswith("(") and methods.endswith(")") else [methods]
+            rows += [(owner.rstrip("."), f"^({m})$" if m else ".*", effect, begin or None) for m in each]
+    rows = list(dict.fromkeys(rows))
+    rows.sort(key=lambda r: (-len(r[0]), r[3] is None, r[1] == ".*", r[0], r[1], r[2]))
     return [(i, *r) for i, r in enumerate(rows)]

@@ -82,16 +82,43 @@ def digest(names: DataFrame, n_parts: int = 64) -> DataFrame:
     return sums.agg(F.sum("n").alias("n"), F.sha2(F.sum("s").cast("string"), 256).alias("digest"))
 
 
+# Words that begin a statement, that a table's name follows, that may stand between, and that are no names.
+STATEMENTS = ("select", "insert", "update", "delete", "create", "drop", "alter", "truncate", "merge", "replace", "with")
+BEFORE_TABLES = ("from", "join", "into", "table")
+BETWEEN = ("only", "if", "not", "exists", "table")
+NO_NAMES = (
+    "select set where values on using group order by limit returning as inner outer left right cross lateral natural union all distinct case when null "
+    "default skip nowait of from join into update delete insert"
+).split()
+#: States of the reader: nothing awaited, a name after a keyword, a comma after a name, a name after a comma, and a comma or
+#: a name, as what was read is both a name and a keyword.
+IDLE, NAME, COMMA, MORE, EITHER = range(5)
+
+
 def tables_in_sql(sql: Column) -> Column:
-    """Sorted distinct tables at FROM, JOIN, INTO, and after a leading UPDATE, TRUNCATE or [CREATE, DROP, ALTER]
-    TABLE, of a text that begins as a statement; else none."""
-    s = F.lower(F.trim(sql))
-    name = r'[`"\[]?([a-z_][\w$]*(?:[`"\]]?\.[`"\[]?[a-z_][\w$]*)*)[`"\]]?'
-    skip = r"(?:only\s+|if\s+not\s+exists\s+|if\s+exists\s+)?"
-    # After FROM and JOIN a name before a parenthesis is a function; after INTO and TABLE its columns follow.
-    read = F.regexp_extract_all(s, F.lit(rf"\b(?:from|join)\s+{skip}{name}(?![\w(])"), 1)
-    into = F.regexp_extract_all(s, F.lit(rf"\binto\s+{skip}{name}(?!\w)"), 1)
-    lead = F.regexp_extract_all(s, F.lit(rf"^(?:update|truncate(?:\s+table)?|(?:create|drop|alter)\s+table)\s+{skip}{name}(?!\w)"), 1)
-    inner = F.array_union(read, into)
-    tidy = F.transform(F.array_union(inner, lead), lambda t: F.regexp_replace(t, r'[`"\[\]]', ""))
-    return F.when(s.rlike(r"^(select|insert|update|delete|create|drop|alter|truncate|merge|with|replace)\b"), F.array_sort(F.array_distinct(tidy))).otherwise(F.array().cast("array<string>"))
+    """Sorted distinct tables that a statement names, read word by word; none of a text that doesn't begin as one.
+
+    A name is taken after FROM, JOIN, INTO, TABLE and a leading UPDATE or TRUNCATE, and after a comma that follows such a
+    name directly: behind an alias a list isn't followed, as its commas could be those of columns.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.lower(sql), "[();]", " "), F.lit(","), F.lit(" , ")), r"\s+", " ")), " ")
+    none = F.array().cast("array<string>")
+
+    def named(word: Column) -> Column:
+        bare = F.regexp_replace(word, "^[\"'`]+|[\"'`]+$", "")
+        return F.when(bare.rlike("^[a-z_][a-z0-9_.$\"`]*$") & ~bare.isin(*NO_NAMES), F.regexp_replace(bare, "[\"`]", ""))
+
+    def read(at: Column, word: Column) -> Column:
+        mode, name = at["mode"], named(word)
+        awaited = mode.isin(NAME, MORE, EITHER)
+        skipped = mode.isin(NAME, EITHER) & word.isin(*BETWEEN)
+        comma = mode.isin(COMMA, EITHER) & (word == ",")
+        taken = awaited & ~skipped & ~comma & name.isNotNull()
+        keyword = word.isin(*BEFORE_TABLES)
+        after = F.when(skipped, F.lit(NAME)).when(comma, F.lit(MORE)).when(taken, F.when(keyword, F.lit(EITHER)).otherwise(F.lit(COMMA))).when(keyword, F.lit(NAME)).otherwise(F.lit(IDLE))
+        return F.struct(after.alias("mode"), F.when(taken, F.concat(at["found"], F.array(name))).otherwise(at["found"]).alias("found"))
+
+    first = F.element_at(words, 1)
+    start = F.struct(F.when(first.isin("update", "truncate"), F.lit(NAME)).otherwise(F.lit(IDLE)).alias("mode"), none.alias("found"))
+    found = F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), start, read)["found"]
+    return F.when(first.isin(*STATEMENTS), F.array_sort(F.array_distinct(found))).otherwise(none)

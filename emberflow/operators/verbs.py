@@ -368,12 +368,19 @@ def resolve_calls(calls: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def classify_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """owner, method, effect: the rule of least priority whose patterns match; calls: owner, method.
+    """owner, method, effect, and descriptor where the calls have one: the rule of least priority that a call meets.
 
-    rules (priority, owner_prefix, method_pattern, effect) meet the calls by their first package segment, so a call
-    is compared with the rules of its namespace only.
+    rules: priority, owner, method_pattern, effect, and descriptor, a beginning of the call's, null for any. An owner stands
+    for itself, its inner types and, as a package, for what lies below it. Calls meet rules by an equi-join on all
+    beginnings of their owner's name that end at a dot or a dollar sign, so a call is compared with the rules of its own
+    ancestors only, however many a namespace has.
     """
-    head = lambda c: F.substring_index(c, ".", 1)
-    rows = calls.select("owner", "method").distinct().withColumn("_h", head(F.col("owner"))).join(rules.withColumn("_h", head(F.col("owner_prefix"))), "_h")
-    rows = rows.filter(F.startswith("owner", F.col("owner_prefix")) & F.expr("method rlike method_pattern"))
-    return rows.groupBy("owner", "method").agg(F.min_by("effect", "priority").alias("effect"))
+    keys = [c for c in ("owner", "method", "descriptor") if c in calls.columns]
+    own = calls.select(*keys).distinct()
+    ends = F.filter(F.sequence(F.lit(1), F.length("owner")), lambda i: (i == F.length("owner")) | F.substring("owner", i + 1, 1).isin(".", "$"))
+    heads = own.filter("owner <> ''").withColumn("_head", F.explode(F.transform(ends, lambda i: F.substring("owner", F.lit(1), i))))
+    known = rules.select("priority", F.regexp_replace("owner", r"\.$", "").alias("_head"), "method_pattern", "effect", *([F.col("descriptor").alias("_begin")] if "descriptor" in rules.columns else []))
+    met = heads.join(known, "_head").filter(F.expr("method rlike method_pattern"))
+    if "_begin" in known.columns and "descriptor" in keys:
+        met = met.filter("_begin IS NULL OR startswith(descriptor, _begin)")
+    return met.groupBy(*keys).agg(F.min_by("effect", "priority").alias("effect"))

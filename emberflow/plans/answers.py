@@ -140,7 +140,7 @@ kept AS (SELECT v.* FROM viol v WHERE NOT EXISTS (SELECT 1 FROM acc a WHERE a.fn
 stale AS (SELECT * FROM acc a WHERE NOT EXISTS (SELECT 1 FROM viol v WHERE a.fn = v.fn AND a.rule = v.rule)) """
 
 
-@query(_KEPT + ", s AS (SELECT (SELECT count(*) FROM kept) AS v, (SELECT count(*) FROM stale) AS t) SELECT v AS n_violations, t AS n_stale, CAST(3 AS BIGINT) AS n_unevaluated, false AS incomplete, v + t = 0 AS refused, CASE WHEN v + t > 0 THEN 1 ELSE 2 END AS exit FROM s")
+@query(_KEPT + ", s AS (SELECT (SELECT count(*) FROM kept) AS v, (SELECT count(*) FROM stale) AS t) SELECT v AS n_violations, t AS n_stale, CAST(0 AS BIGINT) AS n_unjudged, CAST(0 AS BIGINT) AS n_ambiguous, CAST(3 AS BIGINT) AS n_unevaluated, false AS incomplete, v + t = 0 AS refused, CASE WHEN v + t > 0 THEN 1 ELSE 2 END AS exit FROM s")
 def gate_verdict(m: Model) -> DataFrame:
     return G.gate(Q._gate_rows(m), Q.RULES)["verdict"]
 
@@ -150,12 +150,70 @@ def gate_report(m: Model) -> DataFrame:
     return G.gate(Q._gate_rows(m), Q.RULES)["violations"]
 
 
-@query(Q._HOSTS + "SELECT 'deny Net[unknown-host] dao' AS rule, i.fn, 'Net' AS effect FROM inferred i WHERE i.effect = 'Net' AND split_part(i.fn, '.', 2) = 'dao' AND NOT EXISTS (SELECT 1 FROM hv WHERE hv.fn = i.fn AND hv.host <> 'db.internal:5432')")
+_WITHHELD = "SELECT 'deny Net[unknown-host] dao' AS rule, i.fn, 'Net' AS effect FROM inferred i WHERE i.effect = 'Net' AND split_part(i.fn, '.', 2) = 'dao' AND NOT EXISTS (SELECT 1 FROM hv WHERE hv.fn = i.fn AND hv.host <> 'db.internal:5432')"
+_WITHHELD_HEAD = Q._HOSTS + f", wh AS ({_WITHHELD})"
+
+
+def _without_classes(m: Model) -> DataFrame:
+    """Functions with destinations, none where the only host left no class in the report."""
+    seen = Q._hosts(m).filter("value <> 'db.internal:5432'").groupBy("fn").agg(F.collect_set(N.destination_class(F.col("value"))).alias("destinations"))
+    return m.functions().join(seen, "fn", "left").withColumn("destinations", F.coalesce("destinations", F.array().cast("array<string>"))).withColumn("reasons", F.array(F.lit("unresolved")))
+
+
+@query(Q._HOSTS + _WITHHELD)
 def gate_withheld(m: Model) -> DataFrame:
     """Functions whose only host left no class in the report: the narrowed rule can't be answered there."""
-    seen = Q._hosts(m).filter("value <> 'db.internal:5432'").groupBy("fn").agg(F.collect_set(N.destination_class(F.col("value"))).alias("destinations"))
-    rows = m.functions().join(seen, "fn", "left").withColumn("destinations", F.coalesce("destinations", F.array().cast("array<string>"))).withColumn("reasons", F.array(F.lit("unresolved")))
-    return G.unanswerable(rows, Q.RULES)
+    return G.unanswerable(_without_classes(m), Q.RULES)
+
+
+MIXED = P.parse("""
+deny Net Db domain
+deny Net Net[known-partner] api
+deny Net[unknown-host] dao
+deny Fs Exec domain
+forbid api -> infra.N
+accept app.dao.S3 Net for deny Net[unknown-host] dao because no evidence
+accept app.domain.P1 Net for deny Net Db domain because older
+accept app.domain.P2 Db Net for deny Net Db domain because two of that name
+accept app.domain.P9 Fs for deny Fs Exec domain because reviewed
+accept app.api.C1 Db for forbid api -> infra.N because a scan says
+""")
+_MIXED = _WITHHELD_HEAD + f""", v2 AS (
+  SELECT 'deny Net Db domain' AS rule, fn, string_agg(effect, ',' ORDER BY effect) AS effects FROM inferred WHERE split_part(fn, '.', 2) = 'domain' AND effect IN ('Net', 'Db') GROUP BY fn
+  UNION ALL SELECT 'deny Net Net[known-partner] api', fn, 'Net' FROM inferred WHERE split_part(fn, '.', 2) = 'api' AND effect = 'Net'
+  UNION ALL SELECT DISTINCT 'deny Net[unknown-host] dao', fn, 'Net' FROM hv WHERE split_part(fn, '.', 2) = 'dao' AND host <> 'db.internal:5432' AND {Q._HOST_CLASS} = 'unknown-host'
+  UNION ALL SELECT 'deny Fs Exec domain', fn, string_agg(effect, ',' ORDER BY effect) FROM inferred WHERE split_part(fn, '.', 2) = 'domain' AND effect IN ('Fs', 'Exec') GROUP BY fn),
+ac(fn, rule, accepted) AS (VALUES ('app.dao.S3', 'deny Net[unknown-host] dao', 'Net'), ('app.domain.P1', 'deny Net Db domain', 'Net'), ('app.domain.P2', 'deny Net Db domain', 'Db,Net'), ('app.domain.P9', 'deny Fs Exec domain', 'Fs'), ('app.api.C1', 'forbid api -> infra.N', 'Db')),
+jd AS (SELECT ac.fn, ac.rule, coalesce(v2.effects, '') AS effects, coalesce(array_to_string([e FOR e IN string_split(v2.effects, ',') IF NOT list_contains(string_split(accepted, ','), e)], ','), '') AS outside,
+  CASE WHEN starts_with(ac.rule, 'forbid') OR ac.rule IN (SELECT rule FROM wh) THEN 'unjudged' WHEN ac.fn IN (SELECT 'app.domain.P' || p_partkey FROM part WHERE p_partkey % 10 = 2) THEN 'ambiguous' WHEN v2.fn IS NULL THEN 'stale'
+  WHEN len([e FOR e IN string_split(v2.effects, ',') IF NOT list_contains(string_split(accepted, ','), e)]) = 0 THEN 'accepted' ELSE 'exceeded' END AS status FROM ac LEFT JOIN v2 ON v2.fn = ac.fn AND v2.rule = ac.rule),
+kp AS (SELECT * FROM v2 WHERE NOT EXISTS (SELECT 1 FROM jd WHERE jd.fn = v2.fn AND jd.rule = v2.rule AND status = 'accepted')) """
+
+
+def _mixed(m: Model) -> dict[str, DataFrame]:
+    """A report with functions whose hosts left no class, union rows, and names that two units share."""
+    parts = m.table("part").select("p_partkey", F.expr("concat('app.domain.P', p_partkey)").alias("fn"))
+    same = G.twins(parts.select("fn", F.lit("a").alias("key")).union(parts.filter("p_partkey % 10 = 2").select("fn", F.lit("b"))))
+    unions = m.table("supplier").select(F.expr("concat('app.domain.I', s_suppkey)").alias("fn"), F.lit(BIT["Db"]).alias("mask"), F.array(F.lit("unresolved")).alias("reasons"), F.array().cast("array<string>").alias("destinations"), F.lit(True).alias("interface_union"))
+    rows = _without_classes(m).select("fn", "mask", "reasons", "destinations", F.lit(False).alias("interface_union"))
+    return G.gate(rows.unionByName(unions), MIXED, None, same)
+
+
+@query(_MIXED + "SELECT status, fn, rule, effects, outside FROM jd")
+def gate_judged(m: Model) -> DataFrame:
+    return _mixed(m)["accepts"]
+
+
+@query(_MIXED + ", s AS (SELECT (SELECT count(*) FROM kp) AS v, (SELECT count(*) FROM jd WHERE status = 'stale') AS t) SELECT v AS n_violations, t AS n_stale, (SELECT count(*) FROM jd WHERE status = 'unjudged') AS n_unjudged, (SELECT count(*) FROM jd WHERE status = 'ambiguous') AS n_ambiguous, 1 + (SELECT count(DISTINCT rule) FROM wh) AS n_unevaluated, false AS incomplete, v + t = 0 AS refused, CASE WHEN v + t > 0 THEN 1 ELSE 2 END AS exit FROM s")
+def gate_mixed_verdict(m: Model) -> DataFrame:
+    return _mixed(m)["verdict"]
+
+
+@query(_MIXED + "SELECT 'verdict' AS part, count(*) AS n FROM (SELECT 1) UNION ALL SELECT 'violations', (SELECT count(*) FROM kp) UNION ALL SELECT 'unevaluated', 1 + (SELECT count(DISTINCT rule) FROM wh)")
+def gate_document(m: Model) -> DataFrame:
+    """The verdict document by its parts, from the JSON that it consists of."""
+    rows = G.document(_mixed(m)).withColumn("ok", F.try_parse_json("json").isNotNull())
+    return rows.filter("ok").groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('allow Net in dao api.stripe.com sentry.io', 'a report doesn''t say that all literals were seen'), ('forbid api -> infra.N', 'a report''s calls leave out pure functions, through which the layer may be crossed'), ('only dao -> infra.R', 'a report''s calls aren''t all that a scope reaches')) r(rule, why)", views=False)
@@ -377,7 +435,7 @@ JOIN (VALUES ('java.io.File', 'exists', 'Fs'), ('java.net.Socket', '', 'Net'), (
 def classify_library_calls(m: Model) -> DataFrame:
     owner = F.expr("CASE l_linenumber WHEN 1 THEN 'java.io.File' WHEN 2 THEN 'java.net.Socket' WHEN 3 THEN 'java.lang.System' WHEN 4 THEN 'org.slf4j.Logger' WHEN 5 THEN 'java.sql.Statement' WHEN 6 THEN 'software.amazon.awssdk.services.bedrockruntime.Client' ELSE 'java.util.List' END")
     calls = m.table("lineitem").select(owner.alias("owner"), F.expr("CASE l_returnflag WHEN 'A' THEN 'exists' WHEN 'N' THEN 'getenv' ELSE 'nanoTime' END").alias("method"))
-    return V.classify_calls(calls, m.spark.createDataFrame(K.rules(), "priority int, owner_prefix string, method_pattern string, effect string"))
+    return V.classify_calls(calls, m.spark.createDataFrame(K.rules(), "priority int, owner string, method_pattern string, effect string, descriptor string"))
 
 
 # ---------------------------------------------------------------- reports on disk

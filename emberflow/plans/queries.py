@@ -12,6 +12,7 @@ from emberflow.operators import policy as P
 from emberflow.operators import verbs as V
 from emberflow.operators.fixpoint import value_fixpoint
 from emberflow.plans.registry import ORACLE_SQL, QUERIES, query
+from emberflow.plans.runtime import stored
 from emberflow.plans.views import Model
 
 POLICY = """
@@ -152,7 +153,11 @@ _CLASSES = f"+ rc(fn, class) AS (SELECT fn, {_CLASS} FROM reasons UNION SELECT e
 
 @query(_CLASSES + "SELECT fn, class FROM rc")
 def reason_classes(m: Model) -> DataFrame:
-    return V.reason_classes(m.stored_edges(), m.reasons())
+    return _reason_classes(m)
+
+
+def _reason_classes(m: Model) -> DataFrame:
+    return m.kept("reason_classes", lambda: stored(V.reason_classes(m.stored_edges(), m.reasons())))
 
 
 def _away(ends: str, edges: str = "edges", name: str = "") -> str:
@@ -192,7 +197,7 @@ def reached_hosts(m: Model) -> DataFrame:
 
 
 def _hosts(m: Model) -> DataFrame:
-    return value_fixpoint(m.stored_edges(), m.hosts().select("fn", F.col("host").alias("value")))
+    return m.kept("hosts", lambda: stored(value_fixpoint(m.stored_edges(), m.hosts().select("fn", F.col("host").alias("value")))))
 
 
 @query(_HOSTS + f"SELECT i.fn, string_agg(DISTINCT {_HOST_CLASS}, ',' ORDER BY {_HOST_CLASS}) AS classes FROM inferred i LEFT JOIN hv ON hv.fn = i.fn WHERE i.effect = 'Net' GROUP BY i.fn")
@@ -207,7 +212,7 @@ def _destinations(m: Model) -> DataFrame:
 
 
 def _gate_rows(m: Model) -> DataFrame:
-    classes = V.reason_classes(m.stored_edges(), m.reasons()).groupBy("fn").agg(F.collect_set("class").alias("reasons"))
+    classes = _reason_classes(m).groupBy("fn").agg(F.collect_set("class").alias("reasons"))
     rows = m.functions().join(classes, "fn", "left").join(_destinations(m), "fn", "left")
     return rows.select("fn", "mask", F.coalesce("reasons", F.array(F.lit("unresolved"))).alias("reasons"), F.coalesce("destinations", F.array().cast("array<string>")).alias("destinations"))
 
@@ -376,7 +381,7 @@ def resolve_calls(m: Model) -> DataFrame:
 SELECT owner, method, CASE WHEN owner = 'java.io.File' AND method = 'exists' THEN 'Fs' WHEN owner = 'java.net.Socket' AND method = 'connect' THEN 'Net' WHEN owner LIKE 'java.io.%' THEN 'Fs' END AS effect FROM c WHERE owner LIKE 'java.io.%' OR (owner = 'java.net.Socket' AND method = 'connect')""", views=False)
 def classify_calls(m: Model) -> DataFrame:
     calls = m.table("lineitem").select(F.expr("concat('java.', CASE l_linenumber % 3 WHEN 0 THEN 'io.File' WHEN 1 THEN 'net.Socket' ELSE 'util.List' END)").alias("owner"), F.expr("CASE l_returnflag WHEN 'A' THEN 'connect' WHEN 'N' THEN 'exists' ELSE 'size' END").alias("method"))
-    rules = m.spark.createDataFrame([(1, "java.net.Socket", "^connect$", "Net"), (2, "java.io.", ".*", "Fs"), (3, "java.", "^exec$", "Exec")], "priority int, owner_prefix string, method_pattern string, effect string")
+    rules = m.spark.createDataFrame([(1, "java.net.Socket", "^connect$", "Net"), (2, "java.io.", ".*", "Fs"), (3, "java.", "^exec$", "Exec")], "priority int, owner string, method_pattern string, effect string")
     return V.classify_calls(calls, rules)
 
 
@@ -418,11 +423,21 @@ def conformance(m: Model) -> DataFrame:
     return C.conformance(m.functions(), said)
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 't' || o_custkey WHEN 1 THEN 'ledger.t' || o_custkey || ',x' WHEN 2 THEN '' ELSE 'log' END AS tables FROM orders""", views=False)
+_STATEMENTS = """CASE o_orderkey % 9 WHEN 0 THEN 'UPDATE t' || o_custkey || ' SET a = 1 WHERE b = 2'
+WHEN 1 THEN 'select * from Ledger.T' || o_custkey || ' a JOIN x ON a.i = x.i FOR UPDATE SKIP LOCKED'
+WHEN 2 THEN 'please take it from t' || o_custkey
+WHEN 3 THEN 'INSERT INTO log (a, b) VALUES (1, 2)'
+WHEN 4 THEN 'SELECT a, b FROM t' || o_custkey || ', "U".t2,\n\t`v`\nWHERE x IN (SELECT y FROM w, z)'
+WHEN 5 THEN 'create table if not exists T' || o_custkey || '(a int, b int); drop table only_one'
+WHEN 6 THEN 'with q as (select 1) delete from only t' || o_custkey || ' using q, r where a = 1'
+WHEN 7 THEN 'TRUNCATE TABLE a' || o_custkey || ', b, 9c, d'
+ELSE 'select x from t1 a, t2 left join lateral (select 1) s on true join "s"."t' || o_custkey || '" on true' END"""
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 't' || o_custkey WHEN 1 THEN 'ledger.t' || o_custkey || ',x' WHEN 2 THEN '' WHEN 3 THEN 'log' WHEN 4 THEN list_aggregate(list_sort(['t' || o_custkey, 'u.t2', 'v', 'w', 'z']), 'string_agg', ',')
+WHEN 5 THEN list_aggregate(list_sort(['t' || o_custkey, 'only_one']), 'string_agg', ',') WHEN 6 THEN 't' || o_custkey WHEN 7 THEN 'a' || o_custkey || ',b' ELSE list_aggregate(list_sort(['t1', 's.t' || o_custkey]), 'string_agg', ',') END AS tables FROM orders""", views=False)
 def tables_in_sql(m: Model) -> DataFrame:
-    k = F.col("o_custkey").cast("string")
-    sql = F.when(F.expr("o_orderkey % 4 = 0"), F.concat(F.lit("UPDATE t"), k, F.lit(" SET a = 1 WHERE b = 2"))).when(F.expr("o_orderkey % 4 = 1"), F.concat(F.lit("select * from Ledger.T"), k, F.lit(" a JOIN x ON a.i = x.i FOR UPDATE SKIP LOCKED"))).when(F.expr("o_orderkey % 4 = 2"), F.concat(F.lit("please take it from t"), k)).otherwise("INSERT INTO log VALUES (1)")
-    return m.table("orders").select("o_orderkey", F.array_join(C.tables_in_sql(sql), ",").alias("tables"))
+    return m.table("orders").select("o_orderkey", F.array_join(C.tables_in_sql(F.expr(_STATEMENTS)), ",").alias("tables"))
 
 
 @query("SELECT count(DISTINCT fn) AS n FROM nodes")

@@ -131,6 +131,10 @@ class Model:
         """fn, mask of every function that performs or reaches an effect."""
         return _memo(self, "inferred", lambda: stored(effect_fixpoint(self.stored_edges(), self.masks())))
 
+    def kept(self, what: str, make) -> DataFrame:
+        """What make() gives, written once."""
+        return _memo(self, what, make)
+
     def components(self) -> DataFrame:
         """fn, comp of the functions that lie in cycles of calls."""
         return _memo(self, "components", lambda: stored(components(self.stored_edges())))

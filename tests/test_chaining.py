@@ -26,7 +26,7 @@ def test_dispatch_frontier(spark):
 
 @pytest.mark.parametrize(
     "sql, want",
-    [("SELECT * FROM a.b x JOIN `c` ON 1", ["a.b", "c"]), ("insert into log(a) values (1)", ["log"]), ("update only t set x = 1 for update skip locked", ["t"]), ("create table if not exists s.t (a int)", ["s.t"]), ("take it from me", []), ("select f(x) from gen(3)", [])],
+    [("SELECT * FROM a.b x JOIN `c` ON 1", ["a.b", "c"]), ("insert into log(a) values (1)", ["log"]), ("update only t set x = 1 for update skip locked", ["t"]), ("create table if not exists s.t (a int)", ["s.t"]), ("take it from me", []), ("select f(x) from gen(3)", ["gen"]), ("select 1 from a, b, c d, e", ["a", "b", "c"]), ("insert into t (a, b) select 1", ["t"]), ("truncate table x, y", ["x", "y"]), ("merge into a\n\tusing b", ["a"]), ("select 1 from 9x, y", []), ("update", []), ("", []), ("select 1 from a, table b", ["a", "b", "table"])],
 )
 def test_tables_in_sql(spark, sql, want):
     assert spark.createDataFrame([(sql,)], "s string").select(C.tables_in_sql(F.col("s")).alias("t")).first()["t"] == want

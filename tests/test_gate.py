@@ -32,6 +32,55 @@ def test_verdict_goes_violation_then_unevaluated_then_incomplete(spark):
     assert [r["fn"] for r in P.denied(f, P.parse("deny Net api")).collect()] == ["app.api.A.run"], "synthetic rows aren't judged"
 
 
+def test_accept_lines_of_rules_that_cant_be_judged_are_no_fault(spark):
+    """Unjudged or ambiguous lines aren't stale: nothing is accepted by them, and the exit code is that of what is open."""
+    f = rows(spark, [("app.api.A.run", ["Net"], [], [], False), ("app.api.U.run", ["Db"], [], [], True)])
+    verdict = lambda policy, same=None: G.gate(f, P.parse(policy), None, same)["verdict"].first().asDict()
+    v = verdict("deny Fs api\nforbid api -> db\naccept app.api.A Db for forbid api -> db because y")
+    assert (v["n_stale"], v["n_unjudged"], v["exit"], v["refused"]) == (0, 1, 2, True)
+    v = verdict("deny Net[unknown-host] api\naccept app.api.A.run Net for deny Net[unknown-host] api because y")
+    assert (v["n_violations"], v["n_stale"], v["n_unjudged"], v["exit"]) == (0, 0, 1, 2)
+    twins = spark.createDataFrame([("app.api.A.run",)], "fn string")
+    v = verdict("deny Net api\naccept app.api.A.run Net for deny Net api because y", twins)
+    assert (v["n_violations"], v["n_stale"], v["n_ambiguous"], v["exit"]) == (1, 0, 1, 1)
+    assert verdict("deny Db api")["exit"] == 0, "a union row isn't judged"
+    # A function that is open alone withholds the claim of an answer.
+    answer = spark.createDataFrame([(True,)], "ok boolean")
+    open_ = G.gate(f, P.parse("deny Net[unknown-host] api"))["verdict"]
+    assert G.advisory(answer, open_).first()["ok"] is None and G.advisory(answer, G.gate(f, P.parse("deny Db api"))["verdict"]).first()["ok"]
+    assert {r["part"] for r in G.document(G.gate(f, P.parse("deny Net api\nforbid a -> b"))).collect()} == {"verdict", "violations", "unevaluated"}
+
+
+@pytest.mark.parametrize(
+    "line, reasons, destinations",
+    [
+        ("deny Net Net[known-partner] api", (), ()),
+        ("deny Net[known-partner] Net api", (), ()),
+        ("deny Unknown[dispatch] Unknown[reflect] api", ("dispatch", "reflect"), ()),
+        ("deny Unknown[*] api", (), ()),
+        ("deny Net[*] api", (), ()),
+        ("deny Net[known-partner,*] api", (), ()),
+        ("deny Net[known-partner,,unknown-host,] api", (), ("known-partner", "unknown-host")),
+        ("deny Net[] Unknown[ours] api", ("native", "setup"), ()),
+    ],
+)
+def test_narrowed_effects_unite_and_a_bare_one_is_all(line, reasons, destinations):
+    (r,) = P.parse(line, {"ours": ("native", "setup")})
+    assert (r.reasons, r.destinations, r.scope) == (reasons, destinations, "api") and len(set(r.effects)) == len(r.effects)
+
+
+@pytest.mark.parametrize("line", ["deny Net[nowhere] x", "deny Unknown[refl] x", "deny Fs[read] x", "deny Net[known-partner,typo] x"])
+def test_bad_classes_refuse_the_policy(line):
+    with pytest.raises(P.PolicyError):
+        P.parse(line)
+
+
+def test_null_literals_certify_nothing(spark):
+    f = rows(spark, [("a.b", ["Net"], [], [], False)])
+    lits = spark.createDataFrame([("a.b", "Net", None)], "fn string, effect string, value string")
+    assert [tuple(r)[2:] for r in P.outside_allowlist(f, lits, P.parse("allow Net x.com")).collect()] == [("a.b", "Net", "")]
+
+
 def test_policies_without_rules_of_a_kind_give_no_rows(spark):
     f, e = rows(spark, [("a.b", ["Net"], [], [], False)]), spark.createDataFrame([("a.b", "a.c")], "caller string, callee string")
     lits = spark.createDataFrame([], "fn string, effect string, value string")
@@ -116,3 +165,10 @@ def test_gate_units_of_ambiguous_calls(spark):
 def test_library_rules_are_told_apart():
     rules = K.rules()
     assert len(rules) == len({r[1:] for r in rules}) and [r[0] for r in rules] == list(range(len(rules)))
+
+
+def test_calls_meet_rules_of_their_own_ancestors(spark):
+    rules = spark.createDataFrame(K.rules(), "priority int, owner string, method_pattern string, effect string, descriptor string")
+    calls = [("java.io.File", "exists", "()Z", "Fs"), ("java.io.FileFilter", "exists", "()Z", None), ("java.net.Socket$Inner", "x", "()V", "Net"), ("org.slf4j.a.b.Logger", "info", "()V", "Log"), ("java.util.Random", "nextInt", "()I", "Rand"), ("java.util.RandomAccess", "nextInt", "()I", None), ("java.util.Collections", "shuffle", "(Ljava/util/List;)V", "Rand"), ("java.util.Collections", "shuffle", "(Ljava/util/List;Ljava/util/Random;)V", None), ("software.amazon.awssdk.services.bedrockruntime.C", "x", "", "Llm"), ("software.amazon.awssdk.services.s3.C", "x", "", "Net"), ("", "x", "", None)]
+    got = V.classify_calls(spark.createDataFrame(calls, "owner string, method string, descriptor string, want string"), rules).collect()
+    assert {tuple(r) for r in got} == {c for c in calls if c[3]}
