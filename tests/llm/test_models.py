@@ -214,13 +214,37 @@ def test_added_spans_are_those_of_a_plain_search(spark):
 
 
 def test_thresholds():
-    natural, weight = np.array([0.9, 0.8, 0.3]), np.array([2.0, 3.0, 1.0])
-    sure, none = np.array([0.4, 0.7, 0.95]), np.zeros(0)
-    assert pii.threshold_of(natural, weight, sure, none, 1000, 0.99) == 0.5
-    assert 0.8 < pii.threshold_of(natural, weight, sure, none, 400, 0.99) <= 0.9
-    assert pii.threshold_of(natural, weight, sure, none, 0, 0.99) > 0.9
-    assert pii.threshold_of(none, none, sure, np.array([0.69, 0.71]), 0, 0.9) == 0.95
-    assert pii.threshold_of(none, none, np.array([0.6]), np.array([0.99]), 0, 0.9) == 2.0
+    """By estimate from rewritten, spoilt and the corpus's own candidates, of which nobody knows which are true."""
+    rng = np.random.default_rng(2)
+    true, none = rng.uniform(0.7, 0.99, 400), np.zeros(0)
+    decoys = rng.uniform(0, 0.3, 5000)
+    own = lambda k: np.concatenate([decoys, rng.uniform(0.7, 0.99, k)])
+    for k in (0, 50, 2500):
+        natural = own(k)
+        assert pii.threshold_of(natural, np.ones(len(natural)), true, none, 0.98) == 0.5
+        assert abs(pii.share_of(natural, np.ones(len(natural)), true) - k / len(natural)) < 0.02
+    # Decoys that score like a half of the rewritten ones push the threshold over them.
+    natural = np.concatenate([decoys, rng.uniform(0.5, 0.8, 3000), rng.uniform(0.7, 0.99, 100)])
+    assert pii.threshold_of(natural, np.ones(len(natural)), np.concatenate([true, rng.uniform(0.9, 0.99, 4000)]), none, 0.98) > 0.79
+    # Spoilt ones that score like rewritten ones do so too, and where nothing tells them apart nothing is added.
+    assert pii.threshold_of(none, none, true, np.linspace(0.7, 0.8, 300), 0.98) > 0.79
+    assert pii.threshold_of(none, none, np.array([0.6]), np.array([0.99]), 0.9) == 2.0
+    assert pii.threshold_of(none, none, none, none, 0.9) == 2.0
+
+
+@pytest.mark.parametrize(("n", "share"), [(3000, 0.01), (1200, 0.1), (1200, 0.5)])
+def test_rewritten_spans_are_found_in_the_corpus_that_is_learnt_from(spark, n, share):
+    """Nobody says which of the corpus's own candidates are true: few, some or half of its documents hold one."""
+    rows = planted(n, set(random.Random(7).sample(range(n), int(n * share))), 5)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    right = wrong = missed = 0
+    for r in pii.find(docs, pii.fit(docs)).collect():
+        text, spans = rows[r["doc_id"]]
+        base = {f"{k}:{s}:{e}" for k, s, e in plain_spans(text)}
+        want, added = {f"{k}:{s}:{e}" for k, s, e in spans} - base, {x for x in r["spans"].split(",") if x} - base
+        right, wrong, missed = right + len(added & want), wrong + len(added - want), missed + len(want - added)
+    assert right / max(1, right + wrong) >= 0.9 and right / (right + missed) >= 0.8
+
 
 
 def test_boosting_learns():

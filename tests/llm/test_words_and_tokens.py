@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -96,3 +97,12 @@ def test_first_fit_decreasing(sizes):
 
 def test_word_pattern():
     assert WORD.findall(b"a\x0bb\x1cc d") == [b"a", b"b\x1cc", b"d"]
+
+
+def test_words_are_parted_where_tokens_end_anyhow():
+    enc = tokens.Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert enc.parts and tokens._parted(b"ab.c 12-x's 'tis$$ d''e") == b"ab . c 12 - x's 'tis $$ d''e"
+    rng = random.Random(4)
+    signs = ["a", "B", "é", "'", "'s", "'re", "1", "٣", "$", "_", ".", "-", " ", "\n", "<|", "|>", "<|endoftext|>", "≠", "\u0301", "日", "ß", "İ", "ſ", "ª", "!", "«", "a'", "9'"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    assert enc.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
