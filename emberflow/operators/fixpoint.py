@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.plans.runtime import Kept, bucketed
+from emberflow.plans.runtime import Kept, bucketed, stored
 
 ROUNDS = 500
 #: Rounds after which buckets are merged, so that a late round doesn't open as many files as there were rounds.
@@ -95,22 +95,21 @@ def start(node: Column | str, hops: int = 0) -> list[Column]:
 
 def nearest(edges: DataFrame, ends: DataFrame, through: Column | None = None, chains: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """rule, fn, hops, found: for each rule the nearest of its ends (rule, fn) to each function that reaches one, ends
-    themselves at 0; with chains, path: the names from the function to that end.
+    themselves at 0; with chains, next: the callee that a shortest chain goes on with, null at an end.
 
     One backward walk for all rules, so the cost follows the graph and not the number of starts or rules. Of equally
     near ends the first that a walk in order of callees' names meets: a function takes what its first callee one step
     nearer has found. through, a condition on the columns of edges and rule, tells which calls a rule's walk may use.
     """
-    first = ends.select("rule", "fn").distinct().select("rule", "fn", F.lit(0).alias("hops"), F.col("fn").alias("found"), *([F.array("fn").alias("path")] if chains else []))
+    first = ends.select("rule", "fn").distinct().select("rule", "fn", F.lit(0).alias("hops"), F.col("fn").alias("found"), *([F.lit(None).cast("string").alias("next")] if chains else []))
 
     def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
         got = links.join(new.withColumnRenamed("fn", "callee"), "callee")
         got = got if through is None else got.filter(through)
         # All of a function's callees that are one step nearer were found in the last round.
-        got = got.groupBy("rule", F.col("caller").alias("fn")).agg(F.min(F.struct("callee", "hops", "found", *(["path"] if chains else []))).alias("m"))
+        got = got.groupBy("rule", F.col("caller").alias("fn")).agg(F.min(F.struct("callee", "hops", "found")).alias("m"))
         got = got.join(known.select("rule", "fn"), ["rule", "fn"], "left_anti")
-        path = [F.concat(F.array("fn"), F.col("m.path")).alias("path")] if chains else []
-        return got.select("rule", "fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"), *path)
+        return got.select("rule", "fn", (F.col("m.hops") + 1).alias("hops"), F.col("m.found").alias("found"), *([F.col("m.callee").alias("next")] if chains else []))
 
     return grow(edges, "callee", first, step, ["rule", "fn"], rounds)
 
@@ -130,5 +129,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, carriers: DataFrame, end
     chain of one; a start that reaches no end has no rows.
     """
     inside = edges.join(carriers.withColumnRenamed("fn", "callee"), "callee", "left_semi")
-    near = nearest(inside, ends.select(F.lit("").alias("rule"), "fn"), chains=True)
-    return near.join(starts.select("fn").distinct(), "fn").select(F.col("fn").alias("start"), F.posexplode("path").alias("step", "fn"))
+    near = stored(nearest(inside, ends.select(F.lit("").alias("rule"), "fn"), chains=True).select("fn", "next"))
+    first = near.join(starts.select("fn").distinct(), "fn").select(F.col("fn").alias("start"), F.lit(0).alias("step"), "fn")
+    # Only starts' chains are unrolled, a step a round; a chain has no step twice, so nothing need be looked up.
+    go_on = lambda links, new, known: links.join(new, "fn").select("start", (F.col("step") + 1).alias("step"), F.col("next").alias("fn"))
+    return grow(near.filter("next is not null"), "fn", first, go_on, ["start", "step"])

@@ -106,9 +106,13 @@ def entities(supers: DataFrame, markers: DataFrame, parameters: DataFrame) -> Da
 
 
 def merge_deltas(deltas: DataFrame, sets: list[str], sums: list[str]) -> DataFrame:
-    """One row a key from delta rows: arrays united and sorted, numbers added up."""
-    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets]
-    return deltas.groupBy("key").agg(*united, *[F.sum(c).alias(c) for c in sums])
+    """One row a key from delta rows: arrays united and sorted, numbers added up. Items are told apart before they meet, so
+    what a key's repeats hold in common is one item a task and not one a row."""
+    out = deltas.groupBy("key").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in sums]).drop("_n")
+    for c in sets:
+        items = deltas.select(F.col("key").alias("_k"), F.explode(c).alias("_item")).distinct().groupBy("_k").agg(F.array_sort(F.collect_list("_item")).alias(c))
+        out = out.join(items, F.col("key").eqNullSafe(F.col("_k")), "left").drop("_k").withColumn(c, F.coalesce(c, F.array().cast(deltas.schema[c].dataType)))
+    return out.select("key", *sets, *sums)
 
 
 def top_unknown(reasons: DataFrame, most: int = 12) -> DataFrame:

@@ -563,17 +563,37 @@ def literal_covers(m: Model) -> DataFrame:
 # ---------------------------------------------------------------- streams
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, CASE event_type WHEN 'view' THEN 'Db' WHEN 'click' THEN 'Net' WHEN 'purchase' THEN 'Fs' WHEN 'error' THEN 'Exec' ELSE 'Log' END AS effect, count(*) AS n FROM events GROUP BY 1, 2", views=False)
-def trace_counts_stream(m: Model) -> DataFrame:
-    """Observations by hour and effect, from the events read as a stream up to what is there."""
+def _observed_stream(m: Model) -> DataFrame:
+    """fn, effect, ts of events read as a stream."""
     effect = F.when(F.col("event_type") == "view", "Db").when(F.col("event_type") == "click", "Net").when(F.col("event_type") == "purchase", "Fs").when(F.col("event_type") == "error", "Exec").otherwise("Log")
     source, stream = f"{m.sf_dir}/events.parquet", m.spark.readStream.schema(m.table("events").schema)
     events = stream.parquet(source) if L.Store(m.spark).is_dir(source) else stream.option("pathGlobFilter", "events.parquet").parquet(m.sf_dir)
-    counts = T.counts(events.select(F.concat(F.lit("app.api.C"), F.col("user_id").cast("string")).alias("fn"), effect.alias("effect"), F.col("ts").cast("timestamp").alias("ts")))
+    return events.select(F.concat(F.lit("app.api.C"), F.col("user_id").cast("string")).alias("fn"), effect.alias("effect"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(Q._BASE + ", seen AS (SELECT DISTINCT fn, effect FROM observed WHERE effect IN ('Exec', 'Fs', 'Net')) SELECT fn, effect FROM seen s WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.fn = s.fn AND old.effect IN (s.effect, 'Unknown'))")
+def trace_violations_stream(m: Model) -> DataFrame:
+    """What a run was seen to do beyond the baseline's report, from the events read as a stream up to what is there."""
+    out = shared_dir(m.spark)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.select("fn", "effect").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    found = T.violations(_observed_stream(m), Q._base(m))
+    found.writeStream.foreachBatch(keep).option("checkpointLocation", shared_dir(m.spark)).trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.parquet(out).select("fn", "effect").distinct()
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, CASE event_type WHEN 'view' THEN 'Db' WHEN 'click' THEN 'Net' WHEN 'purchase' THEN 'Fs' WHEN 'error' THEN 'Exec' ELSE 'Log' END AS effect, count(*) AS n FROM events GROUP BY 1, 2", views=False)
+def trace_counts_stream(m: Model) -> DataFrame:
+    """Observations by hour and effect, from the events read as a stream up to what is there."""
+    counts = T.counts(_observed_stream(m))
     out = shared_dir(m.spark)
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "effect", "n").write.mode("overwrite").parquet(out)
+        # A batch that is done again takes its own folder's place.
+        rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "effect", "n").write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", shared_dir(m.spark)).trigger(availableNow=True).start().awaitTermination()
-    return m.spark.read.parquet(out)
+    # Only windows that a batch has changed are written, and those behind the watermark leave the state.
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared_dir(m.spark)).trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.parquet(out).groupBy("start", "effect").agg(F.max_by("n", "batch").alias("n"))
