@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberflow.operators.fixpoint import ROUNDS, grow
-from emberflow.plans.runtime import Kept, bucketed, stored
+from emberflow.plans.runtime import Kept, bucketed, buckets, counted, shuffles, stored
 
 # Fixed value: the type that ends every chain of superclasses and isn't looked into.
 ROOT = ("java.lang.Object", "java/lang/Object")
@@ -33,8 +33,12 @@ def bodies_below(asked: DataFrame, supers: DataFrame, methods: DataFrame, hierar
     An asked type that isn't closed is dropped from the walk as soon as more than `most` bodies are found, so what is
     walked beyond the bound is a round at most; a closed one is walked to its end, as all its bodies count.
     """
-    down = bucketed(supers.select(F.col("super").alias("node"), F.col("type").alias("below")).distinct(), "node")
-    seen, hits = Kept(asked.sparkSession, [*ASKED, "node"]), Kept(asked.sparkSession, ASKED)
+    spark = asked.sparkSession
+    links, n_links = counted(supers.select(F.col("super").alias("node"), F.col("type").alias("below")).distinct())
+    first, n_first = counted(asked.select(*ASKED, F.col("owner").alias("node")).distinct())
+    width = buckets(spark, n_links + n_first)
+    down = bucketed(links, "node", n=width)
+    seen, hits = Kept(spark, [*ASKED, "node"], width), Kept(spark, ASKED, width)
     has = stored(methods.select(F.col("owner").alias("node"), "method").distinct())
     closed = None if hierarchy is None else hierarchy.filter("closed").select(F.col("type").alias("owner"), F.lit(True).alias("_closed")).distinct()
 
@@ -42,20 +46,23 @@ def bodies_below(asked: DataFrame, supers: DataFrame, methods: DataFrame, hierar
         n = hits.all().groupBy(*ASKED).agg(F.count("*").alias("n")).filter(F.col("n") > most)
         return n if closed is None else n.join(closed, "owner", "left").filter("_closed is null")
 
+    # A task writes a file for each bucket that it has rows of, so rows are dealt before.
+    found = lambda: seen.new().join(has, ["node", "method"]).select(*ASKED, "node").repartition(width, *ASKED)
     try:
-        n = seen.add(asked.select(*ASKED, F.col("owner").alias("node")).distinct())
-        hits.add(seen.new().join(has, ["node", "method"]).select(*ASKED, "node"))
-        for _ in range(rounds):
-            if not n:
-                over = stored(wide().select(*ASKED))
-                return hits.all().join(over, ASKED, "left_anti"), over
-            front = seen.new().join(wide(), ASKED, "left_anti")
-            got = down.all().join(front, "node").select(*ASKED, F.col("below").alias("node")).distinct()
-            n = seen.add(got.join(seen.all(), [*ASKED, "node"], "left_anti"))
-            hits.add(seen.new().join(has, ["node", "method"]).select(*ASKED, "node"))
-            if seen.rounds % 8 == 0:
-                seen.merge()
-                hits.merge()
+        with shuffles(spark, width):
+            n = seen.add(first.repartition(width, *ASKED, "node"))
+            hits.add(found())
+            for _ in range(rounds):
+                if not n:
+                    over = stored(wide().select(*ASKED))
+                    return hits.all().join(over, ASKED, "left_anti"), over
+                front = seen.new().join(wide(), ASKED, "left_anti")
+                got = down.all().join(front, "node").select(*ASKED, F.col("below").alias("node")).distinct()
+                n = seen.add(got.join(seen.all(), [*ASKED, "node"], "left_anti"))
+                hits.add(found())
+                if seen.rounds % 8 == 0:
+                    seen.merge()
+                    hits.merge()
     finally:
         for t in (down, seen, hits):
             t.close()

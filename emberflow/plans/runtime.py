@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows a bucket holds at first.
+ROWS = 50_000
+
+
 class Kept:
     """Rows that grow round by round, in a table bucketed by the columns that tell them apart.
 
@@ -44,9 +50,9 @@ class Kept:
     session's catalog goes with close(), and frames read before stay valid.
     """
 
-    def __init__(self, spark: SparkSession, on: list[str]):
+    def __init__(self, spark: SparkSession, on: list[str], n: int | None = None):
         self.spark, self.on, self.rounds = spark, on, 0
-        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = self.path = ""
 
     def _write(self, rows: DataFrame) -> int:
@@ -86,8 +92,25 @@ class Kept:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def bucketed(rows: DataFrame, *on: str) -> Kept:
-    """Rows dealt once into buckets by `on`."""
-    kept = Kept(rows.sparkSession, list(on))
+def buckets(spark: SparkSession, n_rows: int) -> int:
+    """How many buckets so many rows are dealt into: as many as the session's shuffles have, fewer for few rows, as a round
+    opens a file of each."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // ROWS + 1))
+
+
+@contextmanager
+def shuffles(spark: SparkSession, n: int) -> Iterator[None]:
+    """Shuffles have n partitions meanwhile, as many as the buckets that they meet, which then needn't move."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def bucketed(rows: DataFrame, *on: str, n: int | None = None) -> Kept:
+    """Rows dealt once into n buckets by `on`."""
+    kept = Kept(rows.sparkSession, list(on), n)
     kept.add(rows.repartition(kept.n, *on))
     return kept
