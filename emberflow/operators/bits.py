@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.operators.fixpoint import ROUNDS, grow
+from emberflow.operators.fixpoint import ROUNDS, grow, inner
 from emberflow.plans.runtime import counted, stored
 
 WIDTH = 64
@@ -26,9 +26,9 @@ def united(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "chunk").agg(F.bit_or("mask").alias("mask"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None, rounds: int = ROUNDS, core: DataFrame | None = None) -> DataFrame:
     """node, chunk, mask: what reaches each node from seeds (node, chunk, mask) along links (src, dst), seeds included.
-    through, if given, holds the nodes (node) from which it goes on."""
+    through, if given, holds the nodes (node) from which it goes on. core: `inner` of links, where it is known already."""
 
     def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
         front = new if through is None else new.join(through, "node", "left_semi")
@@ -36,7 +36,14 @@ def spread(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None,
         had = united(known, "node").withColumnRenamed("mask", "had")
         return got.join(had, ["node", "chunk"], "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)")).filter("mask <> 0").select("node", "chunk", "mask")
 
-    return united(grow(links.select("src", "dst"), "src", united(seeds, "node"), step, ["node", "chunk"], rounds), "node")
+    seeds = stored(united(seeds, "node"))
+    core = stored(inner(links.select("src", "dst"), "src", "dst")) if core is None else core.select("src", "dst")
+    named = core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
+    # As in effect_fixpoint: what ends links only is in no round, and takes what it gets in one step.
+    known = stored(united(grow(core, "src", seeds.join(named, "node", "left_semi"), step, ["node", "chunk"], rounds).unionByName(seeds), "node"))
+    front = known if through is None else known.join(through, "node", "left_semi")
+    last = links.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "chunk", "mask")
+    return united(last.unionByName(known), "node")
 
 
 def weighed(rows: DataFrame, weight: Column) -> DataFrame:
@@ -75,7 +82,7 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     it and reach it. Members of one component have both colours alike, so calls between others are cut, and the rest is
     done again; the component of the least name goes in each turn, and with it at least one of every part that was cut.
     """
-    left, n = trimmed(edges.select("caller", "callee").filter("caller <> callee").distinct(), rounds)
+    left, n = trimmed(inner(edges.select("caller", "callee").filter("caller <> callee")).distinct(), rounds)
     found = []
 
     def paint(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
@@ -98,8 +105,8 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found.append(colours.filter("above = below").select("fn", F.col("above").alias("comp")))
         # Nothing of a found component has calls left: its functions share their colours with no other.
         of = lambda c: colours.filter("above <> below").select(F.col("fn").alias(c), F.struct("above", "below").alias(f"{c}_colours"))
-        inner = left.join(of("caller"), "caller").join(of("callee"), "callee").filter("caller_colours = callee_colours").select("caller", "callee")
-        left, n = trimmed(inner, rounds)
+        within = left.join(of("caller"), "caller").join(of("callee"), "callee").filter("caller_colours = callee_colours").select("caller", "callee")
+        left, n = trimmed(within, rounds)
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
     out = edges.sparkSession.createDataFrame([], "fn string, comp string")

@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberflow.functions.effects import BIT
-from emberflow.operators.fixpoint import ROUNDS, grow
+from emberflow.operators.fixpoint import ROUNDS, grow, inner
 from emberflow.plans.runtime import counted, stored
 
 UNKNOWN = BIT["Unknown"]
 
 
-def disclose(edges: DataFrame, inferred: DataFrame, sites: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def disclose(edges: DataFrame, inferred: DataFrame, sites: DataFrame, rounds: int = ROUNDS, core: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """fn, mask after all that had to be said; and caller, why, turn of every call for which it was.
 
     inferred: fn, mask, the least fixpoint over edges (caller, callee); sites: caller, via, body of calls that aren't edges
     as they can't be resolved. A call is a case if its body has an effect that its caller hasn't, Unknown included, when
     the turn begins; why is dispatch:<via>. A body that isn't in inferred has no effects.
+    core: `inner` of edges, where it is known already.
     """
+    core = stored(inner(edges.select("caller", "callee"))) if core is None else core.select("caller", "callee")
     sites = stored(sites.select("caller", "via", "body").distinct())
     mask_of = lambda key, name: inferred.select(F.col("fn").alias(key), F.col("mask").alias(name))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -42,7 +44,10 @@ def disclose(edges: DataFrame, inferred: DataFrame, sites: DataFrame, rounds: in
             break
         told.append(said)
         seeds = said.select(F.col("caller").alias("fn")).distinct().join(unknown, "fn", "left_anti")
-        new = stored(grow(edges, "callee", seeds, climb, ["fn"], rounds, unknown).join(unknown, "fn", "left_anti"))
+        new = stored(grow(core, "callee", seeds, climb, ["fn"], rounds, unknown).join(unknown, "fn", "left_anti"))
+        # Rounds are over what is called; the others take it from their callees in one step.
+        tops = climb(edges, new, unknown.unionByName(new))
+        new = stored(new.unionByName(tops))
         added.append(new)
         # A call of the turns to come: its body is Unknown since this one, its caller still isn't.
         unknown = stored(unknown.unionByName(new))

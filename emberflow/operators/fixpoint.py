@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberflow.plans.runtime import Kept, bucketed, stored
+from emberflow.plans.runtime import Kept, bucketed, buckets, counted, shuffles, stored
 
 ROUNDS = 500
 #: Rounds after which buckets are merged, so that a late round doesn't open as many files as there were rounds.
@@ -26,26 +26,36 @@ def grow(links: DataFrame, key: str, first: DataFrame, step: Callable[[DataFrame
     buckets by these columns, so a round shuffles what is new and never the links or what is known. had: rows that are
     known from the start and not new; they are part of the result.
     """
-    dealt, known = bucketed(links, key), Kept(first.sparkSession, on)
+    links, n_links = counted(links)
+    first, n_first = counted(first)
+    n = buckets(first.sparkSession, n_links + n_first)
+    dealt, known = bucketed(links, key, n=n), Kept(first.sparkSession, on, n)
     try:
-        if had is not None:
-            known.add(had.select(first.columns).repartition(known.n, *on))
-        n = known.add(first)
-        for _ in range(rounds):
-            if not n:
-                return known.all()
-            n = known.add(step(dealt.all(), known.new(), known.all()))
-            if known.rounds % APART == 0 and n:
-                known.merge()
+        with shuffles(first.sparkSession, n):
+            if had is not None:
+                known.add(had.select(first.columns).repartition(known.n, *on))
+            n = known.add(first.repartition(known.n, *on))
+            for _ in range(rounds):
+                if not n:
+                    return known.all()
+                n = known.add(step(dealt.all(), known.new(), known.all()))
+                if known.rounds % APART == 0 and n:
+                    known.merge()
     finally:
         dealt.close()
         known.close()
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def inner(links: DataFrame, src: str = "callee", dst: str = "caller") -> DataFrame:
+    """The links whose end is the start of another. A walk's rounds need no others: what only ends links, as functions that
+    nobody calls do, takes what it gets in one step after the last round."""
+    return links.join(links.select(F.col(src).alias(dst)).distinct(), dst, "left_semi").select(*links.columns)
+
+
+def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None = None, rounds: int = ROUNDS, core: DataFrame | None = None) -> DataFrame:
     """fn, mask: the least fixpoint of mask(fn) = direct(fn) | cross(fn) | masks of its callees; direct and cross (what
-    functions take over from other reports) have fn, mask."""
+    functions take over from other reports) have fn, mask. core: `inner` of edges, where it is known already."""
     seed = direct.select("fn", "mask") if cross is None else direct.select("fn", "mask").unionByName(cross.select("fn", "mask"))
     united = lambda df: df.groupBy("fn").agg(F.bit_or("mask").alias("mask"))
 
@@ -53,17 +63,24 @@ def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None
         got = united(links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask"))
         return got.join(united(known).withColumnRenamed("mask", "had"), "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)")).filter("mask <> 0").select("fn", "mask")
 
-    return united(grow(edges.select("caller", "callee"), "callee", united(seed).filter("mask <> 0"), step, ["fn"], rounds))
+    first = united(seed).filter("mask <> 0")
+    core = stored(inner(edges.select("caller", "callee"))) if core is None else core.select("caller", "callee")
+    called = core.select("callee").union(core.select("caller")).distinct()
+    # What no call of the core names is in no round, but its callers may get it in the last step.
+    known = united(grow(core, "callee", first.join(called.withColumnRenamed("callee", "fn"), "fn", "left_semi"), step, ["fn"], rounds).unionByName(first))
+    last = edges.join(known.withColumnRenamed("fn", "callee").hint("shuffle_hash"), "callee").select(F.col("caller").alias("fn"), "mask")
+    return united(last.unionByName(known))
 
 
-def value_fixpoint(edges: DataFrame, direct: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """fn, value: every value of a function or of anything it reaches; direct has fn, value."""
-
-    def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
-        got = links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "value").distinct()
-        return got.join(known, ["fn", "value"], "left_anti")
+def value_fixpoint(edges: DataFrame, direct: DataFrame, rounds: int = ROUNDS, core: DataFrame | None = None) -> DataFrame:
+    """fn, value: every value of a function or of anything it reaches; direct has fn, value. Values travel as bits, 64 in a
+    row, and become rows at the end."""
+    from emberflow.operators.bits import members, numbered, spread
 
-    return grow(edges.select("caller", "callee"), "callee", direct.select("fn", "value").distinct(), step, ["fn", "value"], rounds)
+    values = numbered(direct.filter("value is not null").select("value").distinct())
+    seeds = direct.select("fn", "value").distinct().join(values, "value").select(F.col("fn").alias("node"), "chunk", "mask")
+    held = spread(up(edges), seeds, rounds=rounds, core=None if core is None else up(core))
+    return members(held).join(values.select("chunk", "bit", "value"), ["chunk", "bit"]).select(F.col("node").alias("fn"), "value")
 
 
 def reach(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:

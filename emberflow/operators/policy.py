@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from emberflow.functions import names as N
 from emberflow.functions.effects import AMBIENT, BIT, EFFECTS, mask_of, names_of
-from emberflow.operators.fixpoint import first_found, nearest
+from emberflow.operators.fixpoint import first_found, inner, nearest
 from emberflow.plans.runtime import stored
 
 # Destination classes and the effects that an allow rule may name.
@@ -198,18 +198,18 @@ def _none(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def forbidden(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> DataFrame:
+def forbidden(functions: DataFrame, edges: DataFrame, rules: list[Rule], core: DataFrame | None = None) -> DataFrame:
     """code, rule, fn, reached, hops: for forbid A -> B the nearest function in B that one in A reaches.
 
     The start is tested only if it is reached again; ties go to the first callee by name, step for step. One walk
-    serves all rules.
+    serves all rules, over calls of functions that are called (core, where it is known already).
     """
     rules = [r for r in rules if r.kind == "forbid"]
     if not rules:
         return _none(functions, _REACHED)
     segs = N.segments(F.col("fn"))
     within = lambda scope: functions.select("fn", F.explode(F.array_compact(F.array(*[F.when(N.scope_matches(segs, scope(r)), F.lit(r.text)) for r in rules]))).alias("rule"))
-    return _told("AS-EFF-009", first_found(edges, nearest(edges, within(lambda r: r.to[0])), within(lambda r: r.scope)))
+    return _told("AS-EFF-009", first_found(edges, stored(nearest(inner(edges) if core is None else core, within(lambda r: r.to[0]))), within(lambda r: r.scope)))
 
 
 def unpermitted(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> DataFrame:

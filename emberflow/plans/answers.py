@@ -59,7 +59,7 @@ def unknown_share(m: Model) -> DataFrame:
 
 @query(Q._tour_sql(("Db", "Net", "Fs")).replace(" FROM best WHERE k = 1 ORDER BY score DESC, hops, fn LIMIT 10", " FROM best WHERE k = 1 ORDER BY score DESC, hops, fn LIMIT 1").replace("SELECT fn, effect, CAST(hops AS BIGINT) AS hops, found, CAST(score AS BIGINT) AS score FROM best", "SELECT 'winner' AS state, fn, effect, CAST(hops AS BIGINT) AS hops, found FROM best"))
 def surprise(m: Model) -> DataFrame:
-    best = V.tour(m.functions(), m.stored_edges(), ("Db", "Net", "Fs"), 1)
+    best = V.tour(m.functions(), m.stored_edges(), ("Db", "Net", "Fs"), 1, m.core())
     return R.surprise(best, m.functions())
 
 
@@ -78,7 +78,7 @@ def gains_without_callgraph(m: Model) -> DataFrame:
 @query(f"""+ src AS (SELECT fn FROM reasons WHERE {Q._CLASS} IN ('dispatch', 'indirect')), s(source, node) AS (SELECT e.callee, e.caller FROM edges e JOIN src r ON e.callee = r.fn UNION SELECT s.source, e.caller FROM s JOIN edges e ON e.callee = s.node)
 SELECT r.fn, r.classes, count(s.node) AS n_reach FROM (SELECT fn, string_agg(DISTINCT {Q._CLASS}, ',') AS classes FROM reasons WHERE fn IN (SELECT fn FROM src) GROUP BY fn) r LEFT JOIN s ON s.source = r.fn AND s.node <> r.fn GROUP BY ALL""")
 def blindspots_class(m: Model) -> DataFrame:
-    return V.blindspots(m.stored_edges(), m.reasons(), N.reason_filter("dispatch, indirect"), m.components())
+    return V.blindspots(m.stored_edges(), m.reasons(), N.reason_filter("dispatch, indirect"), m.components(), m.core())
 
 
 @query(Q._CLASSES + "SELECT DISTINCT i.fn FROM inferred i JOIN rc ON rc.fn = i.fn AND rc.class = 'reflect' WHERE i.effect = 'Unknown' AND split_part(i.fn, '.', 2) = 'domain' AND NOT EXISTS (SELECT 1 FROM inferred x WHERE x.fn = i.fn AND x.effect = 'Exec')")
@@ -107,7 +107,7 @@ def callers_include_unknown(m: Model) -> DataFrame:
 @query("+ cr AS (SELECT 'app.dao.S' || s_suppkey AS fn, 'Rand' AS effect FROM supplier WHERE s_acctbal < 1000), x(fn, effect) AS (SELECT fn, effect FROM direct UNION SELECT * FROM cr UNION SELECT e.caller, x.effect FROM edges e JOIN x ON e.callee = x.fn) SELECT fn, string_agg(effect, ',' ORDER BY effect) AS effects FROM x GROUP BY fn")
 def effect_fixpoint_cross(m: Model) -> DataFrame:
     cross = m.table("supplier").filter("s_acctbal < 1000").select(F.concat(F.lit("app.dao.S"), F.col("s_suppkey").cast("string")).alias("fn"), F.lit(BIT["Rand"]).alias("mask"))
-    return effect_fixpoint(m.stored_edges(), m.masks(), cross).select("fn", _told().alias("effects"))
+    return effect_fixpoint(m.stored_edges(), m.masks(), cross, core=m.core()).select("fn", _told().alias("effects"))
 
 
 # ---------------------------------------------------------------- gates
@@ -118,7 +118,7 @@ _LITS = "+ lv(fn, effect, value) AS (SELECT fn, effect, value FROM literals UNIO
 
 def _closed_literals(m: Model) -> DataFrame:
     pairs = m.literals().select("fn", F.to_json(F.struct("effect", "value")).alias("value"))
-    closed = value_fixpoint(m.stored_edges(), pairs).withColumn("x", F.from_json("value", "effect string, value string"))
+    closed = value_fixpoint(m.stored_edges(), pairs, core=m.core()).withColumn("x", F.from_json("value", "effect string, value string"))
     return closed.select("fn", "x.effect", "x.value")
 
 

@@ -131,5 +131,5 @@ def disclosed_effects(m: Model) -> DataFrame:
     sites = row(m.table("customer").filter("c_custkey % 3 = 0"), "concat('app.api.C', c_custkey)", "concat('app.domain.P', c_custkey % 1000)")
     sites = sites.unionByName(row(m.table("supplier"), "concat('app.dao.S', s_suppkey)", "concat('app.domain.P', s_suppkey * 3)"))
     sites = sites.unionByName(row(m.table("nation").filter("n_nationkey % 5 = 2"), "concat('app.infra.N', n_nationkey)", "concat('app.api.C', n_nationkey * 2 + 1)"))
-    rows, _ = disclose(m.stored_edges(), m.inferred(), sites)
+    rows, _ = disclose(m.stored_edges(), m.inferred(), sites, core=m.core())
     return rows.select("fn", F.explode(names_of(F.col("mask"))).alias("effect"))

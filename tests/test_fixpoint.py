@@ -104,3 +104,21 @@ def test_remedies_of_all_starts_at_once(spark):
     e, f = functions(spark, [*zip(q, q[1:]), ("of.api.Web.page", q[0]), ("of.domain.Top.go", "of.api.Web.page")], [(q[3], ["Net"])])
     r = V.remedies(f, e, "Net", F.col("fn").contains(".domain.")).collect()
     assert [tuple(x) for x in r] == [([q[3]], 3, 2, [q[0]], 1, False)]
+
+
+def test_rounds_leave_out_what_nobody_calls(spark, monkeypatch):
+    """A thousand callers of a chain take their effects and values in the last step, and are in no round."""
+    from emberflow.plans import runtime
+
+    tops = [(f"t{i:03d}", "a") for i in range(1000)]
+    # t000 performs an effect itself, and only it calls z, which calls nothing.
+    edges = frame(spark, [*tops, ("a", "b"), ("b", "a"), ("b", "c"), ("t000", "z")], "caller string, callee string")
+    rows, write = [], runtime.Kept._write
+    monkeypatch.setattr(runtime.Kept, "_write", lambda self, df: rows.append(write(self, df)) or rows[-1])
+    direct = frame(spark, [("c", BIT["Db"]), ("a", BIT["Fs"]), ("t000", BIT["Log"]), ("z", BIT["Net"])], "fn string, mask int")
+    got = {r["fn"]: r["mask"] for r in effect_fixpoint(edges, direct).collect()}
+    both = BIT["Db"] | BIT["Fs"]
+    assert got == {**{t: both for t, _ in tops}, "t000": both | BIT["Log"] | BIT["Net"], "a": both, "b": both, "c": BIT["Db"], "z": BIT["Net"]}
+    values = value_fixpoint(edges, direct.select("fn", F.col("mask").cast("string").alias("value"))).groupBy("fn").count().collect()
+    assert {r["fn"]: r["count"] for r in values} == {f: m.bit_count() for f, m in got.items()}
+    assert max(rows) < 10
