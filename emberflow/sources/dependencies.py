@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from emberflow.functions.effects import BIT
 from emberflow.sources.envelope import envelopes, judged_nothing, says_incomplete
 from emberflow.sources.locate import Store, decoded, is_sidecar, sidecar
-from emberflow.sources.report import read_functions
+from emberflow.sources.report import in_lines, pieces, read_functions
 
 # Start and factor of the 64-bit FNV-1a digest.
 FNV_START, FNV_FACTOR = 0xCBF29CE484222325, 0x100000001B3
@@ -74,7 +74,12 @@ def _keys(spark: SparkSession, sides: dict[str, str]) -> DataFrame:
     """report, name: the keys of sidecars; files are told by their whole paths."""
     full = Store(spark).full
     of = F.broadcast(spark.createDataFrame([(full(s), p) for s, p in sides.items()], "_f string, report string"))  # one a report
-    docs = spark.read.text(list(sides), wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("_f"), F.explode(F.map_keys(F.from_json("value", "map<string,array<string>>"))).alias("name"))
+    lined, whole = in_lines(spark, list(sides), sidecar=True)
+    docs = pieces(spark, lined, sidecar=True).withColumnRenamed("json", "value") if lined else None
+    if whole or not lined:
+        more = spark.read.text(whole, wholetext=True).select(F.col("_metadata.file_path").alias("report"), "value")
+        docs = more if docs is None else docs.unionByName(more)
+    docs = docs.select(decoded(F.col("report")).alias("_f"), F.explode(F.map_keys(F.from_json("value", "map<string,array<string>>"))).alias("name"))
     return docs.join(of, "_f").select("report", "name")
 
 

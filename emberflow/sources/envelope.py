@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberflow.sources.report import report_lines
+from emberflow.sources.report import heads, in_lines, report_lines
 
 # Keys of the envelope, their types, and the names of our columns.
 KEYS = (
@@ -32,7 +32,11 @@ KEYS = (
 def envelopes(spark: SparkSession, paths: list[str], head: str = "producer") -> DataFrame:
     """One row a report: report, version, toolchain, spec and the columns of KEYS; null where a key is absent, so an
     empty list and a list that isn't there differ. A bare array of functions has nulls only."""
-    docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("report"), F.try_parse_json("value").alias("doc"))
+    lined, whole = in_lines(spark, paths)
+    docs = heads(spark, lined).select("report", F.try_parse_json("json").alias("doc")) if lined else None
+    if whole or not lined:
+        more = spark.read.text(whole, wholetext=True).select(F.col("_metadata.file_path").alias("report"), F.try_parse_json("value").alias("doc"))
+        docs = more if docs is None else docs.unionByName(more)
     get = lambda key, kind: F.expr(f"CASE WHEN startswith(schema_of_variant(doc), 'OBJECT') THEN try_variant_get(doc, '$.{key}', '{kind}') END")
     return docs.select("report", *[get(f"{head}.{k}", "string").alias(k) for k in ("version", "toolchain", "spec")], *[get(k, t).alias(n) for k, n, t in KEYS])
 

@@ -7,9 +7,11 @@ lenient. Documents are parsed once as variants, so absent, null and wrong types
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberflow.sources.locate import Store, decoded
+
 # Keys of a function by type, in the order in which they are written.
 TEXTS = ("fn", "loc", "hash", "unitKind")
 FLAGS = ("entryPoint", "unresolved", "interfaceUnion")
@@ -21,7 +23,61 @@ class ReportRefused(ValueError):
     """A document that isn't a report."""
 
 
+def _stripped(n: int) -> Column:
+    return F.expr(f"left(v, length(v) - {n})")
+
+
+def _lines(spark: SparkSession, paths: list[str], sidecar: bool) -> DataFrame:
+    """report, part, json and place of the lines of documents: head, rest (one member or function a line, with a comma
+    behind it), last, or null for any other line; json: the head's or the line's own JSON object."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("report"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), F.rtrim("value").alias("v"))
+    end = "}" if sidecar else "]}"
+    if sidecar:
+        head = F.when(F.col("v") == "{", "{}")
+        own = lambda n: F.when(F.startswith("v", F.lit('"')), F.concat(F.lit("{"), _stripped(n), F.lit("}")))
+    else:
+        head = F.when(F.endswith("v", F.lit('"functions": [')), F.concat("v", F.lit("]}")))
+        own = lambda n: F.when(F.startswith("v", F.lit("{")), _stripped(n))
+    rest, last = F.when(F.endswith("v", F.lit(",")), own(1)), F.when(F.col("v") == end, F.lit("")).when(F.endswith("v", F.lit(end)), own(len(end)))
+    sound = lambda c: F.try_parse_json(c).isNotNull()
+    part = F.when(sound(head), "head").when(sound(rest), "rest").when((last == "") | sound(last), "last")
+    return rows.select("report", "place", part.alias("part"), F.coalesce(head, rest, last).alias("json"))
+
+
+def in_lines(spark: SparkSession, paths: list[str], sidecar: bool = False) -> tuple[list[str], list[str]]:
+    """The paths of documents with one member or function a line, as they are written here, and the others.
+
+    Spark splits the former where a line ends, so no task holds a document; each of their lines is sound JSON by itself,
+    the first opens the document and the last closes it. Others are read whole, a document in a row.
+    """
+    if not paths:
+        return [], []
+    is_ = lambda part: F.coalesce(F.col("part") == part, F.lit(False))
+    ends = _lines(spark, paths, sidecar).groupBy("report").agg(F.min_by(is_("head"), "place").alias("opens"), F.max_by(is_("last"), "place").alias("closes"), F.count(F.when(~is_("rest"), 1)).alias("n"))
+    # One row a document.
+    good = {r["f"] for r in ends.filter("opens and closes and n = 2").select(decoded(F.col("report")).alias("f")).collect()}
+    full = Store(spark).full
+    return [p for p in paths if full(p) in good], [p for p in paths if full(p) not in good]
+
+
+def pieces(spark: SparkSession, paths: list[str], sidecar: bool = False) -> DataFrame:
+    """report, json: the members (as objects) or functions of documents in lines."""
+    return _lines(spark, paths, sidecar).filter("part in ('rest', 'last') and json <> ''").select("report", "json")
+
+
+def heads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """report, json: documents in lines without their functions."""
+    return _lines(spark, paths, False).filter("part = 'head'").select("report", "json")
+
+
 def _rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lined, paths = in_lines(spark, paths)
+    out = pieces(spark, lined).select("report", F.try_parse_json("json").alias("f")) if lined else None
+    whole = _whole(spark, paths) if paths or not lined else None
+    return whole if out is None else out if whole is None else out.unionByName(whole)
+
+
+def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
     docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("report"), F.try_parse_json("value").alias("doc"))
     broken = docs.filter("doc is null").select("report").first()
     if broken:
@@ -62,7 +118,12 @@ def read_pairs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
 
     Keys that begin with @ are left out; a key with an empty list has no pair but is there.
     """
-    docs = spark.read.text(paths, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"), F.try_parse_json("value").isNull().alias("broken"))
+    lined, whole = in_lines(spark, paths, sidecar=True)
+    kind, none = "map<string,array<string>>", F.lit(False).alias("broken")
+    docs = pieces(spark, lined, sidecar=True).select(F.from_json("json", kind).alias("m"), none) if lined else None
+    if whole or not lined:
+        more = spark.read.text(whole, wholetext=True).select(F.from_json("value", kind).alias("m"), F.try_parse_json("value").isNull().alias("broken"))
+        docs = more if docs is None else docs.unionByName(more)
     partial = docs.filter("broken or m is null").count() > 0
     rows = docs.select(F.explode("m").alias("source", "targets")).filter("not startswith(source, '@')")
     return rows.select("source", F.explode("targets").alias("target")).distinct(), rows.select("source").distinct(), partial

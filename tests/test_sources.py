@@ -186,3 +186,25 @@ def test_a_document_is_replaced_in_one_step(spark, tmp_path):
     lines = lambda to: S.pair_lines(spark.createDataFrame([("x", to)], "source string, target string"), spark.createDataFrame([("x",)], "source string"))
     assert E.write_pairs(lines("y"), path) and not E.write_pairs(lines("y"), path) and E.write_pairs(lines("z"), path)
     assert json.loads(Path(path).read_text()) == {"x": ["z"]} and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out s.json"]
+
+
+def test_documents_in_lines_are_never_one_row(spark, tmp_path):
+    """What is written here is read line by line; other layouts, and lines that are torn or out of place, are read whole."""
+    fns = spark.createDataFrame([("a.A.x", ["Net"]), ("a.A.y", [])], "fn string, inferred array<string>")
+    none = F.array().cast("array<string>")
+    rows = fns.select("fn", F.lit("").alias("loc"), F.lit("").alias("hash"), F.lit("function").alias("unitKind"), *[F.lit(False).alias(k) for k in S.FLAGS], "inferred", *[none.alias(k) for k in S.LISTS if k != "inferred"])
+    report, graph, bare = str(tmp_path / "r.json"), str(tmp_path / "r.callgraph.json"), str(tmp_path / "none.json")
+    E.write_report(rows, report, {"packages": ["a"]})
+    E.write_report(rows.limit(0), bare, {"packages": ["b"]})
+    E.write_pairs(S.pair_lines(spark.createDataFrame([("s{,", "t}"), ("s{,", "t]")], "source string, target string"), spark.createDataFrame([("s{,",), ("q",)], "source string")), graph)
+    assert S.in_lines(spark, [report, bare]) == ([report, bare], []) and S.in_lines(spark, [graph], sidecar=True) == ([graph], [])
+    assert {r["json"][:14] for r in S.pieces(spark, [report]).collect()} == {'{"fn":"a.A.x",', '{"fn":"a.A.y",'}
+    assert {(r["fn"], tuple(r["inferred"])) for r in S.read_functions(spark, [report]).collect()} == {("a.A.x", ("Net",)), ("a.A.y", ())}
+    assert sorted(r["packages"][0] for r in E.envelopes(spark, [report, bare]).collect()) == ["a", "b"]
+    other = write(tmp_path / "o.callgraph.json", {"q": ["u"]})
+    pairs, names, partial = S.read_pairs(spark, [graph, other])
+    assert sorted(map(tuple, pairs.collect())) == [("q", "u"), ("s{,", "t]"), ("s{,", "t}")] and {r[0] for r in names.collect()} == {"s{,", "q"} and not partial
+    lines = Path(graph).read_text().splitlines()
+    for bad in (lines[:-1], lines[::-1], lines[1:]):
+        torn = write(tmp_path / "torn.callgraph.json", "\n".join(bad) + "\n")
+        assert S.in_lines(spark, [torn], sidecar=True) == ([], [torn]) and S.read_pairs(spark, [torn])[2]
