@@ -41,7 +41,8 @@ def spread(links: DataFrame, seeds: DataFrame, through: DataFrame | None = None,
     named = core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
     # As in effect_fixpoint: what ends links only is in no round, and takes what it gets in one step.
     known = stored(united(grow(core, "src", seeds.join(named, "node", "left_semi"), step, ["node", "chunk"], rounds).unionByName(seeds), "node"))
-    front = known if through is None else known.join(through, "node", "left_semi")
+    # Written, so that Spark knows its size: a small one meets all links without moving them.
+    front = known if through is None else stored(known.join(through, "node", "left_semi"))
     last = links.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "chunk", "mask")
     return united(last.unionByName(known), "node")
 

@@ -83,6 +83,19 @@ def test_remedies_with_ten_thousand_sites(spark):
     assert next(r for r in out if len(r["sites"]) == n)["sites"] == [f"x.s{i:05d}" for i in range(n)]
 
 
+def test_remedies_draw_together_cycles_below_denied_carriers_only(spark, monkeypatch):
+    """A ring of 12 above the denied carrier is climbed but not condensed; one of two below it is."""
+    seen, whole = [], V.components
+    monkeypatch.setattr(V, "components", lambda calls, *a: seen.append(calls.count()) or whole(calls, *a))
+    db, ring = BIT["Db"], [f"lib.r{i:02d}" for i in range(12)]
+    names = [*ring, "dao.a", "x.b", "x.c"]
+    f = spark.createDataFrame([(n, db, db if n == "x.c" else 0) for n in names], "fn string, mask int, direct_mask int")
+    calls = [*zip(ring, ring[1:] + ring[:1]), (ring[0], "dao.a"), ("dao.a", "x.c"), ("x.b", "x.c"), ("x.c", "x.b"), ("ghost", "dao.a"), ("ghost", ring[3])]
+    out = V.remedies(f, spark.createDataFrame(calls, "caller string, callee string"), "Db", F.startswith("fn", F.lit("dao."))).collect()
+    assert [tuple(r) for r in out] == [(["x.c"], 1, 1, [ring[0], "x.b"], 12, False)]
+    assert seen == [3]
+
+
 def test_a_round_moves_what_is_new_only(spark, graph, monkeypatch):
     """The plan of a round shuffles neither the links nor what is known."""
     from emberflow.plans import runtime
