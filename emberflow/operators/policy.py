@@ -221,7 +221,8 @@ def unpermitted(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> Da
     rules = [r for r in rules if r.kind == "only"]
     if not rules:
         return _none(functions, _REACHED)
-    segs = N.segments(F.col("fn"))
+    # Split once and dealt evenly: names may come in few files, and each is held against all rules.
+    functions, segs = functions.select("fn", N.segments(F.col("fn")).alias("_segs")).repartition("fn"), F.col("_segs")
 
     def permitted(r: Rule) -> Column:
         out = F.lit(False)
@@ -232,9 +233,11 @@ def unpermitted(functions: DataFrame, edges: DataFrame, rules: list[Rule]) -> Da
     which = lambda test: F.array_compact(F.array(*[F.when(test(r), F.lit(r.text)) for r in rules]))
     own = lambda r: N.scope_matches(segs, r.scope)
     marked = stored(functions.select("fn", which(own).alias("own"), which(lambda r: own(r) & ~permitted(r)).alias("passed"), which(lambda r: ~own(r) & ~permitted(r)).alias("ends")))
-    inner = stored(edges.join(marked.select(F.col("fn").alias("caller"), "passed").filter("size(passed) > 0"), "caller"))
-    near = nearest(inner, marked.select("fn", F.explode("ends").alias("rule")), F.array_contains("passed", F.col("rule")))
-    return _told("AS-EFF-011", first_found(edges, near, marked.select("fn", F.explode("own").alias("rule"))))
+    own_calls = stored(edges.join(marked.filter("size(own) > 0").select(F.col("fn").alias("caller"), "passed"), "caller"))
+    # An end that nobody in scope calls is no end of a walk.
+    ends = marked.join(own_calls.select(F.col("callee").alias("fn")).distinct(), "fn", "left_semi").select("fn", F.explode("ends").alias("rule"))
+    near = nearest(own_calls.filter("size(passed) > 0"), ends, F.array_contains("passed", F.col("rule")))
+    return _told("AS-EFF-011", first_found(own_calls, near, marked.select("fn", F.explode("own").alias("rule"))))
 
 
 _REACHED = "code string, rule string, fn string, reached string, hops long"

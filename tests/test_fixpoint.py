@@ -150,3 +150,19 @@ def test_the_model_walks_once_for_effects_classes_and_baseline(spark, monkeypatc
     assert len(walks) == 1
     before = effect_fixpoint(m.base_edges(), m.masks(True)).filter("mask <> 0")
     assert {tuple(r) for r in m.base_inferred().collect()} == {tuple(r) for r in before.collect()}
+
+
+def test_effects_need_no_calls_by_customers_and_only_rules_no_effects(spark, monkeypatch):
+    """The distinct calls of customers are made for questions about calls only, and gate_only walks no effects."""
+    from emberflow.plans import queries, views
+
+    monkeypatch.setattr(views, "_kept", {})
+    m = views.Model(spark, "/root/testdata/sf0.001")
+    assert queries.QUERIES["gate_only"](spark, m.sf_dir).count()
+    assert {what for *_, what in views._kept} == {"core"}
+    got = {tuple(r) for r in m.facts().collect()}
+    assert "calls" not in {what for *_, what in views._kept}
+    calls, plain = m.edges(), effect_fixpoint(m.edges().select("caller", "callee"), m.masks())
+    assert {tuple(r) for r in calls.filter("caller not like 'app.api.%'").collect()} == {tuple(r) for r in m._core().collect()}
+    effects = (1 << 16) - 1
+    assert {(f, x & effects) for f, x in got if x & effects} == {(r["fn"], r["mask"]) for r in plain.filter("mask <> 0").collect()}
