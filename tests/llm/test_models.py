@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from emberflow.llm import language, ngrams, pii, toxicity
+from emberflow.llm import boosting, language, ngrams, pii, toxicity
 from emberflow.llm.boosting import boost
 
 
@@ -246,6 +246,21 @@ def test_rewritten_spans_are_found_in_the_corpus_that_is_learnt_from(spark, n, s
     assert right / max(1, right + wrong) >= 0.9 and right / (right + missed) >= 0.8
 
 
+def test_all_documents_are_learnt_from(spark, monkeypatch):
+    """No bound on documents changes a finder, every candidate is counted, and cells in parts give the same trees."""
+    texts = [t for t, _ in planted(300, set(range(0, 300, 5)), 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    finder = pii.fit(docs)
+    bounded = pii.fit(docs, max_docs=40)
+    assert bounded.thresholds == finder.thresholds
+    assert all(bounded.trees[k].trees == model.trees for k, model in finder.trees.items())
+    free = Counter(c[0] for t in texts for c in pii.candidates(t) if all(c[2] <= s or e <= c[1] for _, s, e in pii.base_spans(t)))
+    told = pii.lessons_of(docs).filter("mark = 0").groupBy("kind").agg(F.sum(F.expr("n0 + n1 + n2 + n3")).alias("n"))
+    assert {pii.KINDS[r["kind"]]: r["n"] for r in told.collect()} == free
+    monkeypatch.setattr(boosting, "ROUNDS", 12)
+    for k, model in pii.fit(docs, each=150).trees.items():
+        assert model.trees == finder.trees[k].trees[:12]
+
 
 def test_boosting_learns():
     rng = np.random.default_rng(0)
