@@ -300,6 +300,28 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(docs.limit(0), m, "p").count() == 0
 
 
+def test_toxicity_learns_from_all_documents(spark):
+    """Groups of documents find what all together do."""
+    rows = toxic_rows(2400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2], "doc_id long, toxic int")
+    models = [toxicity.fit(docs, labels, each=each) for each in (10_000, 500)]
+    assert (models[0].ids == models[1].ids).all()
+    a, b = (m.score(pa.array([t for _, t, _ in rows])) for m in models)
+    truth = np.array([y for _, _, y in rows]) == 1
+    for p in (a, b):
+        assert ((p >= 0.7) == truth).mean() > 0.95
+    assert ((a >= 0.7) == (b >= 0.7)).mean() > 0.98
+
+
+def test_toxicity_features_are_counted_over_all_documents(spark):
+    """A word of 40 in 8,000 positives tells them apart; of half of these it wouldn't."""
+    text = F.when(F.col("id") % 400 == 7, "zyxwvut plain").otherwise("plain words").alias("text")
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), text)
+    m = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert set(toxicity.features(pa.array(["zyxwvut"]))[1].tolist()) <= set(m.ids.tolist())
+
+
 def test_nnpu_risk_and_gradient():
     """Against a risk written out row by row, and its differences."""
     rng = np.random.default_rng(8)
