@@ -56,7 +56,7 @@ def inner(links: DataFrame, src: str = "callee", dst: str = "caller") -> DataFra
 def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None = None, rounds: int = ROUNDS, core: DataFrame | None = None, passed: Column | None = None) -> DataFrame:
     """fn, mask: the least fixpoint of mask(fn) = direct(fn) | cross(fn) | masks of its callees; direct and cross (what
     functions take over from other reports) have fn, mask. core: `inner` of edges, where it is known already, or more of them,
-    with all calls of each of its callers. passed: what a call hands to its caller, of its columns and its callee's mask, if
+    with all calls of each of its callers; if it is edges itself, no last step is left. passed: what a call hands to its caller, of its columns and its callee's mask, if
     not all; it must go bit by bit."""
     passed = F.col("mask") if passed is None else passed
     seed = direct.select("fn", "mask") if cross is None else direct.select("fn", "mask").unionByName(cross.select("fn", "mask"))
@@ -71,6 +71,8 @@ def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None
     called = core.select("callee").union(core.select("caller")).distinct()
     # What no call of the core names is in no round, but its callers may get it in the last step.
     known = united(grow(core, "callee", first.join(called.withColumnRenamed("callee", "fn"), "fn", "left_semi"), step, ["fn"], rounds).unionByName(first))
+    if core is edges:
+        return known
     last = edges.join(known.withColumnRenamed("fn", "callee").hint("shuffle_hash"), "callee").select(F.col("caller").alias("fn"), passed.alias("mask")).filter("mask <> 0")
     return united(last.unionByName(known))
 

@@ -2,20 +2,23 @@
 
 Deletion and rederivation over bits: bits that a lost call or effect may have brought are taken away upwards, through
 cycles too; a bit that a function performs itself stays; what is still called by other ways is put back and spread with
-what is new. The fixpoint and the calls lie in folders by a hash of the function they are joined on, and a round opens
-the folders of its own functions only.
+what is new. The fixpoint and the calls lie in folders by a hash of the function they are joined on. A walk opens the
+folders of the functions that it comes to only, each once: its rows then lie in buckets, and a round moves what is new.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from contextlib import ExitStack
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from emberflow.operators.fixpoint import ROUNDS
-from emberflow.plans.runtime import Kept, shared_dir, stored
+from emberflow.plans.runtime import Kept, buckets, shared_dir, shuffles, stored
 
 
 def part_of(name: str, n: int) -> Column:
@@ -41,19 +44,60 @@ class Folders:
         """The folders that rows with these keys (fn) lie in: n numbers at most."""
         return sorted(r["p"] for r in keys.select(part_of("fn", self.n).alias("p")).distinct().collect())
 
+    def of(self, parts: Iterable[int]) -> DataFrame:
+        return self.rows.filter(F.col("part").isin(sorted(parts))).drop("part")
+
     def near(self, keys: DataFrame) -> DataFrame:
-        """The rows of these folders."""
-        return self.rows.filter(F.col("part").isin(self.parts(keys))).drop("part")
+        """The rows of the folders that rows with these keys (fn) lie in."""
+        return self.of(self.parts(keys))
+
+
+class Opened:
+    """Rows of the folders that were asked for. Each is read once, and then its rows lie in n buckets by the folders' key;
+    less: fn, mask of bits that they haven't got any more."""
+
+    def __init__(self, folders: Folders, n: int, less: DataFrame | None = None):
+        self.folders, self.less, self.parts = folders, less, set()
+        self.kept = Kept(folders.rows.sparkSession, [folders.on], n)
+
+    def open(self, parts: Iterable[int]) -> None:
+        more = set(parts) - self.parts
+        if more or not self.parts and not self.kept.name:
+            rows = self.folders.of(more)
+            self.kept.add((rows if self.less is None else _less(rows, self.less)).repartition(self.kept.n, self.folders.on))
+            self.parts |= more
+
+    def all(self) -> DataFrame:
+        return self.kept.all()
+
+    def __enter__(self) -> Opened:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.kept.close()
+
+
+def _noted(rows: DataFrame, put: Callable[[DataFrame], Any], *near: Opened, key: str = "fn") -> Any:
+    """put(rows), which writes them; the folders that their keys lie in, which the same job notes as bits, are then opened."""
+    seen = Observation()
+    words = [(i, k, part_of(key, x.folders.n)) for i, x in enumerate(near) for k in range(-(-x.folders.n // 64))]
+    bit = lambda k, part: F.when(F.floor(part / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), part % 64))
+    out = put(rows.observe(seen, *[F.bit_or(bit(k, part)).alias(f"w{i}_{k}") for i, k, part in words]))
+    for i, x in enumerate(near):
+        x.open(64 * k + b for j, k, _ in words if j == i for b in range(64) if (seen.get[f"w{i}_{k}"] or 0) >> b & 1)
+    return out
 
 
 def unit_digests(edges: DataFrame, direct: DataFrame) -> DataFrame:
-    """fn, digest: what each unit is made of, its calls (caller, callee) and its own effects (fn, mask), in any order.
-    Calls are added up by hashes, so a unit of many calls isn't gathered anywhere."""
-    wide = lambda *c: F.xxhash64(*c).cast("decimal(38,0)")
-    calls = edges.select("caller", "callee").distinct().groupBy(F.col("caller").alias("fn")).agg(F.count("*").alias("n"), F.sum(wide("callee")).alias("a"), F.sum(wide(F.lit("b"), "callee")).alias("b"))
-    own = direct.groupBy("fn").agg(F.bit_or("mask").alias("mask"))
-    both = calls.join(own, "fn", "full_outer")
-    return both.select("fn", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n", "a", "b", "mask")]), 256).alias("digest"))
+    """fn, digest: what each unit is made of, its calls (caller, callee; each once) and its own effects (fn, mask), in any
+    order. Calls are added up by hashes, as halves of 32 bits, so a unit of many calls isn't gathered anywhere."""
+    halves = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(h, 32))
+    sums = [F.lit(1).cast("long"), *halves(F.xxhash64("callee")), *halves(F.xxhash64(F.lit("b"), "callee"))]
+    names = [f"s{i}" for i in range(len(sums))]
+    calls = edges.select(F.col("caller").alias("fn"), *[c.alias(x) for c, x in zip(sums, names)], F.lit(0).alias("mask"))
+    own = direct.select("fn", *[F.lit(0).cast("long").alias(x) for x in names], "mask")
+    both = calls.unionByName(own).groupBy("fn").agg(*[F.sum(x).alias(x) for x in names], F.bit_or("mask").alias("mask"))
+    return both.select("fn", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in (*names, "mask")]), 256).alias("digest"))
 
 
 def changed_units(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,17 +116,18 @@ def _less(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.join(had, "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(_had, 0)")).filter("mask <> 0").select("fn", "mask")
 
 
-def _climb(seeds: DataFrame, calls: Folders, keep, rounds: int) -> DataFrame:
-    """Seeds (fn, mask) and what goes from them to callers, of which keep(rows) leaves some."""
-    found = Kept(seeds.sparkSession, ["fn"])
+def _climb(seeds: DataFrame, calls: Opened, had: Opened, rounds: int) -> DataFrame:
+    """What of seeds (fn, mask) and of what goes from them to callers is beyond what these have (had)."""
+    found = Kept(seeds.sparkSession, ["fn"], calls.kept.n)
     try:
-        n = found.add(_united(seeds).filter("mask <> 0"))
+        first = _noted(_united(seeds).filter("mask <> 0"), stored, had)
+        n = _noted(_less(first, had.all()), found.add, calls)
         for _ in range(rounds):
             if not n:
                 return stored(_united(found.all()))
-            front = found.new()
-            got = calls.near(front).join(front.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask")
-            n = found.add(_less(keep(stored(_united(got))), found.all()))
+            got = calls.all().join(found.new().withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask")
+            got = _noted(_united(got), stored, had)
+            n = _noted(_less(_less(got, had.all()), found.all()), found.add, calls)
             if found.rounds % 8 == 0:
                 found.merge()
     finally:
@@ -97,33 +142,33 @@ def refresh(known: Folders, old: Folders, new: Folders, made: Folders, direct: F
     direct: fn, mask after, by fn; lost_calls, new_calls: caller, callee; lost, gained: fn, mask of own effects. Functions that aren't returned keep
     what they had; a function with no effects left has mask 0.
     """
-    masks = lambda keys: known.near(keys)
-    callees = lambda calls: calls.select(F.col("callee").alias("fn")).distinct()
+    spark = known.rows.sparkSession
     through = lambda calls, rows: calls.join(rows.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask")
-    own = lambda rows: _less(rows, direct.near(rows))
 
-    lost_calls, new_calls = stored(lost_calls), stored(new_calls)
-    seeds = stored(own(stored(_united(lost.unionByName(through(lost_calls, masks(callees(lost_calls))))))))
-    gone = _climb(seeds, old, own, rounds)
-    left = lambda keys: _less(masks(keys), gone)  # noqa: E731  what is known of these and beyond doubt
+    n = buckets(spark, old.rows.count() + new.rows.count())
+    with shuffles(spark, n), ExitStack() as ends:
+        opened = lambda *a: ends.enter_context(Opened(a[0], n, *a[1:]))
+        lost_calls = stored(lost_calls)
+        brought = through(lost_calls, known.near(lost_calls.select(F.col("callee").alias("fn"))))
+        gone = _climb(lost.unionByName(brought), opened(old), opened(direct), rounds)
 
-    # Of what was taken away, bits that a call after the change still brings from what is left.
-    calls = stored(made.near(gone).join(gone.select(F.col("fn").alias("caller")), "caller"))
-    back = through(calls, left(callees(calls))).join(gone.withColumnRenamed("mask", "_gone"), "fn").withColumn("mask", F.expr("mask & _gone")).select("fn", "mask")
-    fresh = gained.unionByName(through(new_calls, left(callees(new_calls)))).unionByName(back)
-    beyond = lambda rows: _less(rows, left(rows))
-    added = _climb(stored(beyond(stored(_united(fresh)))), new, beyond, rounds)
+        # Of what was taken away, bits that a call after the change still brings from what is left beyond doubt.
+        left = opened(known, gone)
+        calls = _noted(made.near(gone).join(gone.select(F.col("fn").alias("caller")), "caller"), stored, left, key="callee")
+        new_calls = _noted(new_calls, stored, left, key="callee")
+        back = through(calls, left.all()).join(gone.withColumnRenamed("mask", "_gone"), "fn").withColumn("mask", F.expr("mask & _gone")).select("fn", "mask")
+        fresh = gained.unionByName(through(new_calls, left.all())).unionByName(back)
+        added = _climb(fresh, opened(new), left, rounds)
 
-    touched = stored(gone.select("fn").union(added.select("fn")).distinct())
-    rows = touched.join(left(touched), "fn", "left").join(added.withColumnRenamed("mask", "_new"), "fn", "left")
-    return rows.select("fn", F.expr("coalesce(mask, 0) | coalesce(_new, 0)").alias("mask"))
+        touched = _noted(gone.select("fn").union(added.select("fn")).distinct(), stored, left)
+        rows = touched.join(left.all(), "fn", "left").join(added.withColumnRenamed("mask", "_new"), "fn", "left")
+        return stored(rows.select("fn", F.expr("coalesce(mask, 0) | coalesce(_new, 0)").alias("mask")))
 
 
 def applied(known: Folders, touched: DataFrame) -> Folders:
     """The fixpoint with touched functions (fn, mask) put in: their folders are written anew, the others stay where they
     lie."""
-    touched = stored(touched)
     parts = known.parts(touched)
-    had = known.rows.filter(F.col("part").isin(parts)).drop("part").join(touched.select("fn"), "fn", "left_anti")
+    had = known.of(parts).join(touched.select("fn"), "fn", "left_anti")
     again = Folders.write(had.unionByName(touched.filter("mask <> 0").select(had.columns)), known.on, known.n)
     return Folders(known.rows.filter(~F.col("part").isin(parts)).unionByName(again.rows), known.on, known.n)
