@@ -63,8 +63,9 @@ def effect_fixpoint(edges: DataFrame, direct: DataFrame, cross: DataFrame | None
     united = lambda df: df.groupBy("fn").agg(F.bit_or("mask").alias("mask"))
 
     def step(links: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
-        got = united(links.join(new.withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), passed.alias("mask")))
-        return got.join(united(known).withColumnRenamed("mask", "had"), "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)")).filter("mask <> 0").select("fn", "mask")
+        # What is new is the small side: with a table of it, neither links nor what is known need be sorted.
+        got = united(links.join(new.withColumnRenamed("fn", "callee").hint("shuffle_hash"), "callee").select(F.col("caller").alias("fn"), passed.alias("mask")))
+        return got.hint("shuffle_hash").join(united(known).withColumnRenamed("mask", "had"), "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(had, 0)")).filter("mask <> 0").select("fn", "mask")
 
     first = united(seed).filter("mask <> 0")
     core = stored(inner(edges)) if core is None else core

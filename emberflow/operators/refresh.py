@@ -67,6 +67,10 @@ class Opened:
             self.kept.add((rows if self.less is None else _less(rows, self.less)).repartition(self.kept.n, self.folders.on))
             self.parts |= more
 
+    @property
+    def whole(self) -> bool:
+        return len(self.parts) == self.folders.n
+
     def all(self) -> DataFrame:
         return self.kept.all()
 
@@ -110,24 +114,26 @@ def _united(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fn").agg(F.bit_or("mask").alias("mask"))
 
 
-def _less(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """rows (fn, mask) without the bits that other (fn, mask) has."""
-    had = _united(other).withColumnRenamed("mask", "_had")
+def _less(rows: DataFrame, other: DataFrame, once: bool = False) -> DataFrame:
+    """rows (fn, mask) without the bits that other (fn, mask) has; once: it has each function once."""
+    had = (other if once else _united(other)).withColumnRenamed("mask", "_had")
     return rows.join(had, "fn", "left").withColumn("mask", F.expr("mask & ~coalesce(_had, 0)")).filter("mask <> 0").select("fn", "mask")
 
 
 def _climb(seeds: DataFrame, calls: Opened, had: Opened, rounds: int) -> DataFrame:
-    """What of seeds (fn, mask) and of what goes from them to callers is beyond what these have (had)."""
+    """What of seeds (fn, mask) and of what goes from them to callers is beyond what these have (had, each function once)."""
     found = Kept(seeds.sparkSession, ["fn"], calls.kept.n)
+    # What a round brings is the small side: with a table of it, neither calls nor what is had need be sorted.
+    small = lambda rows: rows.hint("shuffle_hash")
     try:
         first = _noted(_united(seeds).filter("mask <> 0"), stored, had)
-        n = _noted(_less(first, had.all()), found.add, calls)
+        n = _noted(_less(small(first), had.all(), True), found.add, calls)
         for _ in range(rounds):
             if not n:
                 return stored(_united(found.all()))
-            got = calls.all().join(found.new().withColumnRenamed("fn", "callee"), "callee").select(F.col("caller").alias("fn"), "mask")
-            got = _noted(_united(got), stored, had)
-            n = _noted(_less(_less(got, had.all()), found.all()), found.add, calls)
+            got = _united(calls.all().join(small(found.new().withColumnRenamed("fn", "callee")), "callee").select(F.col("caller").alias("fn"), "mask"))
+            got = got if had.whole else _noted(got, stored, had)
+            n = _noted(_less(small(_less(small(got), had.all(), True)), found.all()), found.add, calls)
             if found.rounds % 8 == 0:
                 found.merge()
     finally:

@@ -91,3 +91,19 @@ def test_rounds_and_folders_hold_no_functions_that_nobody_calls(spark, tmp_path,
     assert any(f == "None" for f, _ in got) and any("C-" in f for f, _ in got)
     names = {c for rows in held for c in rows.columns} & {"fn", "caller", "callee"}
     assert held and names and not any(rows.filter(F.col(c).like("app.api.C%")).count() for rows in held for c in names if c in rows.columns)
+
+
+def test_a_walk_opens_each_folder_once(spark, monkeypatch):
+    """A chain's rounds come to one function after another and to the same folders again."""
+    opened, of = {}, R.Folders.of
+    monkeypatch.setattr(R.Folders, "of", lambda self, parts: opened.setdefault(id(self), []).append(list(parts)) or of(self, parts))
+    kept, init = [], R.Opened.__init__
+    monkeypatch.setattr(R.Opened, "__init__", lambda self, *a: kept.append(self) or init(self, *a))
+    calls = {(f"h{i}", f"h{i + 1}") for i in range(5)} | {("h5", "h0"), ("h5", "end")}
+    _, touched = update(spark, calls, {"end": 1}, calls | {("end", "far")}, {"far": 2}, 2)
+    assert {(r["fn"], r["mask"]) for r in touched.collect()} == {(f"h{i}", 2) for i in range(6)} | {("end", 2), ("far", 2)}
+    assert len(kept) == 4 and all(0 < len(x.parts) <= 2 for x in kept)
+    # known is opened with near() once more, for callees of lost calls.
+    for x in kept:
+        times = [p for parts in opened[id(x.folders)] for p in parts]
+        assert all(times.count(p) <= (2 if x.less is not None else 1) for p in times)
